@@ -1,0 +1,17 @@
+"""Small plan helpers shared by operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast ``df`` only when a bounded probe proves it has at most ``max_rows`` rows.
+
+    The probe reads at most ``max_rows + 1`` rows. Larger inputs are returned
+    unchanged so the planner falls back to a shuffle join (AQE may still
+    switch to broadcast at runtime from real sizes).
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
