@@ -1 +1,202 @@
-"""Registered queries."""
+"""Registered cleaning / master-build queries (PR1-PR12, PR32, FI1-FI2, JN1-JN5, AG9, IO7)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import calendar as cl
+from ..operators import clean as cn
+from ..operators.filters import iqr_filter, with_group_count
+from ..sources import fixtures as fx
+from ..sources.tables import read_table
+from .registry import register
+from .sqlkit import pround_sql, with_views
+
+_FLAG_SQL = {
+    "has_wifi": ["wifi"], "has_kitchen": ["kitchen"],
+    "has_air_conditioning": ["air conditioning", "ac - split type ductless system"], "has_washer": ["washer"],
+    "has_dedicated_workspace": ["dedicated workspace"], "has_tv": ["tv", "hdtv"],
+    "has_parking": ["free parking", "paid parking", "parking"], "has_elevator": ["elevator"],
+    "has_heating": ["heating"], "has_self_checkin": ["self check-in", "lockbox", "keypad", "smart lock"],
+}
+
+
+def _raw_clean_sql() -> str:
+    flags = ",\n  ".join(
+        f"CAST(CASE WHEN len(list_filter(am, lambda x: {' OR '.join(f'contains(x, {w!r})' for w in ws)})) > 0 "
+        f"THEN 1 ELSE 0 END AS BIGINT) AS {name}" for name, ws in _FLAG_SQL.items())
+    b = "lower(bathrooms_text)"
+    p = "lower(coalesce(property_type, 'nan'))"
+    return with_views("raw_listings")[:-1] + f""", parsed AS (
+  SELECT *, TRY_CAST(trim(replace(replace(price, ',', ''), '$', '')) AS DOUBLE) AS pv,
+    CASE WHEN amenities IS NULL THEN CAST([] AS VARCHAR[])
+      ELSE list_filter(list_transform(string_split(trim(amenities, '[]'), ','),
+        lambda x: lower(trim(trim(trim(x), '"'), ''''))), lambda x: x <> '') END AS am
+  FROM raw_listings)
+SELECT id AS listing_id, neighbourhood_cleansed, currency, property_type,
+  CASE WHEN currency = 'JPY' THEN pv * 0.0062 ELSE pv END AS price_eur,
+  TRY_CAST(trim(replace(host_response_rate, '%', '')) AS DOUBLE) / 100 AS host_response_rate,
+  CASE WHEN host_is_superhost IN ('t', 'true') THEN 1.0 WHEN host_is_superhost IN ('f', 'false') THEN 0.0 END AS host_is_superhost,
+  CASE WHEN contains({b}, 'half') AND NOT regexp_matches({b}, '\\d') THEN 0.5
+       ELSE TRY_CAST(nullif(regexp_extract({b}, '(\\d+\\.?\\d*)', 1), '') AS DOUBLE) END AS bathrooms,
+  CASE WHEN {b} IS NULL OR {b} IN ('nan', '') THEN 'Unknown' WHEN contains({b}, 'shared') THEN 'Shared'
+       WHEN contains({b}, 'private') THEN 'Private' WHEN contains({b}, 'half') THEN 'Half' ELSE 'Standard' END AS bathroom_type,
+  CAST(len(am) AS BIGINT) AS amenities_count,
+  {flags},
+  CASE WHEN contains({p}, 'hotel') OR contains({p}, 'serviced') OR contains({p}, 'aparthotel') THEN 'Hotel/serviced'
+       WHEN contains({p}, 'rental unit') OR contains({p}, 'apartment') OR contains({p}, 'condo') OR contains({p}, 'loft') THEN 'Apartment/condo'
+       WHEN contains({p}, 'home') OR contains({p}, 'house') OR contains({p}, 'townhouse') OR contains({p}, 'villa') THEN 'House/villa'
+       WHEN contains({p}, 'hostel') OR contains({p}, 'guesthouse') OR contains({p}, 'bed and breakfast') THEN 'Guesthouse/hostel'
+       WHEN contains({p}, 'room') THEN 'Room' ELSE 'Other' END AS property_group
+FROM parsed"""
+
+
+_RAW_OUT = ["listing_id", "neighbourhood_cleansed", "currency", "property_type", "price_eur", "host_response_rate",
+            "host_is_superhost", "bathrooms", "bathroom_type", "amenities_count", *_FLAG_SQL, "property_group"]
+
+
+@register("pr1_parse_raw_listings", _raw_clean_sql())
+def parse_raw(spark, sf_dir):
+    """PR1-PR9: price to EUR, booleans, rates, bathrooms, amenities, flags, property group."""
+    return cn.parse_listing_columns(fx.raw_listings(spark, sf_dir)).select(*_RAW_OUT)
+
+
+@register("fi1_fi2_price_filter_audit", with_views("activity")[:-1] + """, b AS (
+  SELECT city, quantile_cont(price_eur, 0.25) AS q1, quantile_cont(price_eur, 0.75) AS q3
+  FROM activity WHERE price_eur > 0 GROUP BY city),
+j AS (SELECT a.*, b.q1 - 1.5 * (b.q3 - b.q1) AS lo, b.q3 + 1.5 * (b.q3 - b.q1) AS hi
+  FROM activity a LEFT JOIN b ON a.city = b.city)
+SELECT city, count(*) AS raw_listing_rows,
+  CAST(sum(CASE WHEN price_eur > 0 THEN 0 ELSE 1 END) AS BIGINT) AS missing_or_zero_price_rows,
+  any_value(lo) AS price_iqr_lower_eur, any_value(hi) AS price_iqr_upper_eur,
+  CAST(sum(CASE WHEN price_eur > 0 AND NOT coalesce(price_eur BETWEEN lo AND hi, false) THEN 1 ELSE 0 END) AS BIGINT) AS price_outlier_rows_removed,
+  CAST(sum(CASE WHEN price_eur > 0 AND coalesce(price_eur BETWEEN lo AND hi, false) THEN 1 ELSE 0 END) AS BIGINT) AS clean_listing_rows_after_price_filter
+FROM j GROUP BY city""")
+def price_audit(spark, sf_dir):
+    """FI1+FI2+AG38: per-city missing/zero prices, IQR bounds and outliers removed."""
+    return cn.price_filter_audit(fx.activity(spark, sf_dir), by=["city"])
+
+
+@register("fi2_iqr_filtered_rows", with_views("activity")[:-1] + """, v AS (SELECT * FROM activity WHERE price_eur > 0),
+b AS (SELECT city, quantile_cont(price_eur, 0.25) AS q1, quantile_cont(price_eur, 0.75) AS q3 FROM v GROUP BY city)
+SELECT v.listing_id, v.city, v.date, v.price_eur FROM v JOIN b ON v.city = b.city
+WHERE v.price_eur BETWEEN b.q1 - 1.5 * (b.q3 - b.q1) AND b.q3 + 1.5 * (b.q3 - b.q1)""")
+def iqr_rows(spark, sf_dir):
+    """FI1+FI2: rows kept by the positive-price and per-city IQR filters."""
+    return iqr_filter(fx.activity(spark, sf_dir).filter(F.col("price_eur") > 0), "price_eur", ["city"])
+
+
+AS_OF = "2024-07-20"
+
+
+@register("ag9_review_features", with_views("activity") + f"""
+SELECT listing_id, count(date) AS total_reviews,
+  CAST(DATE '{AS_OF}' - max(date) AS BIGINT) AS days_since_last_review,
+  CAST(DATE '{AS_OF}' - min(date) AS BIGINT) AS listing_age_days,
+  count(CASE WHEN date >= DATE '{AS_OF}' - INTERVAL 6 MONTH THEN date END) AS reviews_last_6m
+FROM activity GROUP BY listing_id""")
+def review_feats(spark, sf_dir):
+    """AG9: review activity per listing with an explicit as-of date."""
+    return cn.review_features(fx.activity(spark, sf_dir), AS_OF)
+
+
+def _geo(spark, sf_dir):
+    n = read_table(spark, sf_dir, "nation")
+    r = read_table(spark, sf_dir, "region")
+    return n.join(r, n.n_regionkey == r.r_regionkey).select(
+        F.col("n_name").alias("neighbourhood_cleansed"), F.col("r_name").alias("neighbourhood_group"))
+
+
+@register("jn1_master_build", with_views("listings", "calendar", "activity")[:-1] + f""",
+cal AS (SELECT listing_id, count(*) AS calendar_days,
+  sum(CASE WHEN available = 't' THEN 0 ELSE 1 END) / count(*) AS calendar_unavailable_rate
+  FROM calendar GROUP BY listing_id),
+rev AS (SELECT listing_id, count(date) AS total_reviews,
+  count(CASE WHEN date >= DATE '{AS_OF}' - INTERVAL 6 MONTH THEN date END) AS reviews_last_6m
+  FROM activity GROUP BY listing_id),
+geo AS (SELECT n.n_name AS neighbourhood_cleansed, min(r.r_name) AS neighbourhood_group
+  FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY n.n_name),
+nb AS (SELECT neighbourhood_cleansed, count(*) AS neighbourhood_listing_count FROM listings GROUP BY 1)
+SELECT l.listing_id, l.city, l.neighbourhood_cleansed, g.neighbourhood_group, l.price_eur,
+  nb.neighbourhood_listing_count, c.calendar_days, c.calendar_unavailable_rate, r.total_reviews, r.reviews_last_6m
+FROM listings l LEFT JOIN cal c ON l.listing_id = c.listing_id LEFT JOIN rev r ON l.listing_id = r.listing_id
+LEFT JOIN geo g ON l.neighbourhood_cleansed = g.neighbourhood_cleansed
+LEFT JOIN nb ON l.neighbourhood_cleansed = nb.neighbourhood_cleansed""")
+def master(spark, sf_dir):
+    """JN1+JN2+JN5: listings + calendar rollup + review features + geo group + area frequency."""
+    lst = fx.listings(spark, sf_dir).select("listing_id", "city", "neighbourhood_cleansed", "price_eur")
+    lst = with_group_count(lst, ["neighbourhood_cleansed"], "neighbourhood_listing_count")
+    calf = cl.calendar_rollup(fx.calendar(spark, sf_dir)).select(
+        "listing_id", "calendar_days", "calendar_unavailable_rate")
+    rev = cn.review_features(fx.activity(spark, sf_dir), AS_OF).select(
+        "listing_id", "total_reviews", "reviews_last_6m")
+    return cn.build_master(lst, calf, rev, _geo(spark, sf_dir))
+
+
+@register("jn3_key_match_audit", """
+WITH lk AS (SELECT DISTINCT o_orderkey AS k FROM orders), rk AS (SELECT DISTINCT l_orderkey AS k FROM lineitem),
+m AS (SELECT count(*) AS matched_keys FROM lk WHERE k IN (SELECT k FROM rk))
+SELECT (SELECT count(*) FROM lk) AS left_unique_keys, (SELECT count(*) FROM rk) AS right_unique_keys,
+  m.matched_keys, """ + pround_sql("m.matched_keys / (SELECT count(*) FROM lk) * 100", 4) + """ AS match_pct FROM m""")
+def key_match(spark, sf_dir):
+    """JN3: orders vs lineitem key-match audit (matched ids, match %)."""
+    return cn.key_match_audit(read_table(spark, sf_dir, "orders"), read_table(spark, sf_dir, "lineitem"),
+                              "o_orderkey", "l_orderkey")
+
+
+@register("jn4_semi_filter_matched", """
+SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def semi(spark, sf_dir):
+    """JN4: orders restricted to keys present in lineitem (left semi join)."""
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return cn.semi_filter(o, read_table(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey")
+
+
+_DIST = ("2 * 6371.0 * asin(sqrt(pow(sin((radians(lat) - radians(40.4168)) / 2), 2) + "
+         "cos(radians(lat)) * cos(radians(40.4168)) * pow(sin((radians(lon) - radians(-3.7038)) / 2), 2)))")
+
+
+@register("pr10_haversine_distance", with_views("listings")[:-1] + f""", p AS (
+  SELECT listing_id, CAST(40.3 AS DOUBLE) + CAST(listing_id % 1000 AS DOUBLE) / CAST(5000 AS DOUBLE) AS lat,
+    CAST(-3.8 AS DOUBLE) + CAST(number_of_reviews AS DOUBLE) / CAST(40 AS DOUBLE) AS lon FROM listings),
+d AS (SELECT listing_id, lat, lon, {pround_sql(_DIST, 4)} AS distance_to_center_km FROM p)
+SELECT *, CAST(CASE WHEN distance_to_center_km <= 5 THEN 1 ELSE 0 END AS BIGINT) AS is_central_5km FROM d""")
+def haversine(spark, sf_dir):
+    """PR10-PR11: distance to the Madrid centre for coordinates derived from each listing."""
+    l = fx.listings(spark, sf_dir)
+    p = l.select("listing_id",
+                 (F.lit(40.3) + (F.col("listing_id") % 1000).cast("double") / F.lit(5000.0)).alias("lat"),
+                 (F.lit(-3.8) + F.col("number_of_reviews").cast("double") / F.lit(40.0)).alias("lon"))
+    return cn.add_location_features(p, 40.4168, -3.7038, "lat", "lon")
+
+
+@register("pr12_listing_derived_columns", with_views("listings") + """
+SELECT listing_id, ln(1 + price_eur) AS log_price_eur,
+  CAST(CASE WHEN minimum_nights > 30 THEN 30 ELSE minimum_nights END AS BIGINT) AS minimum_nights_capped,
+  CAST(CASE WHEN coalesce(number_of_reviews, 0) > 0 THEN 1 ELSE 0 END AS BIGINT) AS has_reviews
+FROM listings""")
+def derived(spark, sf_dir):
+    """PR12, PR13, PR23: log price, minimum nights clipped at 30, has-reviews flag."""
+    l = fx.listings(spark, sf_dir).select("listing_id", "price_eur", "minimum_nights", "number_of_reviews")
+    return cn.add_host_and_date_features(l).select("listing_id", "log_price_eur", "minimum_nights_capped",
+                                                   "has_reviews")
+
+
+@register("pr32_clean_reviews", """
+SELECT doc_id, lang, n_chars FROM documents WHERE trim(coalesce(text, '')) <> ''""")
+def reviews_clean(spark, sf_dir):
+    """PR32: drop PII-like columns and blank texts from review-like documents."""
+    d = read_table(spark, sf_dir, "documents").withColumn("date", F.lit("2024-01-01"))
+    return cn.clean_reviews(d, text="text", pii=["source"]).select("doc_id", "lang", "n_chars")
+
+
+@register("io7_union_cities", with_views("listings") + """
+SELECT listing_id, city, price_eur, NULL::DOUBLE AS review_scores_rating FROM listings WHERE city < 'EUROPE'
+UNION ALL
+SELECT listing_id, city, price_eur, review_scores_rating FROM listings WHERE city >= 'EUROPE'""")
+def union_cities(spark, sf_dir):
+    """IO7: per-city tables with different columns unioned by name."""
+    l = fx.listings(spark, sf_dir)
+    a = l.filter(F.col("city") < "EUROPE").select("listing_id", "city", "price_eur")
+    b = l.filter(F.col("city") >= "EUROPE").select("listing_id", "city", "price_eur", "review_scores_rating")
+    return a.unionByName(b, allowMissingColumns=True)
