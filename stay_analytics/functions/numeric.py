@@ -19,13 +19,8 @@ def col_of(c) -> Column:
 def pround(c, digits: int = 0) -> Column:
     """Round half to even after scaling by 10**digits (numpy semantics)."""
     scale = float(10 ** digits)
-    y = col_of(c).cast("double") * F.lit(scale)
-    r = F.floor(y).cast("double")
-    frac = y - r
-    rounded = (F.when(frac > 0.5, r + 1.0)
-               .when(frac < 0.5, r)
-               .otherwise(r + F.abs(r % 2.0)))
-    return rounded / F.lit(scale)
+    # rint is IEEE round-half-even on the scaled double, exactly numpy's rule.
+    return F.rint(col_of(c).cast("double") * F.lit(scale)) / F.lit(scale)
 
 
 def pround_sql(expr: str, digits: int = 0) -> str:
