@@ -44,18 +44,26 @@ def running_below(counts: DataFrame, keys: Sequence[str], value: str, cnt: str,
 
     ``counts`` has one row per distinct (keys, value). The running sum is
     split across range partitions so a large group spreads over many tasks.
+    Range bounds come from sampling the exchange input; sorting that input
+    within its (deterministic) hash partitions first makes the sample, and so
+    every row's range, identical in both branches and on any task retry.
     """
     keys = list(keys)
     n = num_ranges or _num_ranges(counts)
-    ranged = counts.repartitionByRange(n, *keys, value).withColumn("_rng", F.spark_partition_id())
+    payload = [c for c in counts.columns if c not in {*keys, value, cnt}]
+    core = counts.select(*keys, value, cnt).sortWithinPartitions(*keys, value)
+    ranged = core.repartitionByRange(n, *keys, value).withColumn("_rng", F.spark_partition_id())
     per_range = ranged.groupBy("_rng", *keys).agg(F.sum(cnt).alias("_rtot"))
     before = Window.partitionBy(*keys).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select("_rng", *keys, F.coalesce(F.sum("_rtot").over(before), F.lit(0)).alias("_off"))
     local = Window.partitionBy("_rng", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     with_local = ranged.withColumn("_loc", F.coalesce(F.sum(cnt).over(local), F.lit(0)))
-    return (with_local.join(offsets, ["_rng", *keys])
-            .withColumn(out, F.col("_off") + F.col("_loc"))
-            .drop("_rng", "_off", "_loc"))
+    res = (with_local.join(offsets, ["_rng", *keys])
+           .withColumn(out, F.col("_off") + F.col("_loc"))
+           .drop("_rng", "_off", "_loc"))
+    if payload:
+        res = res.join(counts.select(*keys, value, *payload), [*keys, value])
+    return res
 
 
 def rank_table(df: DataFrame, features: Mapping[str, Column | str], by: Sequence[str] = ()) -> DataFrame:
