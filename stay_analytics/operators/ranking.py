@@ -13,8 +13,8 @@ rows, so no step puts a whole pool into one task:
 2. Running counts over the distinct values use a range partitioning of
    ``(pool, feature, value)``: per-range totals (one row per range and pool)
    give each range its offset, and a window inside each range adds the local
-   running count. Both branches read one range exchange, which Spark reuses,
-   so every row sees the same range bounds even after a task retry.
+   running count. The range-tagged counts are checkpointed so both branches
+   (and any retried task) see one range assignment.
 3. The pool median (for null fill) is read off those running counts exactly,
    with no per-pool value map.
 4. Scores are joined back on ``(pool, value)``; AQE broadcasts small score
@@ -44,15 +44,17 @@ def running_below(counts: DataFrame, keys: Sequence[str], value: str, cnt: str,
 
     ``counts`` has one row per distinct (keys, value). The running sum is
     split across range partitions so a large group spreads over many tasks.
-    Range bounds come from sampling the exchange input; sorting that input
-    within its (deterministic) hash partitions first makes the sample, and so
-    every row's range, identical in both branches and on any task retry.
+    Range bounds come from sampling the exchange input, which is not
+    repeatable across executions; the range-tagged counts are therefore
+    checkpointed (reliably, into the checkpoint folder) so both branches and
+    any retried task see the same assignment. The counts are one row per
+    distinct value, much smaller than the input.
     """
     keys = list(keys)
     n = num_ranges or _num_ranges(counts)
     payload = [c for c in counts.columns if c not in {*keys, value, cnt}]
-    core = counts.select(*keys, value, cnt).sortWithinPartitions(*keys, value)
-    ranged = core.repartitionByRange(n, *keys, value).withColumn("_rng", F.spark_partition_id())
+    core = counts.select(*keys, value, cnt)
+    ranged = cut_lineage(core.repartitionByRange(n, *keys, value).withColumn("_rng", F.spark_partition_id()))
     per_range = ranged.groupBy("_rng", *keys).agg(F.sum(cnt).alias("_rtot"))
     before = Window.partitionBy(*keys).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select("_rng", *keys, F.coalesce(F.sum("_rtot").over(before), F.lit(0)).alias("_off"))
@@ -135,12 +137,14 @@ def rank_scores(df: DataFrame, specs: Mapping[str, tuple[Column | str, bool]],
     # reliable checkpoint pins it (and its range bounds) and keeps the
     # per-feature join-back plans short.
     table = cut_lineage(rank_table(work, {name: F.col(tmp[name]) for name in specs}, by))
-    for name, (_, higher) in specs.items():
+    for i, (name, (_, higher)) in enumerate(specs.items()):
+        vkey, nkey = f"_rkj_{i}", f"_rkn_{i}"
         part = table.filter(F.col(_F) == name).select(
-            *[F.col(b).alias(f"_rkb_{b}") for b in by], F.col(_V).alias("_rkj"),
+            *by, F.coalesce(F.col(_V), F.lit(0.0)).alias(vkey), F.col(_V).isNull().alias(nkey),
             (F.col("pct") if higher else F.lit(1.0) - F.col("pct")).alias(name))
-        cond = [work[b] == part[f"_rkb_{b}"] for b in by] + [work[tmp[name]].eqNullSafe(part["_rkj"])]
-        work = work.join(part, cond, "left").drop(*[f"_rkb_{b}" for b in by], "_rkj")
+        work = (work.withColumn(vkey, F.coalesce(F.col(tmp[name]), F.lit(0.0)))
+                .withColumn(nkey, F.col(tmp[name]).isNull())
+                .join(part, [*by, vkey, nkey], "left").drop(vkey, nkey))
     return work.drop(*tmp.values())
 
 

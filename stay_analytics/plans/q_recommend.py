@@ -5,6 +5,7 @@ from __future__ import annotations
 from ..functions.numeric import pround
 from ..operators import recommend as rc
 from ..operators.ranking import rank_scores
+from pyspark.sql import functions as F
 from ..sources import fixtures as fx
 from .registry import register
 from .sqlkit import avg_rank_sql, dbl, filled_sql, pround_sql, with_views
@@ -44,34 +45,75 @@ _DISPLAY_SQL = """listing_id, city, neighbourhood_cleansed, room_type, property_
   distance_to_center_km, CAST(amenities_count AS BIGINT) AS amenities_count, value_score, recommendation_reason"""
 
 
-def scored_sql(pool: list[str], source: str) -> str:
-    """CTEs ``filled`` and ``scored``: six pool ranks, value score, reason."""
+def scored_sql(pool: list[str], source: str, sfx: str = "") -> str:
+    """CTEs ``filled``, ``ranked``, ``scored``, ``scored2`` (+ suffix): six pool ranks, value score, reason."""
     fills = ",\n  ".join(filled_sql(col, pool, f"f_{k}") for k, col, _ in _RANK_FEATURES)
     ranks = ",\n  ".join(f"{avg_rank_sql(f'f_{k}', pool, hi)} AS s_{k}" for k, _, hi in _RANK_FEATURES)
     value = _weighted_sql(rc.VALUE_WEIGHTS)
-    return f""", filled AS (SELECT *,
+    return f""", filled{sfx} AS (SELECT *,
   {fills}
   FROM {source}),
-ranked AS (SELECT *,
+ranked{sfx} AS (SELECT *,
   {ranks}
-  FROM filled),
-scored AS (SELECT *, 1.0 - s_price_hi AS s_price FROM ranked),
-scored2 AS (SELECT *,
+  FROM filled{sfx}),
+scored{sfx} AS (SELECT *, 1.0 - s_price_hi AS s_price FROM ranked{sfx}),
+scored2{sfx} AS (SELECT *,
   {pround_sql(f'({value}) * 100', 1)} AS value_score,
   {_reason_sql()} AS recommendation_reason
-  FROM scored)
+  FROM scored{sfx})
 """
 
 
-def top_sql(pool: list[str], style_expr: str, order: str, limit: int) -> str:
+def top_sql(pool: list[str], style_expr: str, order: str, limit: int, source: str = "scored2",
+            extra_cols: str = "") -> str:
     p = ", ".join(pool)
-    extra = "".join(f"{c}, " for c in pool if c != "city")
+    extra = "".join(f"{c}, " for c in pool if c != "city") + extra_cols
     return f"""SELECT {extra}CAST(rnk AS BIGINT) AS rank, {_DISPLAY_SQL} FROM (
   SELECT *, row_number() OVER (PARTITION BY {p} ORDER BY {order}, listing_id) AS rnk
-  FROM (SELECT *, {style_expr} AS recommendation_style_score FROM scored2) x) y
+  FROM (SELECT *, {style_expr} AS recommendation_style_score FROM {source}) x) y
 WHERE rnk <= {limit}"""
 
 
+def budget_narrow_sql(pool: list[str], src: str, name: str, limit: int) -> str:
+    """Budget narrowing: price <= pool q65 when >= max(limit, 8) prices and >= min(limit, 3) remain."""
+    p = ", ".join(pool)
+    return f""", {name}_a AS (SELECT *, CASE WHEN count(price_eur) OVER (PARTITION BY {p}) >= {max(limit, 8)}
+    THEN quantile_cont(price_eur, 0.65) OVER (PARTITION BY {p}) END AS cut FROM {src}),
+{name}_b AS (SELECT *, sum(CASE WHEN coalesce(price_eur <= cut, false) THEN 1 ELSE 0 END) OVER (PARTITION BY {p}) AS nin
+  FROM {name}_a),
+{name} AS (SELECT * FROM {name}_b WHERE NOT (cut IS NOT NULL AND nin >= {min(limit, 3)}) OR coalesce(price_eur <= cut, false))
+"""
+
+
+_LUX_FEATURES = [  # name, sql value, default-when-missing handled by caller
+    ("l_rating", "review_scores_rating"), ("l_value_rating", "review_scores_value"),
+    ("l_luxury", "CAST(coalesce(has_air_conditioning, 0) AS DOUBLE)"), ("l_amenity", "amenities_count"),
+    ("l_guests", "accommodates"), ("l_bedrooms", "CAST(0.0 AS DOUBLE)"), ("l_availability", "availability_30"),
+    ("l_price_hi", "price_eur"),
+]
+
+
+def luxury_sql(pool: list[str], src: str, name: str, limit: int) -> str:
+    """Luxury: entire-home narrowing (if >= min(limit, 3)), then 8 ranks recomputed on the narrowed pool."""
+    p = ", ".join(pool)
+    fills = ",\n  ".join(filled_sql(v, pool, f"f_{k}") for k, v in _LUX_FEATURES)
+    ranks = ",\n  ".join(f"{avg_rank_sql(f'f_{k}', pool, True)} AS s_{k}" for k, _ in _LUX_FEATURES)
+    w = {"rating": 0.20, "value_rating": 0.16, "luxury": 0.18, "amenity": 0.12, "guests": 0.14, "bedrooms": 0.08,
+         "availability": 0.04, "price_hi": 0.08}
+    expr = " + ".join(f"{dbl(v)} * s_l_{k}" for k, v in w.items())
+    return f""", {name}_n AS (SELECT *, sum(CASE WHEN lower(room_type) = 'entire home/apt' THEN 1 ELSE 0 END)
+    OVER (PARTITION BY {p}) AS nent FROM {src}),
+{name}_k AS (SELECT * EXCLUDE (nent) FROM {name}_n WHERE nent < {min(limit, 3)} OR coalesce(lower(room_type) = 'entire home/apt', false)),
+{name}_f AS (SELECT *, {fills} FROM {name}_k),
+{name}_r AS (SELECT *, {ranks} FROM {name}_f),
+{name} AS (SELECT *, {expr} AS lux_score FROM {name}_r)
+"""
+
+
+LUXURY_ORDER = ("recommendation_style_score DESC NULLS LAST, review_scores_rating DESC NULLS LAST, "
+                "amenities_count DESC NULLS LAST, price_eur DESC NULLS LAST")
+
+
 VALUE_ORDER = ("recommendation_style_score DESC NULLS LAST, review_scores_value DESC NULLS LAST, "
                "review_scores_rating DESC NULLS LAST, price_eur ASC NULLS LAST")
 DEFAULT_ORDER = "value_score DESC NULLS LAST, review_scores_rating DESC NULLS LAST, price_eur ASC NULLS LAST"
@@ -87,3 +129,143 @@ FLAGSHIP_SQL = (with_views("listings")[:-1] + scored_sql(["city"], "listings")
 def top_value_listings(spark, sf_dir):
     """RC6 flagship: top 10 listings per city, value style, ranks over each city pool."""
     return rc.get_recommendations(fx.listings(spark, sf_dir), limit=10, by=["city"])
+
+
+_BUDGET_STYLE = " + ".join(f"{dbl(w)} * s_{k}" for k, w in rc.BUDGET_WEIGHTS)
+
+RC2_SQL = (with_views("listings")[:-1] + scored_sql(["city"], "listings")
+           + budget_narrow_sql(["city"], "scored2", "bud", 10)
+           + top_sql(["city"], _BUDGET_STYLE, BUDGET_ORDER, 10, source="bud"))
+
+
+@register("rc2_budget_style_per_city", RC2_SQL)
+def budget_style(spark, sf_dir):
+    """RC2: budget style: q65 price narrowing (scores kept from the full pool), top 10 per city."""
+    return rc.get_recommendations(fx.listings(spark, sf_dir), limit=10, by=["city"], recommendation_style="Budget")
+
+
+RC4_SQL = (with_views("listings")[:-1] + scored_sql(["city"], "listings")
+           + luxury_sql(["city"], "scored2", "lux", 10)
+           + top_sql(["city"], "lux_score", LUXURY_ORDER, 10, source="lux"))
+
+
+@register("rc4_luxury_style_per_city", RC4_SQL)
+def luxury_style(spark, sf_dir):
+    """RC4: luxury style: entire-home narrowing and eight ranks recomputed on the narrowed pool."""
+    return rc.get_recommendations(fx.listings(spark, sf_dir), limit=10, by=["city"], recommendation_style="Luxury")
+
+
+RC5_SQL = (with_views("listings")[:-1] + scored_sql(["city"], "listings")
+           + top_sql(["city"], "value_score", DEFAULT_ORDER, 10))
+
+
+@register("rc5_default_style_per_city", RC5_SQL)
+def default_style(spark, sf_dir):
+    """RC5/Q4: an unknown style ("In Style") sorts by value score, rating, price."""
+    return rc.get_recommendations(fx.listings(spark, sf_dir), limit=10, by=["city"], recommendation_style="In Style")
+
+
+_FI3_FILTERS = dict(budget_max=300, guests=2, min_rating=4.5, max_distance_km=8, min_available_days_30=3,
+                    min_reviews=2, amenities=["WiFi"])
+RC6F_SQL = (with_views("listings")[:-1] + """, pool AS (SELECT * FROM listings WHERE price_eur <= 300 AND accommodates >= 2
+  AND (review_scores_rating >= 4.5 OR review_scores_rating IS NULL) AND distance_to_center_km <= 8
+  AND availability_30 >= 3 AND number_of_reviews >= 2 AND has_wifi = 1)
+""" + scored_sql(["city"], "pool") + top_sql(["city"], _weighted_sql(rc.VALUE_STYLE_WEIGHTS), VALUE_ORDER, 10))
+
+
+@register("fi3_filtered_recommendations", RC6F_SQL)
+def filtered_recs(spark, sf_dir):
+    """FI3 + RC6: conjunctive filters (rating keeps unrated rows), ranks over the filtered pool."""
+    return rc.get_recommendations(fx.listings(spark, sf_dir), limit=10, by=["city"], **_FI3_FILTERS)
+
+
+@register("wn1_global_average_rank", with_views("listings")[:-1] + f""", f AS (SELECT listing_id,
+  {filled_sql('review_scores_rating', [], 'fr')}, {filled_sql('price_eur', [], 'fp')} FROM listings)
+SELECT listing_id, {avg_rank_sql('fr', [], True)} AS rating_rank, {avg_rank_sql('fp', [], False)} AS price_rank FROM f""")
+def global_rank(spark, sf_dir):
+    """WN1: average percentile ranks over the whole table (no pool key; range-split running counts)."""
+    l = fx.listings(spark, sf_dir).select("listing_id", "review_scores_rating", "price_eur")
+    r = rank_scores(l, {"rating_rank": ("review_scores_rating", True), "price_rank": ("price_eur", False)})
+    return r.select("listing_id", "rating_rank", "price_rank")
+
+
+@register("rc8_neighbourhood_value_score", with_views("listings")[:-1] + f""", g AS (
+  SELECT city, neighbourhood_cleansed, count(*) AS listings, {pround_sql('median(price_eur)', 2)} AS median_price_eur,
+    {pround_sql('avg(price_eur)', 2)} AS mean_price_eur, {pround_sql('avg(review_scores_rating)', 2)} AS mean_rating,
+    {pround_sql('avg(review_scores_value)', 2)} AS mean_value_rating,
+    {pround_sql('median(distance_to_center_km)', 2)} AS median_distance_km,
+    {pround_sql('median(availability_30)', 2)} AS median_availability_30
+  FROM listings GROUP BY city, neighbourhood_cleansed HAVING count(*) >= 25),
+f AS (SELECT *, {filled_sql('median_price_eur', ['city'], 'a')}, {filled_sql('mean_rating', ['city'], 'b')},
+  {filled_sql('mean_value_rating', ['city'], 'c')}, {filled_sql('median_distance_km', ['city'], 'd')} FROM g)
+SELECT city, neighbourhood_cleansed, listings, median_price_eur, mean_price_eur, mean_rating, mean_value_rating,
+  median_distance_km, median_availability_30,
+  {pround_sql(f"({dbl(0.45)} * {avg_rank_sql('a', ['city'], False)} + {dbl(0.30)} * {avg_rank_sql('b', ['city'], True)} + {dbl(0.15)} * {avg_rank_sql('c', ['city'], True)} + {dbl(0.10)} * {avg_rank_sql('d', ['city'], False)}) * 100", 1)} AS neighbourhood_value_score
+FROM f""")
+def area_value(spark, sf_dir):
+    """RC8: neighbourhood value score from rounded area stats (>= 25 listings)."""
+    return rc.neighbourhood_value(fx.listings(spark, sf_dir))
+
+
+# ----------------------------------------------------------------- RC7 batch
+def _base_requests(listings):
+    return listings.select("city").distinct().select(
+        F.col("city").alias("request_id"), "city", F.lit(300.0).alias("budget_max"), F.lit(2).alias("guests"),
+        F.lit("Any").alias("room_type"), F.lit("Any").alias("neighbourhood"),
+        F.array().cast("array<string>").alias("amenities"), F.lit(3.0).alias("min_rating"),
+        F.lit(8.0).alias("max_distance_km"), F.lit(0).alias("min_available_days_30"))
+
+
+def _styled_sql() -> str:
+    parts = [with_views("listings")[:-1] + ", req AS (SELECT DISTINCT city FROM listings)\n"]
+    selects = []
+    for style, cfg in rc.STYLE_CONFIG.items():
+        t = style.replace(" ", "").lower()
+        rating = max(3.0, float(cfg["min_rating"] or 0))
+        room = cfg.get("room_type")
+        relax = [f"coalesce(l.price_eur <= 300.0, false)", "coalesce(l.accommodates >= 2, false)",
+                 f"coalesce(l.review_scores_rating IS NULL OR l.review_scores_rating >= {rating}, false)",
+                 "coalesce(l.distance_to_center_km <= 8.0, false)", "coalesce(l.availability_30 >= 1, false)"]
+        if room:
+            relax.append(f"coalesce(l.room_type = '{room}', false)")
+        base = [f"coalesce(l.number_of_reviews >= {int(cfg['min_reviews'])}, false)"]
+        if cfg.get("min_luxury_amenities"):
+            base.append(f"coalesce(CAST(coalesce(l.has_air_conditioning, 0) AS DOUBLE) >= {cfg['min_luxury_amenities']}, false)")
+        aq = cfg.get("amenity_floor_quantile")
+        amen = (f"""SELECT request_id, CASE WHEN count(amenities_count) >= 30 THEN greatest(1, CAST({pround_sql(f'quantile_cont(amenities_count, {aq})', 0)} AS BIGINT)) END AS amenity_floor
+  FROM flat_{t} WHERE base_ok GROUP BY request_id""" if aq is not None else
+                f"SELECT DISTINCT request_id, CAST(NULL AS BIGINT) AS amenity_floor FROM flat_{t} WHERE base_ok")
+        parts.append(f""", flat_{t} AS (SELECT r.city || '|{style}' AS request_id, '{style}' AS style, l.*,
+    {' AND '.join(base)} AS base_ok
+  FROM listings l JOIN req r ON l.city = r.city WHERE {' AND '.join(relax)}),
+amen_{t} AS ({amen}),
+f2_{t} AS (SELECT f.*, a.amenity_floor, (a.amenity_floor IS NULL OR f.amenities_count >= a.amenity_floor) AS amen_ok
+  FROM flat_{t} f LEFT JOIN amen_{t} a ON f.request_id = a.request_id),
+pf_{t} AS (SELECT request_id, CASE WHEN count(price_eur) >= 30 AND quantile_cont(price_eur, {cfg['price_floor_quantile']}) > 0
+    THEN quantile_cont(price_eur, {cfg['price_floor_quantile']}) END AS price_floor
+  FROM f2_{t} WHERE base_ok AND coalesce(amen_ok, false) GROUP BY request_id),
+tag_{t} AS (SELECT f.*, p.price_floor, base_ok AND coalesce(amen_ok, false)
+    AND coalesce(p.price_floor IS NULL OR f.price_eur >= p.price_floor, false) AS strict_ok
+  FROM f2_{t} f LEFT JOIN pf_{t} p ON f.request_id = p.request_id),
+lvl_{t} AS (SELECT *, CASE WHEN max(CASE WHEN strict_ok THEN 1 ELSE 0 END) OVER (PARTITION BY request_id) = 1 THEN 0 ELSE 1 END AS relaxation_level
+  FROM tag_{t}),
+pool_{t} AS (SELECT * EXCLUDE (base_ok, amen_ok, strict_ok) FROM lvl_{t} WHERE relaxation_level = 1 OR strict_ok)
+""")
+        parts.append(scored_sql(["request_id"], f"pool_{t}", f"_{t}"))
+        extra = "style, CAST(relaxation_level AS BIGINT) AS relaxation_level, price_floor, CAST(amenity_floor AS BIGINT) AS amenity_floor, "
+        if style == "Budget":
+            parts.append(budget_narrow_sql(["request_id"], f"scored2_{t}", f"bud_{t}", 10))
+            selects.append(top_sql(["request_id"], _BUDGET_STYLE, BUDGET_ORDER, 10, f"bud_{t}", extra))
+        elif style == "Luxury":
+            parts.append(luxury_sql(["request_id"], f"scored2_{t}", f"lux_{t}", 10))
+            selects.append(top_sql(["request_id"], "lux_score", LUXURY_ORDER, 10, f"lux_{t}", extra))
+        else:
+            selects.append(top_sql(["request_id"], "value_score", DEFAULT_ORDER, 10, f"scored2_{t}", extra))
+    return "".join(parts) + "\nUNION ALL\n".join(f"({s_})" for s_ in selects)
+
+
+@register("rc7_styled_requests_batch", _styled_sql())
+def styled(spark, sf_dir):
+    """RC7+RC9+FI4+FI5+FI10: one request per city x style with floors and the relaxation fallback."""
+    l = fx.listings(spark, sf_dir)
+    return rc.styled_recommendations(l, _base_requests(l))
