@@ -439,15 +439,15 @@ def travel_windows(pool: DataFrame, season_cols: dict, by: Sequence[str] = ("cit
     """RC11: per (pool, season): listings with a signal; price pool = likely-available
     (< 1.0) when >= 10 such rows, else all; count, mean/median price, mean unavailable."""
     by = list(by)
-    long = pool.select(*by, "price_eur", F.inline(F.array(*[F.struct(F.lit(s).alias("window"),
+    long = pool.select(*by, "price_eur", F.inline(F.array(*[F.struct(F.lit(s).alias("travel_window"),
                                                                       F.col(c).cast("double").alias("_u"))
                                                             for s, c in season_cols.items()])))
     long = long.filter(F.col("_u").isNotNull())
     likely = F.col("_u") < 1.0
-    n_likely = long.groupBy(*by, "window").agg(F.sum(likely.cast("int")).alias("_nl"))
-    j = long.join(n_likely, [*by, "window"])
+    n_likely = long.groupBy(*by, "travel_window").agg(F.sum(likely.cast("int")).alias("_nl"))
+    j = long.join(n_likely, [*by, "travel_window"])
     keep = (F.col("_nl") < min_likely) | likely
-    g = j.filter(keep).groupBy(*by, "window").agg(
+    g = j.filter(keep).groupBy(*by, "travel_window").agg(
         F.count(F.lit(1)).alias("count"), F.avg("price_eur").alias("mean_price"),
         F.median("price_eur").alias("median_price"), F.avg("_u").alias("mean_unavailable"),
         F.count("price_eur").alias("_np"))
@@ -459,18 +459,19 @@ def window_decision(windows: DataFrame, by: Sequence[str] = ("city",), target_wi
     """RC12: cheapest window; if more than one window and the mean-price spread is <= 2 EUR,
     the lowest mean unavailable breaks the tie; saving of the requested window vs the cheapest."""
     by = list(by)
-    cheapest = F.min_by(F.struct("window", "mean_price"), F.struct("mean_price", "window"))
-    calm = F.min_by("window", F.struct(F.coalesce("mean_unavailable", F.lit(float("inf"))), "window"))
+    cheapest = F.min_by(F.struct("travel_window", "mean_price"),
+                        F.struct(pround("mean_price", 6), F.col("travel_window")))  # float ties -> name
+    calm = F.min_by("travel_window", F.struct(F.coalesce("mean_unavailable", F.lit(float("inf"))), "travel_window"))
     g = windows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("windows"), cheapest.alias("_c"),
         (F.max("mean_price") - F.min("mean_price")).alias("price_spread"), calm.alias("_calm"),
-        F.max(F.when(F.col("window") == F.lit(target_window), F.col("mean_price"))).alias("_target"))
+        F.max(F.when(F.col("travel_window") == F.lit(target_window), F.col("mean_price"))).alias("_target"))
     tie = (F.col("windows") > 1) & (F.col("price_spread") <= tie_eur)
-    return g.select(*by, "windows", F.col("_c.window").alias("cheapest_window"),
+    return g.select(*by, "windows", F.col("_c.travel_window").alias("cheapest_window"),
                     F.col("_c.mean_price").alias("cheapest_mean_price"), "price_spread",
                     F.when(tie, F.col("_calm")).alias("tie_break_window"),
                     F.when(tie, F.lit("tie")).when(F.col("_target").isNotNull()
-                                                   & (F.lit(target_window) != F.col("_c.window")), F.lit("saving"))
+                                                   & (F.lit(target_window) != F.col("_c.travel_window")), F.lit("saving"))
                     .otherwise(F.lit("cheapest")).alias("decision"),
                     (F.col("_target") - F.col("_c.mean_price")).alias("nightly_saving"),
                     ((F.col("_target") - F.col("_c.mean_price")) * nights).alias("stay_saving"))

@@ -269,3 +269,138 @@ def styled(spark, sf_dir):
     """RC7+RC9+FI4+FI5+FI10: one request per city x style with floors and the relaxation fallback."""
     l = fx.listings(spark, sf_dir)
     return rc.styled_recommendations(l, _base_requests(l))
+
+
+# ------------------------------------------------------ seasonal / timing
+_SEASONS = ["winter", "spring", "summer", "autumn"]
+SEASON_COLS = {s.title(): f"calendar_unavailable_{s}" for s in _SEASONS}
+
+
+def _listings_with_seasons(spark, sf_dir):
+    """Listings with seasonal unavailable rates of calendar listing (listing_id % 10) + 1."""
+    from ..operators import calendar as cl
+    calr = cl.calendar_rollup(fx.calendar(spark, sf_dir)).select(
+        F.col("listing_id").alias("_sk"), *[F.col(c) for c in SEASON_COLS.values()])
+    l = fx.listings(spark, sf_dir)
+    return l.join(calr, (l.listing_id % 10 + 1) == calr._sk, "left").drop("_sk")
+
+
+def _seasons_sql() -> str:
+    un = "(CASE WHEN available = 't' THEN 0 ELSE 1 END)"
+    from .q_calendar import season_sql
+    rates = ", ".join(f"sum(CASE WHEN {season_sql('date')} = '{s}' THEN {un} END) / "
+                      f"count(CASE WHEN {season_sql('date')} = '{s}' THEN 1 END) AS calendar_unavailable_{s}"
+                      for s in _SEASONS)
+    return (with_views("listings", "calendar")[:-1] + f""", calr AS (SELECT listing_id AS sk, {rates} FROM calendar GROUP BY listing_id),
+ls AS (SELECT l.*, {', '.join(f'c.calendar_unavailable_{s}' for s in _SEASONS)}
+  FROM listings l LEFT JOIN calr c ON l.listing_id % 10 + 1 = c.sk)
+""")
+
+
+def _rc10_sql() -> str:
+    long = " UNION ALL ".join(f"SELECT *, '{s.title()}' AS season, CAST(calendar_unavailable_{s} AS DOUBLE) AS su FROM scored2"
+                              for s in _SEASONS)
+    return (_seasons_sql() + scored_sql(["city"], "ls") + f""", lg AS ({long}),
+lk AS (SELECT * FROM lg QUALIFY count(su) OVER (PARTITION BY city, season) > 0),
+lf AS (SELECT *, {filled_sql('su', ['city', 'season'], 'fs')} FROM lk),
+lr AS (SELECT *, {pround_sql(avg_rank_sql('fs', ['city', 'season'], False) + ' * 100', 1)} AS season_fit_score FROM lf),
+la AS (SELECT *, {pround_sql(f'{dbl(0.70)} * coalesce(value_score, 50.0) + {dbl(0.30)} * season_fit_score', 1)} AS season_adjusted_score FROM lr)
+SELECT city, season, CAST(rank AS BIGINT) AS rank, listing_id, price_eur, value_score, season_fit_score, season_adjusted_score,
+  fs AS season_unavailable_rate FROM (
+  SELECT *, row_number() OVER (PARTITION BY city, season ORDER BY season_adjusted_score DESC NULLS LAST, value_score DESC NULLS LAST,
+    review_scores_rating DESC NULLS LAST, price_eur ASC NULLS LAST, listing_id) AS rank FROM la) WHERE rank <= 3""")
+
+
+@register("rc10_seasonal_recommendations", _rc10_sql())
+def seasonal(spark, sf_dir):
+    """RC10: per city and season, value score blended with the season-availability fit, top 3."""
+    return rc.seasonal_recommendations(_listings_with_seasons(spark, sf_dir), SEASON_COLS)
+
+
+def _windows_sql_body() -> str:
+    long = " UNION ALL ".join(f"SELECT city, price_eur, '{s.title()}' AS travel_window, CAST(calendar_unavailable_{s} AS DOUBLE) AS u FROM ls"
+                              for s in _SEASONS)
+    return f""", wl AS (SELECT * FROM ({long}) WHERE u IS NOT NULL),
+wn AS (SELECT *, sum(CASE WHEN u < 1.0 THEN 1 ELSE 0 END) OVER (PARTITION BY city, travel_window) AS nl FROM wl),
+win AS (SELECT city, travel_window, count(*) AS count, avg(price_eur) AS mean_price, median(price_eur) AS median_price,
+  avg(u) AS mean_unavailable FROM wn WHERE nl < 10 OR u < 1.0 GROUP BY city, travel_window HAVING count(price_eur) > 0)
+"""
+
+
+@register("rc11_travel_windows", _seasons_sql()[:-1] + _windows_sql_body() + "SELECT * FROM win")
+def windows(spark, sf_dir):
+    """RC11: per city and season travel_window: count, mean/median price, mean unavailable (likely-available pool)."""
+    return rc.travel_windows(_listings_with_seasons(spark, sf_dir), SEASON_COLS)
+
+
+@register("rc12_window_decision", _seasons_sql()[:-1] + _windows_sql_body() + """,
+ch AS (SELECT city, travel_window AS cheapest_window, mean_price AS cheapest_mean_price FROM win
+  QUALIFY row_number() OVER (PARTITION BY city ORDER BY """ + pround_sql('mean_price', 6) + """, travel_window) = 1),
+ca AS (SELECT city, travel_window AS calm FROM win
+  QUALIFY row_number() OVER (PARTITION BY city ORDER BY coalesce(mean_unavailable, 'inf'::DOUBLE), travel_window) = 1),
+g AS (SELECT city, count(*) AS windows, max(mean_price) - min(mean_price) AS price_spread,
+  max(CASE WHEN travel_window = 'Summer' THEN mean_price END) AS target FROM win GROUP BY city)
+SELECT g.city, g.windows, ch.cheapest_window, ch.cheapest_mean_price, g.price_spread,
+  CASE WHEN g.windows > 1 AND g.price_spread <= 2.0 THEN ca.calm END AS tie_break_window,
+  CASE WHEN g.windows > 1 AND g.price_spread <= 2.0 THEN 'tie'
+       WHEN g.target IS NOT NULL AND ch.cheapest_window <> 'Summer' THEN 'saving' ELSE 'cheapest' END AS decision,
+  g.target - ch.cheapest_mean_price AS nightly_saving, (g.target - ch.cheapest_mean_price) * 3 AS stay_saving
+FROM g JOIN ch ON g.city = ch.city JOIN ca ON g.city = ca.city""")
+def decision(spark, sf_dir):
+    """RC12: cheapest travel_window, availability tie-break within 2 EUR, saving vs a requested Summer stay."""
+    return rc.window_decision(rc.travel_windows(_listings_with_seasons(spark, sf_dir), SEASON_COLS),
+                              target_window="Summer", nights=3)
+
+
+_RECS_CTE = (with_views("listings")[:-1] + scored_sql(["city"], "listings") + ", recs AS ("
+             + top_sql(["city"], _weighted_sql(rc.VALUE_STYLE_WEIGHTS), VALUE_ORDER, 10) + ")\n")
+
+
+def _flagship(spark, sf_dir):
+    return rc.get_recommendations(fx.listings(spark, sf_dir), limit=10, by=["city"])
+
+
+@register("rc13_shortlist_vs_market", _RECS_CTE + """,
+s AS (SELECT city, count(*) AS shown, median(price_eur) AS shortlist_median_price_eur, avg(value_score) AS avg_value_score
+  FROM recs WHERE rank <= 5 GROUP BY city),
+m AS (SELECT city, median(price_eur) AS market_median_price_eur FROM listings GROUP BY city)
+SELECT s.*, m.market_median_price_eur FROM s LEFT JOIN m ON s.city = m.city""")
+def shortlist(spark, sf_dir):
+    """RC13: shortlist (first 5) median price and mean score vs the market median."""
+    return rc.shortlist_vs_market(_flagship(spark, sf_dir), fx.listings(spark, sf_dir))
+
+
+@register("rc14_stay_totals", _RECS_CTE + f"""SELECT city, rank, listing_id, price_eur,
+  {pround_sql('price_eur * 3', 2)} AS estimated_stay_total_eur FROM recs""")
+def stay_totals(spark, sf_dir):
+    """RC14: nightly price x 3 nights for the recommended listings."""
+    r = _flagship(spark, sf_dir).select("city", "rank", "listing_id", "price_eur")
+    return rc.stay_totals(r, 3)
+
+
+@register("rc16_default_filters", L16 := with_views("listings") + """
+SELECT CAST(floor(greatest(50.0, least(500.0, quantile_cont(price_eur, 0.95)))) AS BIGINT) AS price_max,
+  CAST(least(150, greatest(CAST(floor(greatest(50.0, least(500.0, quantile_cont(price_eur, 0.95)))) AS BIGINT), 100)) AS BIGINT) AS budget_max,
+  CAST(2 AS BIGINT) AS guests, 'Any' AS room_type, 'Any' AS neighbourhood, 4.0::DOUBLE AS min_rating,
+  CAST(15 AS BIGINT) AS max_distance_km, CAST(0 AS BIGINT) AS min_available_days_30, CAST(3 AS BIGINT) AS stay_nights
+FROM listings""")
+def defaults(spark, sf_dir):
+    """RC16: data-driven default filters (price cap from the 95th percentile)."""
+    return rc.default_filters(fx.listings(spark, sf_dir))
+
+
+@register("fi11_distance_cap_display", _RECS_CTE + """,
+fl AS (SELECT city, max(CASE WHEN coalesce(distance_to_center_km <= 1.0, false) THEN 1 ELSE 0 END) AS anyin FROM recs GROUP BY city),
+k AS (SELECT r.*, fl.anyin FROM recs r JOIN fl ON r.city = fl.city
+  WHERE fl.anyin = 0 OR coalesce(r.distance_to_center_km <= 1.0, false)),
+m AS (SELECT *, CASE WHEN anyin = 1 THEN 'Lowest price' ELSE 'Closest centre' END AS rank_mode FROM k)
+SELECT city, rank, listing_id, price_eur, distance_to_center_km, value_score, rank_mode, anyin = 1 AS distance_filter_applied,
+  CAST(row_number() OVER (PARTITION BY city ORDER BY
+    CASE WHEN rank_mode = 'Lowest price' THEN price_eur WHEN rank_mode = 'Closest centre' THEN distance_to_center_km ELSE rank END ASC NULLS LAST,
+    -value_score ASC NULLS LAST, rank) AS BIGINT) AS display_rank
+FROM m""")
+def distance_display(spark, sf_dir):
+    """FI11: 1 km cap with nearest-first fallback, then lowest-price display order."""
+    r = _flagship(spark, sf_dir).select("city", "rank", "listing_id", "price_eur", "distance_to_center_km",
+                                         "value_score")
+    return rc.display_with_distance_cap(r, ["city"], 1.0, "Lowest price")
