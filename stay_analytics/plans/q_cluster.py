@@ -1 +1,136 @@
-"""Registered queries."""
+"""Registered segmentation queries (CL1-CL10, FI9, SO3)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import cluster as cs
+from ..operators.filters import complete_cases
+from ..sources import fixtures as fx
+from ..sources.tables import read_table
+from .registry import register
+from .sqlkit import pround_sql, with_views
+
+# The nine clustering inputs (fixture column names).
+FEATURES = ["price_eur", "accommodates", "amenities_count", "distance_to_center_km", "availability_365",
+            "review_scores_rating", "minimum_nights", "number_of_reviews", "availability_30"]
+
+
+def _complete(spark, sf_dir):
+    l = fx.listings(spark, sf_dir).select("listing_id", "city", *FEATURES)
+    return complete_cases(l, FEATURES)
+
+
+_COMPLETE_SQL = with_views("listings")[:-1] + ", cc AS (SELECT listing_id, city, " + ", ".join(
+    f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURES) + " FROM listings WHERE " + " AND ".join(
+    f"{c} IS NOT NULL AND NOT isinf(CAST({c} AS DOUBLE)) AND NOT isnan(CAST({c} AS DOUBLE))" for c in FEATURES) + ")\n"
+
+
+@register("cl1_scaled_features", _COMPLETE_SQL + "SELECT listing_id, city, " + ", ".join(
+    f"{c}, CASE WHEN stddev_pop({c}) OVER (PARTITION BY city) = 0 THEN 0.0 ELSE ({c} - avg({c}) OVER (PARTITION BY city)) "
+    f"/ stddev_pop({c}) OVER (PARTITION BY city) END AS {c}_z" for c in FEATURES) + " FROM cc")
+def scaled(spark, sf_dir):
+    """FI9 + CL1: complete cases on nine features, z-scores per city with the population std."""
+    return cs.scale_features(_complete(spark, sf_dir), FEATURES)
+
+
+@register("cl4_segment_profile", _COMPLETE_SQL + f""", g AS (SELECT city, CAST(listing_id % 4 AS BIGINT) AS cluster_id, count(*) AS listings,
+  {pround_sql('median(price_eur)', 2)} AS median_price_eur, {pround_sql('avg(price_eur)', 2)} AS mean_price_eur,
+  {pround_sql('median(accommodates)', 2)} AS median_accommodates, {pround_sql('median(amenities_count)', 2)} AS median_amenities,
+  {pround_sql('median(distance_to_center_km)', 2)} AS median_distance_to_center_km,
+  {pround_sql('median(availability_365)', 2)} AS median_availability_365, {pround_sql('avg(review_scores_rating)', 2)} AS mean_review_score,
+  {pround_sql('median(minimum_nights)', 2)} AS median_minimum_nights, median(price_eur) AS mp FROM cc GROUP BY city, listing_id % 4)
+SELECT * EXCLUDE (mp, o), CASE WHEN o <= 4 THEN ['Value', 'Standard', 'Premium', 'Luxury'][o] ELSE 'Segment ' || o END AS segment
+FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY mp, cluster_id) AS o FROM g)""")
+def profile(spark, sf_dir):
+    """CL4: cluster profiles named Value < Standard < Premium < Luxury by median price (clusters = id mod 4)."""
+    c = _complete(spark, sf_dir).withColumn("cluster_id", (F.col("listing_id") % 4))
+    return cs.profile_segments(c, "cluster_id")
+
+
+_EMB_SQL = """WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT label, unnest(range(1, len(x) + 1)) AS pos, unnest(x) AS v FROM e),
+c AS (SELECT label, list(v ORDER BY pos) AS c FROM (SELECT label, pos, avg(v) AS v FROM u GROUP BY label, pos) GROUP BY label),
+d AS (SELECT e.vec_id, e.label, c.label AS cid, list_sum(list_transform(range(1, len(e.x) + 1), lambda i: (e.x[i] - c.c[i]) * (e.x[i] - c.c[i]))) AS d2
+  FROM e, c)
+"""
+
+
+@register("cl9_nearest_centroid", _EMB_SQL + """SELECT vec_id, CAST(label AS BIGINT) AS label, CAST(cid AS BIGINT) AS nearest_centroid,
+  sqrt(d2) AS distance FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d2, cid) = 1""")
+def nearest(spark, sf_dir):
+    """CL9: nearest label centroid and distance for every embedding (centroids as one bounded array)."""
+    e = read_table(spark, sf_dir, "embeddings")
+    out = cs.nearest_centroid(e, "embedding", cs.centroids(e, "embedding", "label"))
+    return out.select("vec_id", "label", "nearest_centroid", "distance")
+
+
+@register("cl10_cluster_quality", _EMB_SQL + """, own AS (SELECT label, sum(d2) AS w_j, avg(sqrt(d2)) AS s_j, count(*) AS n_j FROM d WHERE cid = label GROUP BY label),
+allc AS (SELECT list(v ORDER BY pos) AS o FROM (SELECT pos, avg(v) AS v FROM u GROUP BY pos)),
+cl AS (SELECT own.*, c.c, n_j * list_sum(list_transform(range(1, len(c.c) + 1), lambda i: (c.c[i] - allc.o[i]) * (c.c[i] - allc.o[i]))) AS b_j
+  FROM own JOIN c ON own.label = c.label, allc),
+pr AS (SELECT a.label, max((a.s_j + b.s_j) / sqrt(list_sum(list_transform(range(1, len(a.c) + 1), lambda i: (a.c[i] - b.c[i]) * (a.c[i] - b.c[i])))))
+  AS r_j FROM cl a JOIN cl b ON a.label <> b.label GROUP BY a.label)
+SELECT count(*) AS k, CAST(sum(n_j) AS BIGINT) AS n, (sum(b_j) / (count(*) - 1)) / (sum(w_j) / (sum(n_j) - count(*))) AS calinski_harabasz,
+  avg(r_j) AS davies_bouldin FROM cl JOIN pr ON cl.label = pr.label""")
+def quality(spark, sf_dir):
+    """CL10: Calinski-Harabasz and Davies-Bouldin of the given embedding labels."""
+    return cs.cluster_quality(read_table(spark, sf_dir, "embeddings"), "embedding", "label")
+
+
+@register("so3_seeded_sample", with_views("listings") + """SELECT listing_id, city, price_eur FROM listings
+QUALIFY row_number() OVER (PARTITION BY city ORDER BY md5('42:' || CAST(listing_id AS VARCHAR)), listing_id) <= 100""")
+def sample(spark, sf_dir):
+    """SO3: 100 listings per city with the smallest md5(seed:key) (reproducible, partition-stable)."""
+    l = fx.listings(spark, sf_dir).select("listing_id", "city", "price_eur")
+    return cs.seeded_sample(l, "listing_id", 100, ["city"])
+
+
+def _scaled_only(spark, sf_dir):
+    s = cs.scale_features(_complete(spark, sf_dir), FEATURES)
+    return s.select("listing_id", "city", *[f"{c}_z" for c in FEATURES])
+
+
+_Z = [f"{c}_z" for c in FEATURES]
+
+
+@register("cl2_kmeans_sweep")
+def kmeans_sweep(spark, sf_dir):
+    """CL2: k-means k = 2..8: inertia and (squared-Euclidean) silhouette on all scaled rows."""
+    return cs.kmeans_sweep(_scaled_only(spark, sf_dir), _Z)
+
+
+@register("cl3_kmeans_segments")
+def kmeans_fit(spark, sf_dir):
+    """CL3 + CL4: k = 4 (best of three seeds), then the named profile per city."""
+    z = _scaled_only(spark, sf_dir)
+    fitted = cs.fit_kmeans(z, _Z).select("listing_id", "cluster_id")
+    return cs.profile_segments(_complete(spark, sf_dir).join(fitted, "listing_id"), "cluster_id")
+
+
+@register("cl5_pca_view")
+def pca(spark, sf_dir):
+    """CL5: PCA(2) fitted on all scaled rows; a seeded 800-row projection with explained variance."""
+    return cs.pca_view(_scaled_only(spark, sf_dir), _Z, "listing_id", 800)
+
+
+@register("cl6_gmm_sweep")
+def gmm_sweep(spark, sf_dir):
+    """CL6: Gaussian mixtures k = 2..5: log-likelihood, AIC, BIC, membership confidence."""
+    return cs.gmm_sweep(_scaled_only(spark, sf_dir), _Z, range(2, 6))
+
+
+@register("cl7_gmm_membership")
+def gmm_fit(spark, sf_dir):
+    """CL7: GMM k = 4 membership probability, low-confidence flag; summary per cluster."""
+    g = cs.fit_gmm(_scaled_only(spark, sf_dir), _Z)
+    return g.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("listings"),
+                                       F.avg("membership_probability").alias("mean_probability"),
+                                       F.avg(F.col("low_confidence").cast("double")).alias("low_confidence_share"))
+
+
+@register("cl8_ward_segments")
+def ward(spark, sf_dir):
+    """CL8: hierarchical (Ward) segments via 100 micro-clusters and a bounded Ward merge."""
+    w = cs.ward_segments(_scaled_only(spark, sf_dir), _Z, k=4, micro_k=100)
+    return w.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("listings"))
