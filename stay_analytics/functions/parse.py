@@ -145,3 +145,28 @@ def slugify(c) -> Column:
 def clip_text(c, n: int) -> Column:
     """PR37: the first ``n`` characters of the text (whole text when shorter)."""
     return F.substring(col_of(c).cast("string"), 1, n)
+
+
+# Accepted spellings in future-rate payloads.
+RATE_LIST_KEYS = ["rates", "future_rates", "calendar", "entries", "data"]
+DATE_KEYS = ["date", "day", "night"]
+RATE_KEYS = ["nightly_rate", "rate", "price", "amount"]
+AVAILABLE_KEYS = ["available", "is_available", "availability"]
+TRUE_WORDS = ["true", "t", "1", "yes"]
+
+
+def payload_rates(payload) -> Column:
+    """PR35: a JSON payload's rate list as array<struct<date, nightly_rate, available, minimum_nights>>,
+    whichever list key and field spelling it uses."""
+    obj = F.from_json(col_of(payload), "map<string,string>")
+    lst = F.coalesce(*[F.element_at(obj, k) for k in RATE_LIST_KEYS])
+    items = F.from_json(lst, "array<map<string,string>>")
+
+    def pick(m, keys):
+        return F.coalesce(*[F.element_at(m, k) for k in keys])
+
+    return F.transform(items, lambda m: F.struct(
+        pick(m, DATE_KEYS).try_cast("date").alias("date"),
+        pick(m, RATE_KEYS).try_cast("double").alias("nightly_rate"),
+        F.lower(pick(m, AVAILABLE_KEYS)).isin(*TRUE_WORDS).alias("available"),
+        F.element_at(m, "minimum_nights").try_cast("int").alias("minimum_nights")))

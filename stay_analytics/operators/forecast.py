@@ -203,3 +203,35 @@ def enrich(df: DataFrame, cache: DataFrame, key: Sequence[str] = ("listing_id",)
     key = list(key)
     same = [c for c in cache.columns if c in df.columns and c not in key]
     return df.drop(*same).join(cache, key, "left")
+
+
+def scenario_overrides(scenarios: DataFrame) -> DataFrame:
+    """PR38: host-side feature values for a price scenario (beds = max(round(guests / 2), 1),
+    availability expanded from the 30-day minimum, ratios), one row per scenario."""
+    g = F.col("accommodates").cast("double")
+    beds = F.greatest(F.rint(g / 2).cast("int"), F.lit(1))
+    a30 = F.col("min_available_days_30").cast("int")
+    has_min = a30 > 0
+    av30 = F.when(has_min, a30).otherwise(F.least(F.greatest(F.coalesce(F.col("default_availability_30").cast("int"),
+                                                                          F.lit(15)), F.lit(0)), F.lit(30)))
+    av60 = F.when(has_min, F.least(F.lit(60), a30 * 2)).otherwise(F.lit(30))
+    av90 = F.when(has_min, F.least(F.lit(90), a30 * 3)).otherwise(F.lit(45))
+    av365 = F.when(has_min, F.least(F.lit(365), F.greatest(F.least(F.lit(90), a30 * 3) * 4, a30))).otherwise(F.lit(180))
+    return scenarios.select(
+        "*", beds.alias("beds"), (F.col("bathrooms") / F.greatest(g, F.lit(1.0))).alias("bathrooms_per_guest"),
+        (beds / F.greatest(g, F.lit(1.0))).alias("beds_per_guest"),
+        (F.col("distance_to_center_km") <= 5).cast("int").alias("is_central_5km"),
+        F.col("min_rating").alias("review_scores_rating"),
+        F.coalesce(F.col("default_review_scores_value"), F.col("min_rating")).alias("review_scores_value"),
+        av30.alias("availability_30"), av60.alias("availability_60"), av90.alias("availability_90"),
+        av365.alias("availability_365"), (av30 / 30.0).alias("availability_30_ratio"),
+        (av365 / 365.0).alias("availability_365_ratio"))
+
+
+def apply_defaults(rows: DataFrame, defaults: DataFrame, features: Sequence[str], key: Sequence[str] = ("city",)) -> DataFrame:
+    """FC7: each feature = coalesce(override, per-city default) so a model can score the row."""
+    d = defaults.select(*key, *[F.col(c).alias(f"_d_{c}") for c in features])
+    j = rows.join(d, list(key), "left")
+    for c in features:
+        j = j.withColumn(c, F.coalesce(F.col(c), F.col(f"_d_{c}")) if c in rows.columns else F.col(f"_d_{c}"))
+    return j.drop(*[f"_d_{c}" for c in features])

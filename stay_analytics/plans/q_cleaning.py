@@ -200,3 +200,116 @@ def union_cities(spark, sf_dir):
     a = l.filter(F.col("city") < "EUROPE").select("listing_id", "city", "price_eur")
     b = l.filter(F.col("city") >= "EUROPE").select("listing_id", "city", "price_eur", "review_scores_rating")
     return a.unionByName(b, allowMissingColumns=True)
+
+
+# ------------------------------------------------------------------ IO, misc
+from ..functions.parse import slugify  # noqa: E402
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..sources import io as sio  # noqa: E402
+
+
+def _scratch(spark, name):
+    import os
+    import uuid
+    return os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:8]}")
+
+
+_RAW_COLS = ["id", "price", "host_response_rate", "host_is_superhost", "bathrooms_text", "amenities", "property_type",
+             "neighbourhood_cleansed", "currency"]
+
+
+@register("io1_csv_scan_existing_columns", with_views("raw_listings") + """
+SELECT id, price, amenities, property_type FROM raw_listings""")
+def csv_scan(spark, sf_dir):
+    """IO1: raw listings round-tripped through CSV; read with an explicit string schema keeping the
+    wanted columns that exist (host_acceptance_rate is reported missing)."""
+    path = _scratch(spark, "raw-listings-csv")
+    sio.write_csv(fx.raw_listings(spark, sf_dir), path)
+    df, missing = sio.read_csv_columns(spark, path, _RAW_COLS, ["id", "price", "amenities", "host_acceptance_rate",
+                                                                 "property_type"])
+    assert missing == ["host_acceptance_rate"]
+    return df.withColumn("id", F.col("id").cast("bigint"))
+
+
+@register("io5_partitioned_layer_readback", with_views("listings") + """
+SELECT listing_id, city, price_eur FROM listings WHERE city IN ('EUROPE', 'ASIA')""")
+def layer_readback(spark, sf_dir):
+    """IO5+IO6: write listings partitioned by city, read two cities back (partition pruning)."""
+    path = _scratch(spark, "listings-layer")
+    sio.write_table(fx.listings(spark, sf_dir).select("listing_id", "city", "price_eur"), path)
+    return sio.read_table_layer(spark, path, ["EUROPE", "ASIA"]).select("listing_id", "city", "price_eur")
+
+
+@register("io8_table_row_counts", " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {t}" for t in
+    ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings",
+     "pages", "benchmark", "labels", "conversations"]))
+def inventory_rows(spark, sf_dir):
+    """IO8: loaded rows per table (one small aggregate each, unioned)."""
+    from ..sources.tables import TABLES
+    counts = sio.row_counts({t: read_table(spark, sf_dir, t) for t in TABLES})
+    return counts.select("table", "rows")
+
+
+@register("io8_file_inventory")
+def inventory_files(spark, sf_dir):
+    """IO8: parquet files with size in MB (binaryFile source, path/length only)."""
+    return sio.file_inventory(spark, sf_dir)
+
+
+@register("io9_available_cities", with_views("listings") + "SELECT DISTINCT city FROM listings")
+def cities(spark, sf_dir):
+    """IO9: cities available in the listings layer."""
+    return sio.available_cities(fx.listings(spark, sf_dir))
+
+
+@register("so5_first_seen_distinct", with_views("listings") + """
+SELECT city, neighbourhood_cleansed, min(listing_id) AS first_seen_listing_id,
+  CAST(row_number() OVER (PARTITION BY city ORDER BY min(listing_id)) AS BIGINT) AS first_seen_order
+FROM listings GROUP BY city, neighbourhood_cleansed""")
+def first_seen(spark, sf_dir):
+    """SO5: distinct neighbourhoods per city in first-seen order (by smallest listing id)."""
+    from pyspark.sql import Window
+    g = fx.listings(spark, sf_dir).groupBy("city", "neighbourhood_cleansed").agg(
+        F.min("listing_id").alias("first_seen_listing_id"))
+    return g.withColumn("first_seen_order", F.row_number().over(
+        Window.partitionBy("city").orderBy("first_seen_listing_id")))
+
+
+@register("ag38_build_audit", with_views("listings", "calendar")[:-1] + """, m AS (
+  SELECT l.*, c.n AS cal_days FROM listings l LEFT JOIN (SELECT listing_id, count(*) AS n FROM calendar GROUP BY 1) c
+  ON l.listing_id = c.listing_id)
+SELECT city, count(*) AS final_rows, count(DISTINCT listing_id) AS listing_ids,
+  CAST(sum(CASE WHEN cal_days IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS rows_missing_calendar_features,
+  """ + pround_sql("sum(CASE WHEN cal_days IS NULL THEN 0 ELSE 1 END) * 100.0 / count(*)", 4) + """ AS calendar_match_pct,
+  """ + pround_sql("median(price_eur)", 4) + """ AS price_median_eur, """ + pround_sql("avg(price_eur)", 4) + """ AS price_mean_eur
+FROM m GROUP BY city""")
+def build_audit(spark, sf_dir):
+    """AG38: build audit per city (rows, ids, calendar match %, price median/mean) in one aggregate."""
+    from ..functions.numeric import pround
+    cal = fx.calendar(spark, sf_dir).groupBy("listing_id").agg(F.count(F.lit(1)).alias("cal_days"))
+    m = fx.listings(spark, sf_dir).join(cal, "listing_id", "left")
+    return m.groupBy("city").agg(
+        F.count(F.lit(1)).alias("final_rows"), F.countDistinct("listing_id").alias("listing_ids"),
+        F.sum(F.col("cal_days").isNull().cast("int")).alias("rows_missing_calendar_features"),
+        pround(F.sum(F.col("cal_days").isNotNull().cast("int")) * 100.0 / F.count(F.lit(1)), 4).alias("calendar_match_pct"),
+        pround(F.median("price_eur"), 4).alias("price_median_eur"), pround(F.avg("price_eur"), 4).alias("price_mean_eur"))
+
+
+@register("pr36_slugify", """SELECT p_partkey, CASE WHEN coalesce(regexp_replace(regexp_replace(lower(trim(p_type)), '[^a-z0-9]+', '_', 'g'),
+  '^_+|_+$', '', 'g'), '') = '' THEN 'unknown' ELSE regexp_replace(regexp_replace(lower(trim(p_type)), '[^a-z0-9]+', '_', 'g'),
+  '^_+|_+$', '', 'g') END AS slug FROM part""")
+def slugs(spark, sf_dir):
+    """PR36: slugs of part types (segment artifact names)."""
+    return read_table(spark, sf_dir, "part").select("p_partkey", slugify("p_type").alias("slug"))
+
+
+@register("pr35_json_payload_values", """SELECT event_type, count(*) AS events,
+  sum(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS k_sum, max(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS k_max
+FROM events GROUP BY event_type""")
+def json_payloads(spark, sf_dir):
+    """PR35 (JSON side): event payloads parsed with from_json and aggregated per event type."""
+    e = read_table(spark, sf_dir, "events")
+    k = F.from_json("props", "map<string,string>").getItem("k").try_cast("double")
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.sum(k).alias("k_sum"),
+                                       F.max(k).alias("k_max"))

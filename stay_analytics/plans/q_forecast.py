@@ -225,3 +225,57 @@ def enrich(spark, sf_dir):
                                          "predicted_price_band")
     l = fx.listings(spark, sf_dir).select("listing_id", "city", "price_eur", "room_type")
     return fc.enrich(l, cache)
+
+
+@register("pr38_price_scenarios", with_views("listings") + """, s AS (
+  SELECT DISTINCT city, accommodates, CAST(2 AS DOUBLE) AS bathrooms, 3.0 AS distance_to_center_km, 4.5 AS min_rating,
+    CAST(accommodates * 2 AS INTEGER) AS min_available_days_30 FROM listings WHERE accommodates IS NOT NULL),
+d AS (SELECT city, median(review_scores_value) AS dv FROM listings GROUP BY city)
+SELECT s.city, CAST(s.accommodates AS BIGINT) AS accommodates, CAST(greatest(CAST(round_even(s.accommodates / 2.0, 0) AS BIGINT), 1) AS BIGINT) AS beds,
+  s.bathrooms / greatest(CAST(s.accommodates AS DOUBLE), 1.0) AS bathrooms_per_guest,
+  greatest(CAST(round_even(s.accommodates / 2.0, 0) AS BIGINT), 1) / greatest(CAST(s.accommodates AS DOUBLE), 1.0) AS beds_per_guest,
+  CAST(CASE WHEN s.distance_to_center_km <= 5 THEN 1 ELSE 0 END AS BIGINT) AS is_central_5km, s.min_rating AS review_scores_rating,
+  coalesce(d.dv, s.min_rating) AS review_scores_value, CAST(s.min_available_days_30 AS BIGINT) AS availability_30,
+  CAST(least(60, s.min_available_days_30 * 2) AS BIGINT) AS availability_60, CAST(least(90, s.min_available_days_30 * 3) AS BIGINT) AS availability_90,
+  CAST(least(365, greatest(least(90, s.min_available_days_30 * 3) * 4, s.min_available_days_30)) AS BIGINT) AS availability_365,
+  s.min_available_days_30 / 30.0 AS availability_30_ratio,
+  least(365, greatest(least(90, s.min_available_days_30 * 3) * 4, s.min_available_days_30)) / 365.0 AS availability_365_ratio
+FROM s LEFT JOIN d ON s.city = d.city""")
+def scenarios(spark, sf_dir):
+    """PR38: host-side scenario features for every (city, guests) combination in the data."""
+    l = fx.listings(spark, sf_dir)
+    d = l.groupBy("city").agg(F.median("review_scores_value").alias("default_review_scores_value"))
+    s = (l.filter(F.col("accommodates").isNotNull()).select("city", "accommodates").distinct()
+         .withColumn("bathrooms", F.lit(2.0)).withColumn("distance_to_center_km", F.lit(3.0))
+         .withColumn("min_rating", F.lit(4.5)).withColumn("min_available_days_30", F.col("accommodates") * 2)
+         .withColumn("default_availability_30", F.lit(None).cast("int")).join(d, "city", "left"))
+    out = fc.scenario_overrides(s)
+    return out.select("city", "accommodates", "beds", "bathrooms_per_guest", "beds_per_guest", "is_central_5km",
+                      "review_scores_rating", "review_scores_value", "availability_30", "availability_60",
+                      "availability_90", "availability_365", "availability_30_ratio", "availability_365_ratio")
+
+
+@register("fi7_price_scenario_candidates", with_views("listings") + """
+SELECT listing_id, city, property_group, price_eur FROM listings WHERE price_eur <= 400 AND accommodates >= 4
+  AND property_group = 'BUILDING' AND (review_scores_rating >= 4.5 OR review_scores_rating IS NULL)""")
+def scenario_candidates(spark, sf_dir):
+    """FI7: comparable listings for a price scenario: FI3 filters + property group."""
+    from ..operators.filters import filter_listings
+    l = fx.listings(spark, sf_dir)
+    c = filter_listings(l, budget_max=400, guests=4, min_rating=4.5).filter(F.col("property_group") == "BUILDING")
+    return c.select("listing_id", "city", "property_group", "price_eur")
+
+
+@register("fc7_scenario_scoring")
+def scenario_scoring(spark, sf_dir):
+    """FC7: scenario rows completed with per-city defaults (coalesce) and scored by a pipeline model."""
+    from ..operators import ml
+    l = fx.listings(spark, sf_dir).filter(F.col("price_eur") > 0)
+    model = ml.fit_price_model(l, "gbt", maxIter=10, maxDepth=4)
+    num = [c for c in ml.NUMERIC_FEATURES if c in l.columns]
+    defaults = l.groupBy("city").agg(*[F.median(c).alias(c) for c in num],
+                                     *[F.mode(c).alias(c) for c in ml.CATEGORICAL_FEATURES])
+    rows = l.select("city").distinct().select("city", F.lit(4).alias("accommodates"),
+                                              F.lit("1-URGENT").alias("room_type"))
+    full = fc.apply_defaults(rows, defaults, num + ml.CATEGORICAL_FEATURES)
+    return ml.predict_prices(model, full).select("city", "accommodates", "room_type", "predicted_price_eur")
