@@ -10,7 +10,9 @@ rows, so no step puts a whole pool into one task:
 
 1. Rows are reduced to distinct ``(pool, feature, value) -> count`` with a
    map-side partial aggregate. A hot *value* becomes one row.
-2. Running counts over the distinct values use a range partitioning of
+2. When the largest pool has at most ``WINDOW_POOL_BOUND`` distinct values
+   (a cheap probe), running counts are one window per pool. Otherwise they
+   use a range partitioning of
    ``(pool, feature, value)``: per-range totals (one row per range and pool)
    give each range its offset, and a window inside each range adds the local
    running count. The range-tagged counts are checkpointed so both branches
@@ -68,11 +70,62 @@ def running_below(counts: DataFrame, keys: Sequence[str], value: str, cnt: str,
     return res
 
 
-def rank_table(df: DataFrame, features: Mapping[str, Column | str], by: Sequence[str] = ()) -> DataFrame:
+# Pools whose distinct-value count stays under this bound are ranked with a
+# plain window (one task per pool holds at most this many rows); larger pools
+# use the range-split running counts.
+WINDOW_POOL_BOUND = 2_000_000
+SMALL_INPUT_BYTES = 64 * 1024 * 1024
+
+
+def _estimated_bytes(df: DataFrame) -> int:
+    """Optimizer size estimate of a plan (no job; an upper bound for scans and filters)."""
+    try:
+        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    except Exception:  # noqa: BLE001 - estimates are advisory
+        return 1 << 62
+
+
+def rank_table_window(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Average ranks for bounded pools: every statistic from windows over one pool partitioning.
+
+    One shuffle by pool: the running count below each value, the pool's known
+    and null counts, the two order statistics that give the median, and from
+    them each value's (and the null group's) average rank.
+    """
+    keys = list(keys)
+    v, cnt = F.col(_V), F.col(_CNT)
+    run = Window.partitionBy(*keys).orderBy(v.asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    pool = Window.partitionBy(*keys)
+    x = counts.withColumn("_below", F.coalesce(F.sum(F.when(v.isNotNull(), cnt)).over(run), F.lit(0)))
+    x = (x.withColumn("_nnull", F.sum(F.when(v.isNull(), cnt).otherwise(0)).over(pool))
+         .withColumn("_nknown", F.sum(F.when(v.isNotNull(), cnt).otherwise(0)).over(pool)))
+    pos = (F.col("_nknown") - 1) / 2.0
+    lo, hi = F.floor(pos), F.ceil(pos)
+    covers = lambda k: v.isNotNull() & (F.col("_below") <= k) & (k < F.col("_below") + cnt)
+    at = lambda k, c: F.max(F.when(covers(k), c)).over(pool)
+    x = (x.withColumn("_vlo", at(lo, v)).withColumn("_vhi", at(hi, v)).withColumn("_blo", at(lo, F.col("_below")))
+         .withColumn("_clo", at(lo, cnt)).withColumn("_chi", at(hi, cnt)))
+    med = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * 0.5
+    x = x.withColumn("_med", med)
+    n_lt = F.col("_blo") + F.when(F.col("_med") > F.col("_vlo"), F.col("_clo")).otherwise(0)
+    n_eq = (F.when(F.col("_med") == F.col("_vlo"), F.col("_clo")).otherwise(0)
+            + F.when((F.col("_med") == F.col("_vhi")) & (F.col("_vhi") != F.col("_vlo")), F.col("_chi")).otherwise(0))
+    b = F.when(v.isNull(), n_lt).otherwise(
+        F.col("_below") + F.when(v > F.col("_med"), F.col("_nnull")).otherwise(0))
+    c = F.when(v.isNull(), n_eq + F.col("_nnull")).otherwise(
+        cnt + F.when(v == F.col("_med"), F.col("_nnull")).otherwise(0))
+    n = F.col("_nknown") + F.col("_nnull")
+    pct = F.when(F.col("_nknown") == 0, F.lit(0.5)).otherwise((b + (c + 1) / 2.0) / n)
+    return x.select(*keys, _V, pct.alias("pct"))
+
+
+def rank_table(df: DataFrame, features: Mapping[str, Column | str], by: Sequence[str] = (),
+               method: str = "auto") -> DataFrame:
     """Long table ``(by..., _rk_feature, _rk_value, pct)`` of average percentile ranks.
 
     ``_rk_value`` is the raw value (null for missing rows, which rank at the
-    pool median); join it back null-safely.
+    pool median); join it back null-safely. ``method``: "window", "range",
+    or "auto" (probe the largest pool's distinct-value count, then choose).
     """
     by = list(by)
     keys = by + [_F]
@@ -81,6 +134,17 @@ def rank_table(df: DataFrame, features: Mapping[str, Column | str], by: Sequence
     long = df.select(*by, F.inline(cells))
     counts = long.groupBy(*keys, _V).agg(F.count(F.lit(1)).alias(_CNT))
 
+    if method == "auto":
+        # small inputs cannot hold a pool above the bound: decide from the plan
+        # estimate; otherwise probe the largest pool's distinct-value count
+        if _estimated_bytes(df) <= SMALL_INPUT_BYTES:
+            method = "window"
+        else:
+            largest = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
+            method = "window" if largest <= WINDOW_POOL_BOUND else "range"
+    if method == "window":
+        return rank_table_window(counts, keys)
+
     known = counts.filter(F.col(_V).isNotNull())
     cum = running_below(known, keys, _V, _CNT)
 
@@ -124,7 +188,7 @@ def rank_table(df: DataFrame, features: Mapping[str, Column | str], by: Sequence
 
 
 def rank_scores(df: DataFrame, specs: Mapping[str, tuple[Column | str, bool]],
-                by: Sequence[str] = ()) -> DataFrame:
+                by: Sequence[str] = (), method: str = "auto") -> DataFrame:
     """Add one score column per spec: ``{out: (value, higher_is_better)}``.
 
     All features are ranked in one pass (one distinct-count shuffle, one range
@@ -136,7 +200,7 @@ def rank_scores(df: DataFrame, specs: Mapping[str, tuple[Column | str, bool]],
     # The rank table holds one row per distinct (pool, feature, value); a
     # reliable checkpoint pins it (and its range bounds) and keeps the
     # per-feature join-back plans short.
-    table = cut_lineage(rank_table(work, {name: F.col(tmp[name]) for name in specs}, by))
+    table = cut_lineage(rank_table(work, {name: F.col(tmp[name]) for name in specs}, by, method))
     for i, (name, (_, higher)) in enumerate(specs.items()):
         vkey, nkey = f"_rkj_{i}", f"_rkn_{i}"
         part = table.filter(F.col(_F) == name).select(

@@ -318,7 +318,7 @@ def styled_recommendations(listings: DataFrame, base_requests: DataFrame, limit:
     """
     from .filters import first_nonempty_level
     lcols = listings.columns
-    outs = []
+    pools = []
     for style, cfg in STYLE_CONFIG.items():
         reqs = style_requests(base_requests, style)
         pairs = _pairs(listings, reqs, max_requests)
@@ -343,12 +343,22 @@ def styled_recommendations(listings: DataFrame, base_requests: DataFrame, limit:
                               & F.coalesce(F.col("price_floor").isNull() | (F.col("price_eur") >= F.col("price_floor")),
                                            F.lit(False)))
                   .withColumn("_relaxed", F.lit(True)))
-        pool = first_nonempty_level(tagged, ["request_id"], ["_strict", "_relaxed"]).drop("_strict", "_relaxed",
-                                                                                          "_base_ok")
+        pools.append(first_nonempty_level(tagged, ["request_id"], ["_strict", "_relaxed"])
+                     .drop("_strict", "_relaxed", "_base_ok"))
+    pool = pools[0]
+    for p in pools[1:]:
+        pool = pool.unionByName(p)
+    # the request pools feed several branches (ranks, narrowing, re-ranking):
+    # materialise them once in the checkpoint folder instead of recomputing
+    from ..session import cut_lineage
+    pool = cut_lineage(pool)
+    # one ranking pass for every request of every style (pool = request_id)
+    scored = add_value_score(pool, ["request_id"], keep_ranks=True)
+    scored = scored.withColumn("recommendation_reason", recommendation_reason(scored))
+    outs = []
+    for style in STYLE_CONFIG:
         ranker = STYLE_RANKER[style]
-        scored = add_value_score(pool, ["request_id"], keep_ranks=True)
-        scored = scored.withColumn("recommendation_reason", recommendation_reason(scored))
-        ranked = style_scores(scored, ranker, limit, ["request_id"])
+        ranked = style_scores(scored.filter(F.col("style") == style), ranker, limit, ["request_id"])
         order = _sort_keys(ranker, ranked)
         rn = F.row_number().over(Window.partitionBy("request_id").orderBy(*order))
         top = ranked.withColumn("rank", rn).filter(F.col("rank") <= limit)
