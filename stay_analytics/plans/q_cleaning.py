@@ -313,3 +313,13 @@ def json_payloads(spark, sf_dir):
     k = F.from_json("props", "map<string,string>").getItem("k").try_cast("double")
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("events"), F.sum(k).alias("k_sum"),
                                        F.max(k).alias("k_max"))
+
+
+@register("pr25_professional_host", """SELECT o_custkey AS host_id, count(*) AS host_listings_count,
+  CAST(CASE WHEN coalesce(count(*), 0) >= 5 THEN 1 ELSE 0 END AS BIGINT) AS is_professional_host FROM orders GROUP BY o_custkey""")
+def professional_host(spark, sf_dir):
+    """PR25: hosts (customers) with their listing count and the professional flag (>= 5 listings)."""
+    o = read_table(spark, sf_dir, "orders")
+    hosts = o.groupBy(F.col("o_custkey").alias("host_id")).agg(F.count(F.lit(1)).alias("host_listings_count"))
+    out = cn.add_host_and_date_features(hosts)
+    return out.select("host_id", "host_listings_count", "is_professional_host")
