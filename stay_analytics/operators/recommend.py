@@ -423,7 +423,9 @@ def seasonal_recommendations(pool: DataFrame, season_cols: dict, by: Sequence[st
     season columns, so every season is ranked in the same pass.
     """
     by = list(by)
-    scored = add_value_score(pool, by)
+    from ..session import cut_lineage
+    # the scored pool feeds the season ranks, their probe and the join-back: materialise once
+    scored = cut_lineage(add_value_score(pool, by))
     long = scored.select("*", F.inline(F.array(*[F.struct(F.lit(s).alias("season"),
                                                           F.col(c).cast("double").alias("season_unavailable"))
                                                for s, c in season_cols.items()])))
