@@ -22,10 +22,6 @@ from pyspark.sql import functions as F
 from ..functions.dates import SEASONS, available_flag, is_weekend, season_of_month
 from ..session import ensure_checkpoint_dir
 
-_PARTS = (["days", "avail", "unav"] + [f"q{k}_u" for k in range(1, 5)] + [f"q{k}_d" for k in range(1, 5)]
-          + [f"{s}_u" for s in SEASONS] + [f"{s}_d" for s in SEASONS] + ["wd_u", "wd_d", "we_u", "we_d"])
-
-
 def _partial_sums(cal: DataFrame) -> DataFrame:
     d = F.col("date").cast("date")
     avail = available_flag("available", strict=True)
@@ -58,8 +54,13 @@ def rollup_from_sums(sums: DataFrame) -> DataFrame:
 
 
 def streaming_calendar_rollup(spark: SparkSession, sf_dir: str, out_dir: str | None = None,
-                              files_per_trigger: int = 1) -> DataFrame:
-    """Run the incremental rollup over ``lineitem`` (the calendar fixture) and return AG1."""
+                              files_per_trigger: int = 1, state_partitions: int | None = None) -> DataFrame:
+    """Run the incremental rollup over ``lineitem`` (the calendar fixture) and return AG1.
+
+    The state store's partition count is fixed by the first run of a streaming
+    checkpoint; it defaults to the cluster's parallelism instead of the batch
+    shuffle setting.
+    """
     base = out_dir or os.path.join(ensure_checkpoint_dir(spark), f"calendar-stream-{uuid.uuid4().hex}")
     sink, ckpt = os.path.join(base, "totals"), os.path.join(base, "_checkpoint")
     schema = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
@@ -72,9 +73,14 @@ def streaming_calendar_rollup(spark: SparkSession, sf_dir: str, out_dir: str | N
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("_batch", F.lit(batch_id)).write.mode("append").parquet(sink)
 
-    query = (sums.writeStream.outputMode("update").foreachBatch(write_batch)
-             .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    query.awaitTermination()
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(state_partitions or spark.sparkContext.defaultParallelism))
+    try:
+        query = (sums.writeStream.outputMode("update").foreachBatch(write_batch)
+                 .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     totals = spark.read.parquet(sink)
     latest = Window.partitionBy("listing_id").orderBy(F.col("_batch").desc())
     current = totals.withColumn("_rn", F.row_number().over(latest)).filter("_rn = 1").drop("_rn", "_batch")
