@@ -78,9 +78,14 @@ SMALL_INPUT_BYTES = 64 * 1024 * 1024
 
 
 def _estimated_bytes(df: DataFrame) -> int:
-    """Optimizer size estimate of a plan (no job; an upper bound for scans and filters)."""
+    """Total size of the relations a plan reads (no job). Join estimates multiply child sizes,
+    so the sum over the plan's leaves (scanned files) is the tighter upper bound on its input."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        it = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
+        total = 0
+        while it.hasNext():
+            total += int(str(it.next().stats().sizeInBytes()))
+        return total
     except Exception:  # noqa: BLE001 - estimates are advisory
         return 1 << 62
 

@@ -43,3 +43,19 @@ def test_global_pool_rank_in_unit_interval(spark):
     for r in out:
         by_v.setdefault(r["v"], set()).add(r["r"])
     assert all(len(s) == 1 for s in by_v.values())  # equal values, equal ranks
+
+
+def test_range_path_equals_window_path_and_pandas(spark):
+    vals = {"a": [3.0, 1.0, None, 3.0, 2.0, None, 7.5, 7.5], "b": [None, None], "c": [4.0, 1.0, 4.0]}
+    rows = [(g, i, v) for g, vs in vals.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "g string, i int, v double")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")  # several ranges per pool
+    try:
+        rng = {(r["g"], r["i"]): r["s"] for r in rank_scores(df, {"s": ("v", True)}, ["g"], method="range").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    win = {(r["g"], r["i"]): r["s"] for r in rank_scores(df, {"s": ("v", True)}, ["g"], method="window").collect()}
+    for g, vs in vals.items():
+        exp = pandas_rank(vs)
+        for i in range(len(vs)):
+            assert abs(rng[(g, i)] - exp[i]) < 1e-12 and abs(win[(g, i)] - exp[i]) < 1e-12
