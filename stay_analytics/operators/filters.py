@@ -152,8 +152,10 @@ def request_predicate(listing_cols: Sequence[str], req: str = "r", lst: str = "l
         preds.append(skip("min_reviews") | (lc("number_of_reviews") >= r("min_reviews")))
     if "amenities_count" in cols:
         preds.append(skip("min_amenities_count") | (lc("amenities_count") >= r("min_amenities_count")))
-    lux = luxury_amenity_count([f"{lst}.{c}" for c in LUXURY_AMENITY_COLUMNS if c in cols]) \
-        if any(c in cols for c in LUXURY_AMENITY_COLUMNS) else F.lit(0.0)
+    lux = F.lit(0.0)
+    for c in LUXURY_AMENITY_COLUMNS:
+        if c in cols:
+            lux = lux + F.coalesce(lc(c), F.lit(0.0))
     preds.append(skip("min_luxury_amenities") | (lux >= r("min_luxury_amenities")))
     for label, column in AMENITY_COLUMNS.items():
         if column in cols:

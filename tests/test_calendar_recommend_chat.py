@@ -74,3 +74,18 @@ def test_chat_slots(spark):
     ctx = {(r["conv_id"], r["turn"]): r for r in ch.conversation_context(ch.turn_slots(prompts, ["Madrid"])).collect()}
     assert ctx[(1, 2)]["intent"] == "seasonal_recommendation" and ctx[(1, 2)]["context_city"] == "Madrid"
     assert ctx[(1, 2)]["context_nights"] == 3 and ctx[(1, 2)]["per_night_budget_eur"] == 150.0
+
+
+def test_batch_predicate_luxury_minimum(spark):
+    from stay_analytics.operators.filters import request_predicate
+    l = spark.createDataFrame([(1, "X", 1, 1), (2, "X", 0, 1), (3, "X", None, None)],
+                              "listing_id long, city string, has_air_conditioning int, has_tv int")
+    r = spark.createDataFrame([("q", "X", 2)], "request_id string, city string, min_luxury_amenities int")
+    for c, t in [("budget_max", "double"), ("min_price_eur", "double"), ("guests", "int"), ("room_type", "string"),
+                 ("neighbourhood", "string"), ("min_rating", "double"), ("max_distance_km", "double"),
+                 ("min_available_days_30", "int"), ("min_reviews", "int"), ("min_amenities_count", "int")]:
+        r = r.withColumn(c, F.lit(None).cast(t))
+    r = r.withColumn("amenities", F.array().cast("array<string>"))
+    cond = (F.col("l.city") == F.col("r.city")) & request_predicate(l.columns, "r", "l")
+    got = [x["listing_id"] for x in l.alias("l").join(r.alias("r"), cond).select("l.listing_id").collect()]
+    assert got == [1]
