@@ -404,3 +404,29 @@ def distance_display(spark, sf_dir):
     r = _flagship(spark, sf_dir).select("city", "rank", "listing_id", "price_eur", "distance_to_center_km",
                                          "value_score")
     return rc.display_with_distance_cap(r, ["city"], 1.0, "Lowest price")
+
+
+def _room_requests(listings):
+    """One request per (city, room type) present in the data: budget 300, that room type, top 5."""
+    req = listings.select("city", "room_type").distinct().filter(F.col("room_type").isNotNull())
+    req = req.select(F.concat_ws("|", "city", "room_type").alias("request_id"), "city", "room_type",
+                     F.lit(300.0).alias("budget_max"), F.array().cast("array<string>").alias("amenities"),
+                     F.lit(5).alias("limit"))
+    for c, t in [("min_price_eur", "double"), ("guests", "int"), ("neighbourhood", "string"),
+                 ("min_rating", "double"), ("max_distance_km", "double"), ("min_available_days_30", "int"),
+                 ("min_reviews", "int"), ("min_amenities_count", "int"), ("min_luxury_amenities", "int")]:
+        req = req.withColumn(c, F.lit(None).cast(t))
+    return req
+
+
+RC9_SQL = (with_views("listings")[:-1] + """, req AS (SELECT DISTINCT city, room_type FROM listings WHERE room_type IS NOT NULL),
+pool AS (SELECT l.*, r.city || '|' || r.room_type AS request_id FROM listings l
+  JOIN req r ON l.city = r.city AND l.room_type = r.room_type WHERE l.price_eur <= 300.0)
+""" + scored_sql(["request_id"], "pool") + top_sql(["request_id"], _weighted_sql(rc.VALUE_STYLE_WEIGHTS), VALUE_ORDER, 5))
+
+
+@register("rc9_request_batch", RC9_SQL)
+def request_batch(spark, sf_dir):
+    """RC9: a table of requests (one per city and room type) scored against all listings in one plan."""
+    l = fx.listings(spark, sf_dir)
+    return rc.recommend_batch(l, _room_requests(l))
