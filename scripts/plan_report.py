@@ -38,8 +38,8 @@ def main():
     names = args or HEADLINE
     spark = local_session(8, 16)
     reg = load_all()
-    lines = ["# Physical plan summary", "", f"Generated by `scripts/plan_report.py` on `{sf_dir}` (final AQE plans "
-             "after one run; `noop` sink). Counts are operator occurrences in the formatted plan.", ""]
+    lines = ["# Physical plan summary", "", f"Generated by `scripts/plan_report.py` on `{sf_dir}` (physical plans "
+             "before AQE runtime re-planning and stage reuse). Counts are operator occurrences in the formatted plan.", ""]
     cols = ["Exchange hashpartitioning", "Exchange rangepartitioning", "BroadcastHashJoin", "SortMergeJoin",
             "BroadcastNestedLoopJoin", "CartesianProduct", "WindowGroupLimit", "Window", "HashAggregate",
             "PushedFilters(non-empty)", "BatchEvalPython", "ArrowEvalPython"]
