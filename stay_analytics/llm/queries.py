@@ -5,10 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stay_analytics.sources.tables import read_table
 
-from . import mixing
+from . import extract, mixing
+
+
+def op1_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page and its length in code points."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    texts = extract.extract_text(pages, extract.learn_weights(pages))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +25,7 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_extract_text": op1_extract_text,
     "op6_mix_sources": op6_mix_sources,
 }
 
