@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stay_analytics.sources.tables import read_table
 
-from . import extract, mixing, packing
+from . import extract, fingerprint, mixing, packing
 
 
 def op1_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +30,16 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_copies(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document, of its edited text, and their likeness."""
+    return fingerprint.compare_with_edits(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract_text": op1_extract_text,
     "op5_pack_documents": op5_pack_documents,
     "op6_mix_sources": op6_mix_sources,
+    "op7_fingerprints": op7_fingerprints,
 }
 
 ORACLES: dict[str, str] = {
