@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stay_analytics.sources.tables import read_table
 
-from . import extract, fingerprint, mixing, packing
+from . import extract, fingerprint, langid, mixing, packing
 
 
 def op1_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +35,19 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(read_table(spark, sf_dir, "documents"))
 
 
+def op9_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, and whether it was held out from training."""
+    docs = read_table(spark, sf_dir, "documents")
+    said = langid.identify(docs.select("doc_id", "text"), langid.learn(docs.select("doc_id", "text", "lang")))
+    return said.select("doc_id", F.coalesce(langid.remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract_text": op1_extract_text,
     "op5_pack_documents": op5_pack_documents,
     "op6_mix_sources": op6_mix_sources,
     "op7_fingerprints": op7_fingerprints,
+    "op9_identify_language": op9_identify_language,
 }
 
 ORACLES: dict[str, str] = {
