@@ -165,7 +165,9 @@ def learn_weights(pages: DataFrame, html: str = "html", key: str = "page_id", mo
     features are a fixed set. Without labelled pages the priors decide.
     """
     labelled = pages.where(F.lower(F.col(html)).rlike("<(article|main)[\\s>]"))
-    sample = labelled.select(F.col(html).alias("html"), F.xxhash64(key).alias("h")).orderBy("h", "html").limit(most).select("html")
+    # Keys first: choosing among whole pages would carry ``most`` of them from every task.
+    keys = [r[0] for r in labelled.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(most).collect()]
+    sample = labelled.where(F.col(key).isin(keys)).select(F.col(html).alias("html"))
     rows = sample.repartition(max(1, most // 250)).mapInArrow(count_labels, "feature string, inside boolean, n bigint") \
         .groupBy("feature", "inside").agg(F.sum("n").alias("n")).collect()
     return weights_of({(r.feature, r.inside): r.n for r in rows})
