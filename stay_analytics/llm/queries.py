@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stay_analytics.sources.tables import read_table
 
-from . import extract, fingerprint, langid, mixing, packing
+from . import extract, fingerprint, langid, mixing, packing, topk
 
 
 def op1_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,14 +42,21 @@ def op9_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", F.coalesce(langid.remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products for every 50th embedding."""
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract_text": op1_extract_text,
     "op5_pack_documents": op5_pack_documents,
     "op6_mix_sources": op6_mix_sources,
     "op7_fingerprints": op7_fingerprints,
     "op9_identify_language": op9_identify_language,
+    "op10_top_k_search": op10_top_k_search,
 }
 
 ORACLES: dict[str, str] = {
     "op6_mix_sources": mixing.ORACLE,
+    "op10_top_k_search": topk.ORACLE,
 }
