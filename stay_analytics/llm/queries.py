@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stay_analytics.sources.tables import read_table
 
-from . import extract, fingerprint, langid, mixing, packing, topk
+from . import extract, fingerprint, langid, mixing, packing, tokencount, topk
 
 
 def op1_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,12 @@ def op1_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op4_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, unigram tokens and score of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokencount.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model")).drop("text")
+
+
 def op5_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 2048 tokens."""
     return packing.pack_documents(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -49,6 +55,7 @@ def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract_text": op1_extract_text,
+    "op4_count_tokens": op4_count_tokens,
     "op5_pack_documents": op5_pack_documents,
     "op6_mix_sources": op6_mix_sources,
     "op7_fingerprints": op7_fingerprints,
