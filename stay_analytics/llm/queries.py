@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stay_analytics.sources.tables import read_table
 
-from . import extract, fingerprint, langid, mixing, packing, passages, tokencount, topk
+from . import extract, fingerprint, langid, mixing, neardup, packing, passages, tokencount, topk
 
 
 def op1_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate group of every document, and whether it is the one that stays."""
+    return neardup.near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op3_remove_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document, those removed as repeats, and a digest of the rest."""
     left = passages.remove_repeated_passages(read_table(spark, sf_dir, "documents"))
@@ -61,6 +66,7 @@ def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract_text": op1_extract_text,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_remove_passages": op3_remove_passages,
     "op4_count_tokens": op4_count_tokens,
     "op5_pack_documents": op5_pack_documents,
