@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stay_analytics.sources.tables import read_table
 
-from . import extract, fingerprint, langid, mixing, neardup, packing, passages, tokencount, topk
+from . import extract, fingerprint, langid, mixing, neardup, packing, passages, suffix, tokencount, topk
 
 
 def op1_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,13 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_edits(read_table(spark, sf_dir, "documents"))
 
 
+def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document, those removed as repeats, and a digest of the rest."""
+    left = suffix.remove_repeated_bytes(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("row.doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document, and whether it was held out from training."""
     docs = read_table(spark, sf_dir, "documents")
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_pack_documents": op5_pack_documents,
     "op6_mix_sources": op6_mix_sources,
     "op7_fingerprints": op7_fingerprints,
+    "op8_remove_repeats": op8_remove_repeats,
     "op9_identify_language": op9_identify_language,
     "op10_top_k_search": op10_top_k_search,
 }
