@@ -28,7 +28,7 @@ WORD = re.compile(WORD_PATTERN.encode())
 PART_BYTES = 4 << 20
 
 
-def parts_of(text: bytes, window: int, most: int = PART_BYTES) -> Iterator[tuple[int, bytes]]:
+def parts_of(text: bytes, window: int, most: int) -> Iterator[tuple[int, bytes]]:
     """(first word number, part) of a long text: parts share window - 1 words with the next, so each window is in one of them."""
     words = [(m.start(), m.end()) for m in WORD.finditer(text)]
     i = 0
@@ -66,7 +66,7 @@ def text_windows(texts: list[bytes], window: int = WINDOW_WORDS):
                 yield from of(group)
                 group, size = [], 0
         elif text:
-            for number, part in parts_of(text, window):
+            for number, part in parts_of(text, window, PART_BYTES):
                 yield from of([(row, number, part)])
     if group:
         yield from of(group)
