@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from stay_analytics.session import cut_lineage
 
-from .common import partitions_for, word_count
+from .common import free_name, partitions_for, word_count
 
 WEIGHT_CYCLE = (1, 2, 3)
 MOST_COPIES = 3
@@ -101,10 +101,10 @@ def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
     Rows of ``docs`` that share a ``doc_id`` are told apart by their place
     among equal ids only, so ids should be unique here; a null id matches nulls.
     """
-    copies = mix_copies(docs, seed).where("copies > 0").select(F.col("doc_id").alias("of_doc"), "copies")
-    copies = copies.groupBy("of_doc").agg(F.max("copies").alias("copies"))
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("of_doc"))) \
-        .withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    of_doc, times = free_name(docs, "of_doc"), free_name(docs, "copies")
+    copies = mix_copies(docs, seed).where("copies > 0").groupBy(F.col("doc_id").alias(of_doc)).agg(F.max("copies").cast("int").alias(times))
+    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col(of_doc))) \
+        .withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 ORACLE = r"""
