@@ -10,11 +10,12 @@ only at windows whose anchor repeats; nothing is lost by it.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for
-from .hashing import mix, sliding_min, window_hashes
+from .common import column, partitions_for, text_bytes
+from .hashing import BASE, mix, sliding_min, window_hashes
 
 LOW = np.uint64(0xFFFFFFFF)
 #: Null ids come before all others.
@@ -34,7 +35,79 @@ def window_anchors(values: np.ndarray, window: int, gram: int) -> tuple[np.ndarr
     return place, grams[place]
 
 
+def key_of(doc_id="doc_id"):
+    """The id by which documents are ordered: nulls first."""
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_KEY))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """(key, doc_id, text) of ``docs`` dealt by key; used several times in a plan, it is shuffled once."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY))
-    return docs.select(key.alias("key"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition(partitions_for(docs), "key")
+    """(key, t, text, row) of ``docs`` dealt by key; used several times in a plan, it is shuffled once.
+
+    t is a hash of the text, which tells rows of equal id apart; row holds the
+    other columns; a null text is empty.
+    """
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(key_of().alias("key"), F.xxhash64(text).alias("t"), text.alias("text"), F.struct(*[
+        F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")).repartition(partitions_for(docs), "key")
+
+
+def runs(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+
+
+def anchor_rows(windows):
+    """(key, h): a row for each anchor place, at most two for a stretch of equal anchors.
+
+    ``windows(texts, hashed)`` yields (row, first, place, anchor, hashes) of
+    each text or part: the number of its first window, and of each window the
+    anchor's place and hash and, if hashed, the window's own hash.
+    """
+    def run(batches):
+        for part, texts in text_bytes(batches):
+            keys = column(part, "key").to_pylist()
+            k_out, h_out = [], []
+            for row, _, place, anchor, _ in windows(texts, False):
+                h = anchor[runs(place)]
+                h = h[np.concatenate((np.ones(min(2, len(h)), bool), (h[2:] != h[1:-1]) | (h[2:] != h[:-2])))]
+                k_out.append(np.full(len(h), keys[row], dtype=np.int64))
+                h_out.append(h.view(np.int64))
+            if k_out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k_out)), pa.array(np.concatenate(h_out))], names=["key", "h"])
+
+    return run
+
+
+def segment_rows(windows):
+    """(a, g, key, t, start, n): the segments of listed anchors.
+
+    A segment is a run of n windows with one anchor place; a is the anchor, g
+    stands for the segment's content. First and last window overlap or touch,
+    so their hashes together stand for all of it.
+    """
+    def run(batches):
+        for part, texts in text_bytes(batches):
+            keys, tags, lists = column(part, "key").to_pylist(), column(part, "t").to_pylist(), column(part, "listed")
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for row, first, place, anchor, hashes in windows(texts, True):
+                s = runs(place)
+                n = np.diff(np.concatenate((s, [len(place)])))
+                wanted = np.isin(anchor[s], np.asarray(lists[row].values).view(np.uint64))
+                s, n = s[wanted], n[wanted]
+                g = mix(mix(hashes[s]) * np.uint64(BASE) ^ hashes[s + n - 1] + n.astype(np.uint64))
+                for k, v in enumerate((anchor[s].view(np.int64), g.view(np.int64), np.full(len(s), keys[row]), np.full(len(s), tags[row]), s + first, n)):
+                    out[k].append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in out], names=["a", "g", "key", "t", "start", "n"])
+
+    return run
+
+
+def repeated_segments(docs: DataFrame, texts: DataFrame, windows) -> DataFrame:
+    """(a, g, key, t, start, n): segments of all anchors that have two places or more; ``texts`` is ``keyed(docs)``."""
+    plain = docs.select(key_of().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    anchors = plain.mapInArrow(anchor_rows(windows), "key bigint, h bigint")
+    shared = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    lists = anchors.join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("listed"))
+    return texts.join(lists, "key").select("key", "t", "text", "listed").mapInArrow(
+        segment_rows(windows), "a bigint, g bigint, key bigint, t bigint, start bigint, n bigint")

@@ -25,6 +25,11 @@ def batch_of(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
                                        for f, c in ((f, columns[f.name]) for f in schema)], schema=schema)
 
 
+def column(batch: pa.RecordBatch, name: str) -> pa.Array:
+    """The first column of that name."""
+    return batch.column(batch.schema.get_field_index(name))
+
+
 def byte_slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     """Row ranges [i, j) of a string array whose bytes total about ``most``, one row at least."""
     sizes = np.diff(np.frombuffer(texts.buffers()[1], dtype=np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)) \

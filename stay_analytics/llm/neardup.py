@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from stay_analytics.session import cut_lineage
 
-from .anchors import NULL_KEY, keyed
-from .common import partitions_for, text_bytes
+from .anchors import NULL_KEY, key_of, keyed
+from .common import column, partitions_for, text_bytes
 from .components import components
 from .hashing import BASE, mix, splits_of, window_hashes, word_hashes
 
@@ -77,7 +77,7 @@ def signature_rows(width: int):
     """(key, doc_id, n, s1, s2, bands): size and 128-bit digest of the shingle set, and its band keys."""
     def run(batches):
         for part, texts in text_bytes(batches):
-            ids, keys = (part.column(part.schema.get_field_index(c)) for c in ("doc_id", "key"))
+            ids, keys = (column(part, c) for c in ("doc_id", "key"))
             sets = shingle_sets([t or b"" for t in texts], width)
             full = [k for k, s in enumerate(sets) if len(s)]
             n = np.array([len(s) for s in sets], dtype=np.int64)
@@ -100,7 +100,7 @@ def set_rows(width: int):
     """(unit, key, shingles): the full shingle set of each member of a unit, as bytes."""
     def run(batches):
         for part, texts in text_bytes(batches):
-            unit, key = (part.column(part.schema.get_field_index(c)) for c in ("unit", "key"))
+            unit, key = (column(part, c) for c in ("unit", "key"))
             yield pa.RecordBatch.from_arrays([unit, key, pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], names=["unit", "key", "shingles"])
 
     return run
@@ -146,7 +146,7 @@ def verify(threshold: int):
 
         unit, keys, sets = None, [], []
         for batch in batches:
-            for u, key, data in zip(*[batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("unit", "key", "shingles")], strict=True):
+            for u, key, data in zip(*[column(batch, c).to_pylist() for c in ("unit", "key", "shingles")], strict=True):
                 if u != unit:
                     if len(keys) > 1:
                         yield links(keys, sets)
@@ -186,16 +186,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, threshold: int
     are judged by their own texts, but classes they both represent are joined.
     A null id counts as the smallest. An empty table gives an empty result.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut_lineage(docs.select(key.alias("key"), "doc_id", "text").mapInArrow(
+    rows = cut_lineage(docs.select(key_of().alias("key"), "doc_id", "text").mapInArrow(
         signature_rows(width), f"key bigint, doc_id {id_type}, n bigint, s1 bigint, s2 bigint, bands array<bigint>"))
     # Equal sets have equal bands, so any row's will do.
     classes = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("rep"), F.first("bands").alias("bands"))
     bands = classes.select("rep", F.explode("bands").alias("band"))
     buckets = bands.groupBy("band").agg(F.min("rep").alias("lo"), F.count("*").alias("c")).where("c > 1").select("band", "lo")
     cells = components(bands.join(buckets, "band").where("rep <> lo").select("rep", "lo"))
-    texts = keyed(docs)
+    texts = keyed(docs.select("doc_id", "text"))
     members = texts.join(units_of(classes, cells), "key").select("unit", "key", "text").mapInArrow(set_rows(width), "unit bigint, key bigint, shingles binary")
     links = members.repartition(partitions_for(docs), "unit").sortWithinPartitions("unit").mapInArrow(verify(threshold), "a bigint, b bigint")
     groups = components(links)

@@ -3,8 +3,13 @@
 Every window of a document has a rolling hash over its words. The smallest
 document id is taken per hash; a window that also starts in a document of a
 smaller id is removed, and removed windows merge into maximal intervals.
-Windows whose anchor (see ``anchors``) lies in one document only cannot
-repeat, so their hashes are not shuffled. Window hashes have 64 bits.
+
+Three steps keep what is shuffled small, and none loses a window. Windows
+whose anchor (see ``anchors``) has one place only cannot repeat. The windows
+that share an anchor place form a segment: a segment whose whole content also
+stands in a smaller document is removed at once. Only the windows of the rest,
+where an anchor has several contents, are counted one by one. Window hashes
+have 64 bits.
 """
 
 from __future__ import annotations
@@ -17,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import keyed, window_anchors
-from .common import WORD_PATTERN, text_bytes
+from .anchors import keyed, repeated_segments, window_anchors
+from .common import WORD_PATTERN, column, text_bytes
 from .hashing import mix, splits_of, window_hashes, word_hashes
 
 WINDOW_WORDS = 50
@@ -42,20 +47,20 @@ def parts_of(text: bytes, window: int, most: int) -> Iterator[tuple[int, bytes]]
         i = j - (window - 1)
 
 
-def text_windows(texts: list[bytes], window: int = WINDOW_WORDS):
-    """(row, first word number, anchor hashes, window hashes) of each text or part with at least one window."""
+def text_windows(texts: list[bytes], window: int = WINDOW_WORDS, hashed: bool = True):
+    """(row, first word number, anchor place, anchor, window hashes or None) of each text or part with at least one window."""
     gram = min(GRAM_WORDS, window)
 
     def of(group: list[tuple[int, int, bytes]]):
         data, starts = splits_of([t for _, _, t in group])
         words, _, _, text = word_hashes(data, starts)
-        _, anchor = window_anchors(words, window, gram)
-        hashes = mix(window_hashes(words, window))
+        place, anchor = window_anchors(words, window, gram)
+        hashes = mix(window_hashes(words, window)) if hashed else None
         bounds = np.searchsorted(text, np.arange(len(group) + 1))
         for k, (row, number, _) in enumerate(group):
             i, j = bounds[k], bounds[k + 1] - window + 1
             if j > i:
-                yield row, number, anchor[i:j], hashes[i:j]
+                yield row, number, place[i:j], anchor[i:j], None if hashes is None else hashes[i:j]
 
     group, size = [], 0
     for row, text in enumerate(texts):
@@ -72,39 +77,23 @@ def text_windows(texts: list[bytes], window: int = WINDOW_WORDS):
         yield from of(group)
 
 
-PAIR = pa.schema([("key", pa.int64()), ("h", pa.int64())])
-
-
-def pairs(keys: list, hashes: list[np.ndarray]) -> pa.RecordBatch:
-    """One row for each hash, with the key of its document."""
-    counts = [len(h) for h in hashes]
-    return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, dtype=np.int64), counts)),
-                                       pa.array(np.concatenate(hashes).view(np.int64) if hashes else np.zeros(0, np.int64))], schema=PAIR)
-
-
-def anchor_rows(window: int):
-    """Rows (key, anchor hash) of every document."""
-    def run(batches):
-        for part, texts in text_bytes(batches):
-            keys = part.column(part.schema.get_field_index("key")).to_pylist()
-            found = [(keys[row], np.unique(anchor)) for row, _, anchor, _ in text_windows(texts, window)]
-            yield pairs([k for k, _ in found], [a for _, a in found])
-
-    return run
-
-
-def listed_windows(column: str, window: int):
-    """Rows (key, window hash) of the windows whose anchor is in the list of that column."""
+def listed_windows(window: int):
+    """(h, key, t, start): every window of the segments that a row lists."""
     def run(batches):
         for part, texts in text_bytes(batches):
-            keys, lists = (part.column(part.schema.get_field_index(c)) for c in ("key", column))
-            keys = keys.to_pylist()
-            found = []
-            for row, _, anchor, hashes in text_windows(texts, window):
-                wanted = lists[row].values
-                if wanted is not None and len(wanted):
-                    found.append((keys[row], np.unique(hashes[np.isin(anchor, np.asarray(wanted).view(np.uint64))])))
-            yield pairs([k for k, _ in found], [h for _, h in found])
+            keys, tags, lists = column(part, "key").to_pylist(), column(part, "t").to_pylist(), column(part, "segments")
+            out: list[list[np.ndarray]] = [[] for _ in range(4)]
+            for row, number, _, _, hashes in text_windows(texts, window):
+                t, start, n = (np.asarray(f) for f in lists[row].values.flatten())
+                own = (t == tags[row]) & (start >= number) & (start < number + len(hashes))
+                wanted = np.zeros(len(hashes) + 1, dtype=np.int64)
+                np.add.at(wanted, start[own] - number, 1)
+                np.add.at(wanted, np.minimum(start[own] - number + n[own], len(hashes)), -1)
+                at = np.flatnonzero(np.cumsum(wanted[:-1]))
+                for k, v in enumerate((hashes[at].view(np.int64), np.full(len(at), keys[row]), np.full(len(at), tags[row]), at + number)):
+                    out[k].append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in out], names=["h", "key", "t", "start"])
 
     return run
 
@@ -127,34 +116,34 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW_WORDS) -> Dat
     smaller than any other; rows of equal id do not count against each other.
     An empty table gives an empty result.
     """
-    texts = keyed(docs)
-    anchors = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("key"), F.coalesce("text", F.lit("")).alias("text")) \
-        .mapInArrow(anchor_rows(window), "key bigint, h bigint")
-    shared = anchors.groupBy("h").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
-    lists = anchors.join(shared, "h").groupBy("key").agg(
-        F.collect_set("h").alias("listed"), F.collect_set(F.when(F.col("key") > F.col("lo"), F.col("h"))).alias("later"))
-    known = texts.join(lists, "key").select("key", "text", "listed", "later")
-    # The smallest holder of an anchor is the smallest holder of its windows: only later ones can be removed.
-    first = known.mapInArrow(listed_windows("listed", window), "key bigint, h bigint").groupBy("h").agg(F.min("key").alias("lo"))
-    removed = known.where(F.size("later") > 0).mapInArrow(listed_windows("later", window), "key bigint, h bigint").join(first, "h") \
-        .where("key > lo").groupBy("key").agg(F.collect_set("h").alias("gone"))
+    texts = keyed(docs.select("doc_id", "text"))
+    segments = repeated_segments(docs, texts, lambda data, hashed: text_windows(data, window, hashed))
+    least = segments.groupBy("g").agg(F.min("key").alias("lo"), F.min("a").alias("a"))
+    copies = segments.join(least.select("g", "lo"), "g").where("key > lo").select("key", "t", "start", "n")
+    # A content's smallest holder may still have windows of other contents of the same anchor, in smaller documents.
+    several = least.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
+    open_ = least.join(several, "a").select("g", "lo")
+    asked = segments.select("g", "key", "t", "start", "n").join(open_, "g").where("key = lo").groupBy("key").agg(
+        F.collect_list(F.struct("t", "start", "n")).alias("segments"))
+    counted = texts.join(asked, "key").select("key", "t", "text", "segments").mapInArrow(listed_windows(window), "h bigint, key bigint, t bigint, start bigint")
+    lowest = counted.groupBy("h").agg(F.min("key").alias("lo"))
+    single = counted.join(lowest, "h").where("key > lo").select("key", "t", "start", F.lit(1).cast("long").alias("n"))
+    removed = copies.union(single).groupBy("key").agg(F.collect_list(F.struct("t", "start", "n")).alias("gone"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def strip(batches):
         schema = None
         for part, data in text_bytes(batches):
-            ids, gone = (part.column(part.schema.get_field_index(c)) for c in ("doc_id", "gone"))
+            ids, tags, gone = column(part, "doc_id"), column(part, "t").to_pylist(), column(part, "gone")
             schema = schema or pa.schema([("doc_id", ids.type), ("n_words", pa.int64()), ("n_removed", pa.int64()),
                                           ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
-            hit = [row for row in range(len(data)) if gone[row].is_valid]
-            starts: dict[int, list] = {}
-            for k, number, _, hashes in text_windows([data[row] for row in hit], window):
-                bad = np.flatnonzero(np.isin(hashes, np.asarray(gone[hit[k]].values).view(np.uint64))) + number
-                starts.setdefault(hit[k], []).append(bad)
             out = []
             for row, text in enumerate(data):
-                words = text.split()
-                spans = covered(np.unique(np.concatenate(starts[row])), window) if row in starts else []
+                words, spans = text.split(), []
+                if gone[row].is_valid:
+                    t, start, n = (np.asarray(f) for f in gone[row].values.flatten())
+                    start, n = start[t == tags[row]], n[t == tags[row]]
+                    spans = covered(np.sort(np.repeat(start, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))), window)
                 kept, at = [], 0
                 for i, j in spans:
                     kept += words[at:i]
@@ -163,5 +152,5 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW_WORDS) -> Dat
                 out.append((len(words), len(words) - len(kept), [{"start": i, "end": j} for i, j in spans], b" ".join(kept).decode()))
             yield pa.RecordBatch.from_arrays([ids, *[pa.array([o[k] for o in out], schema.field(k + 1).type) for k in range(4)]], schema=schema)
 
-    return texts.join(removed, "key", "left").select("doc_id", "text", "gone").mapInArrow(
+    return texts.join(removed, "key", "left").select("row.doc_id", "t", "text", "gone").mapInArrow(
         strip, f"doc_id {id_type}, n_words bigint, n_removed bigint, removed array<struct<start: bigint, end: bigint>>, kept_text string")

@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import NULL_KEY, window_anchors
-from .common import partitions_for, text_bytes
-from .hashing import BASE, mix, splits_of, window_hashes
+from .anchors import keyed, repeated_segments, runs, window_anchors
+from .common import column, partitions_for, text_bytes
+from .hashing import mix, splits_of, window_hashes
 
 WINDOW_BYTES = 100
 GRAM_BYTES = 32
@@ -166,14 +166,14 @@ def later_starts(segments: list[bytes], window: int = WINDOW_BYTES) -> list[np.n
 # --- segments --------------------------------------------------------------------------------------------------------
 
 
-def byte_windows(texts: list[bytes], window: int, with_hashes: bool = False):
-    """(row, first byte, anchor place, anchor hash, window hashes or None) of each text or part with at least one window."""
+def byte_windows(texts: list[bytes], window: int, hashed: bool = False):
+    """(row, first byte, anchor place, anchor, window hashes or None) of each text or part with at least one window."""
     gram = min(GRAM_BYTES, window)
 
     def of(group):
         data, starts = splits_of([t for _, _, t in group])
         place, anchor = window_anchors(data, window, gram)
-        hashes = mix(window_hashes(data, window)) if with_hashes else None
+        hashes = mix(window_hashes(data, window)) if hashed else None
         for k, (row, first, _) in enumerate(group):
             i, j = starts[k], starts[k + 1] - window + 1
             if j > i:
@@ -196,53 +196,6 @@ def byte_windows(texts: list[bytes], window: int, with_hashes: bool = False):
         yield from of(group)
 
 
-def runs(values: np.ndarray) -> np.ndarray:
-    """Where each run of equal values starts."""
-    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-
-
-def column(batch: pa.RecordBatch, name: str) -> pa.Array:
-    return batch.column(batch.schema.get_field_index(name))
-
-
-def anchor_rows(window: int):
-    """(key, h): a row for each anchor place, at most two for a stretch of equal anchors."""
-    def run(batches):
-        for part, texts in text_bytes(batches):
-            keys = column(part, "key").to_pylist()
-            k_out, h_out = [], []
-            for row, _, place, anchor, _ in byte_windows(texts, window):
-                h = anchor[runs(place)]
-                h = h[np.concatenate((np.ones(min(2, len(h)), bool), (h[2:] != h[1:-1]) | (h[2:] != h[:-2])))]
-                k_out.append(np.full(len(h), keys[row], dtype=np.int64))
-                h_out.append(h.view(np.int64))
-            if k_out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k_out)), pa.array(np.concatenate(h_out))], names=["key", "h"])
-
-    return run
-
-
-def segment_rows(window: int):
-    """(a, g, key, t, start, n): segments of listed anchors; g stands for their bytes, n is their number of windows."""
-    def run(batches):
-        for part, texts in text_bytes(batches):
-            keys, tags, lists = column(part, "key").to_pylist(), column(part, "t").to_pylist(), column(part, "listed")
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for row, first, place, anchor, hashes in byte_windows(texts, window, with_hashes=True):
-                s = runs(place)
-                n = np.diff(np.concatenate((s, [len(place)])))
-                wanted = np.isin(anchor[s], np.asarray(lists[row].values).view(np.uint64))
-                s, n = s[wanted], n[wanted]
-                # First and last window overlap or touch, so together they hold all bytes of the segment.
-                g = mix(mix(hashes[s]) * np.uint64(BASE) ^ hashes[s + n - 1] + n.astype(np.uint64))
-                for k, v in enumerate((anchor[s].view(np.int64), g.view(np.int64), np.full(len(s), keys[row]), np.full(len(s), tags[row]), s + first, n)):
-                    out[k].append(v)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v).astype(np.int64)) for v in out], names=["a", "g", "key", "t", "start", "n"])
-
-    return run
-
-
 def sliced(window: int):
     """(a, hot, key, t, start, bytes): the bytes of the segments that a row lists."""
     names = ["a", "hot", "key", "t", "start", "bytes"]
@@ -318,16 +271,9 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW_BYTES) -> DataFr
     document; rows of equal id and other texts follow each other by text hash.
     An empty table gives an empty result.
     """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_KEY))
     n_parts = partitions_for(docs)
-    plain = docs.select(key.alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    texts = docs.select(key.alias("key"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t"), F.coalesce("text", F.lit("")).alias("text"),
-                        F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")).repartition(n_parts, "key")
-    anchors = plain.mapInArrow(anchor_rows(window), "key bigint, h bigint")
-    shared = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    lists = anchors.join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("listed"))
-    segments = texts.join(lists, "key").select("key", "t", "text", "listed").mapInArrow(
-        segment_rows(window), "a bigint, g bigint, key bigint, t bigint, start bigint, n bigint")
+    texts = keyed(docs)
+    segments = repeated_segments(docs, texts, lambda data, hashed: byte_windows(data, window, hashed))
     first = segments.groupBy("g").agg(F.min(F.struct("key", "t", "start")).alias("first"), F.min("a").alias("a"), F.min("n").alias("n"))
     copies = segments.drop("a").join(first.select("g", "first"), "g").where(F.struct("key", "t", "start") != F.col("first")).select("key", "t", "start", "n")
     kinds = first.groupBy("a").agg(F.count("*").alias("c")).where("c > 1")

@@ -79,12 +79,12 @@ def test_passage_intervals_are_maximal():
 
 def test_long_texts_are_read_in_parts(monkeypatch):
     text = " ".join(words(900, 4, 50)).encode()
-    whole = [(r, n, h.tolist(), a.tolist()) for r, n, a, h in passages.text_windows([text], 7)]
+    whole = [(r, n, h.tolist(), a.tolist()) for r, n, _, a, h in passages.text_windows([text], 7)]
     monkeypatch.setattr(passages, "PART_BYTES", 500)
     parts = list(passages.text_windows([b"x y", text], 7))
     assert len(parts) > 5 and {r for r, *_ in parts} == {1}
     seen = {}
-    for _, n, a, h in parts:
+    for _, n, _, a, h in parts:
         for k, (x, y) in enumerate(zip(h.tolist(), a.tolist(), strict=True)):
             assert seen.setdefault(n + k, (x, y)) == (x, y)
     assert [seen[k] for k in range(len(seen))] == list(zip(whole[0][2], whole[0][3], strict=True))
