@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import column, partitions_for, text_bytes
 from .hashing import BASE, mix, sliding_min, window_hashes
 
+TEXT_COLUMNS = ("key", "t", "text", "row")
 LOW = np.uint64(0xFFFFFFFF)
 #: Null ids come before all others.
 NULL_KEY = -(1 << 63)
@@ -44,13 +45,26 @@ def keyed(docs: DataFrame) -> DataFrame:
     """(key, t, text, row) of ``docs`` dealt by key; used several times in a plan, it is shuffled once.
 
     t is a hash of the text, which tells rows of equal id apart; row holds the
-    other columns; a null text is empty.
+    other columns; a null text is empty. All uses take all of TEXT_COLUMNS:
+    with other columns the optimiser would plan another shuffle of the texts.
     """
     text = F.coalesce("text", F.lit(""))
     return docs.select(key_of().alias("key"), F.xxhash64(text).alias("t"), text.alias("text"), F.struct(*[
         F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")).repartition(partitions_for(docs), "key")
 
 
+def with_copies(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``texts``, which is ``keyed(docs)``, with the boolean ``copy``: a document of a smaller key has the same text.
+
+    Texts are compared by 128 bits of hashes; only keys and hashes are shuffled.
+    """
+    text = F.coalesce("text", F.lit(""))
+    hashes = docs.select(key_of().alias("key"), F.xxhash64(text).alias("t"), F.xxhash64(F.lit("copy"), text).alias("u"))
+    least = hashes.groupBy("t", "u").agg(F.min("key").alias("lo"), F.count("*").alias("c")).where("c > 1")
+    later = hashes.join(least, ["t", "u"]).where("key > lo").groupBy("key").agg(F.collect_set("t").alias("copied"))
+    return texts.join(later, "key", "left").withColumn("copy", F.coalesce(F.array_contains("copied", F.col("t")), F.lit(False))).drop("copied")
+
+
 def runs(values: np.ndarray) -> np.ndarray:
     """Where each run of equal values starts."""
     return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
@@ -103,11 +117,10 @@ def segment_rows(windows):
     return run
 
 
-def repeated_segments(docs: DataFrame, texts: DataFrame, windows) -> DataFrame:
-    """(a, g, key, t, start, n): segments of all anchors that have two places or more; ``texts`` is ``keyed(docs)``."""
-    plain = docs.select(key_of().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    anchors = plain.mapInArrow(anchor_rows(windows), "key bigint, h bigint")
+def repeated_segments(texts: DataFrame, windows) -> DataFrame:
+    """(a, g, key, t, start, n): segments of all anchors of ``texts`` (key, t, text) that have two places or more."""
+    anchors = texts.select(*TEXT_COLUMNS).mapInArrow(anchor_rows(windows), "key bigint, h bigint")
     shared = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     lists = anchors.join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("listed"))
-    return texts.join(lists, "key").select("key", "t", "text", "listed").mapInArrow(
+    return texts.join(lists, "key").select(*TEXT_COLUMNS, "listed").mapInArrow(
         segment_rows(windows), "a bigint, g bigint, key bigint, t bigint, start bigint, n bigint")

@@ -4,8 +4,8 @@ Every window of a document has a rolling hash over its words. The smallest
 document id is taken per hash; a window that also starts in a document of a
 smaller id is removed, and removed windows merge into maximal intervals.
 
-Three steps keep what is shuffled small, and none loses a window. Windows
-whose anchor (see ``anchors``) has one place only cannot repeat. The windows
+Four steps keep what is shuffled small, and none loses a window. A document
+whose whole text a smaller one has is all repeat. Windows whose anchor (see ``anchors``) has one place only cannot repeat. The windows
 that share an anchor place form a segment: a segment whose whole content also
 stands in a smaller document is removed at once. Only the windows of the rest,
 where an anchor has several contents, are counted one by one. Window hashes
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import keyed, repeated_segments, window_anchors
+from .anchors import TEXT_COLUMNS, keyed, repeated_segments, window_anchors, with_copies
 from .common import WORD_PATTERN, column, text_bytes
 from .hashing import mix, splits_of, window_hashes, word_hashes
 
@@ -116,8 +116,10 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW_WORDS) -> Dat
     smaller than any other; rows of equal id do not count against each other.
     An empty table gives an empty result.
     """
-    texts = keyed(docs.select("doc_id", "text"))
-    segments = repeated_segments(docs, texts, lambda data, hashed: text_windows(data, window, hashed))
+    plain = docs.select("doc_id", "text")
+    known = with_copies(plain, keyed(plain))
+    texts = known.where(~F.col("copy"))
+    segments = repeated_segments(texts, lambda data, hashed: text_windows(data, window, hashed))
     least = segments.groupBy("g").agg(F.min("key").alias("lo"), F.min("a").alias("a"))
     copies = segments.join(least.select("g", "lo"), "g").where("key > lo").select("key", "t", "start", "n")
     # A content's smallest holder may still have windows of other contents of the same anchor, in smaller documents.
@@ -125,7 +127,7 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW_WORDS) -> Dat
     open_ = least.join(several, "a").select("g", "lo")
     asked = segments.select("g", "key", "t", "start", "n").join(open_, "g").where("key = lo").groupBy("key").agg(
         F.collect_list(F.struct("t", "start", "n")).alias("segments"))
-    counted = texts.join(asked, "key").select("key", "t", "text", "segments").mapInArrow(listed_windows(window), "h bigint, key bigint, t bigint, start bigint")
+    counted = texts.join(asked, "key").select(*TEXT_COLUMNS, "segments").mapInArrow(listed_windows(window), "h bigint, key bigint, t bigint, start bigint")
     lowest = counted.groupBy("h").agg(F.min("key").alias("lo"))
     single = counted.join(lowest, "h").where("key > lo").select("key", "t", "start", F.lit(1).cast("long").alias("n"))
     removed = copies.union(single).groupBy("key").agg(F.collect_list(F.struct("t", "start", "n")).alias("gone"))
@@ -134,13 +136,16 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW_WORDS) -> Dat
     def strip(batches):
         schema = None
         for part, data in text_bytes(batches):
-            ids, tags, gone = column(part, "doc_id"), column(part, "t").to_pylist(), column(part, "gone")
+            ids, tags, gone = column(part, "row").field("doc_id"), column(part, "t").to_pylist(), column(part, "gone")
+            copies = column(part, "copy").to_pylist()
             schema = schema or pa.schema([("doc_id", ids.type), ("n_words", pa.int64()), ("n_removed", pa.int64()),
                                           ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept_text", pa.string())])
             out = []
             for row, text in enumerate(data):
                 words, spans = text.split(), []
-                if gone[row].is_valid:
+                if copies[row] and len(words) >= window:
+                    spans = [(0, len(words))]
+                elif gone[row].is_valid:
                     t, start, n = (np.asarray(f) for f in gone[row].values.flatten())
                     start, n = start[t == tags[row]], n[t == tags[row]]
                     spans = covered(np.sort(np.repeat(start, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))), window)
@@ -152,5 +157,5 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW_WORDS) -> Dat
                 out.append((len(words), len(words) - len(kept), [{"start": i, "end": j} for i, j in spans], b" ".join(kept).decode()))
             yield pa.RecordBatch.from_arrays([ids, *[pa.array([o[k] for o in out], schema.field(k + 1).type) for k in range(4)]], schema=schema)
 
-    return texts.join(removed, "key", "left").select("row.doc_id", "t", "text", "gone").mapInArrow(
+    return known.join(removed, "key", "left").select(*TEXT_COLUMNS, "copy", "gone").mapInArrow(
         strip, f"doc_id {id_type}, n_words bigint, n_removed bigint, removed array<struct<start: bigint, end: bigint>>, kept_text string")

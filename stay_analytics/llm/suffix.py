@@ -1,8 +1,9 @@
 """Removal of repeated byte strings with suffix arrays built by two-stage sorting.
 
 A string of ``window`` bytes that also starts earlier in the corpus is removed.
-Work narrows in three steps, each of which loses nothing:
+Work narrows in steps, each of which loses nothing:
 
+0. A document whose whole text a smaller one has is all repeat.
 1. Windows whose anchor (see ``anchors``) occurs once cannot repeat.
 2. The windows that share one anchor place form a segment. Of segments with
    equal bytes all but the first are removed whole; copies end here.
@@ -24,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import keyed, repeated_segments, runs, window_anchors
+from .anchors import TEXT_COLUMNS, keyed, repeated_segments, runs, window_anchors, with_copies
 from .common import column, partitions_for, text_bytes
 from .hashing import mix, splits_of, window_hashes
 
 WINDOW_BYTES = 100
-GRAM_BYTES = 32
+GRAM_BYTES = 24
 #: Bytes that one suffix array holds, about; an anchor's segments are never parted.
 BLOCK_BYTES = 1 << 20
 #: Distinct segments of one anchor that go to one suffix array at most.
@@ -272,14 +273,15 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW_BYTES) -> DataFr
     An empty table gives an empty result.
     """
     n_parts = partitions_for(docs)
-    texts = keyed(docs)
-    segments = repeated_segments(docs, texts, lambda data, hashed: byte_windows(data, window, hashed))
+    known = with_copies(docs, keyed(docs))
+    texts = known.where(~F.col("copy"))
+    segments = repeated_segments(texts, lambda data, hashed: byte_windows(data, window, hashed))
     first = segments.groupBy("g").agg(F.min(F.struct("key", "t", "start")).alias("first"), F.min("a").alias("a"), F.min("n").alias("n"))
     copies = segments.drop("a").join(first.select("g", "first"), "g").where(F.struct("key", "t", "start") != F.col("first")).select("key", "t", "start", "n")
     kinds = first.groupBy("a").agg(F.count("*").alias("c")).where("c > 1")
     open_ = first.join(kinds, "a").select("first.*", "a", "n", (F.col("c") > SEGMENTS_PER_ANCHOR).alias("hot"))
     asked = open_.groupBy("key").agg(F.collect_list(F.struct("t", "a", "start", "n", "hot")).alias("segments"))
-    parts = texts.join(asked, "key").select("key", "t", "text", "segments").mapInArrow(
+    parts = texts.join(asked, "key").select(*TEXT_COLUMNS, "segments").mapInArrow(
         sliced(window), "a bigint, hot boolean, key bigint, t bigint, start bigint, bytes binary")
     sorted_ = parts.where(~F.col("hot")).repartition(n_parts, "a").sortWithinPartitions("a").mapInArrow(sorted_repeats(window), REMOVED)
     hot = parts.where("hot").mapInArrow(hot_windows(window), "h bigint, key bigint, t bigint, start bigint")
@@ -292,10 +294,13 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW_BYTES) -> DataFr
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         for part, data in text_bytes(batches):
             rows, tags, gone = column(part, "row"), column(part, "t").to_pylist(), column(part, "gone")
+            copies = column(part, "copy").to_pylist()
             out = []
             for r, text in enumerate(data):
                 spans, kept, whole = [], [], []
-                if gone[r].is_valid:
+                if copies[r] and len(text) >= window:
+                    spans = [(0, len(text))]
+                elif gone[r].is_valid:
                     fields = gone[r].values.flatten()
                     t, start, n = [np.asarray(f) for f in fields]
                     order = np.argsort(start[t == tags[r]], kind="stable")
@@ -319,5 +324,5 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW_BYTES) -> DataFr
             yield pa.RecordBatch.from_arrays([rows, *[pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.int64(), span, pa.binary(), pa.string()))]],
                                              names=["row", "n_bytes", "spans", "kept", "kept_text"])
 
-    return texts.join(removed, "key", "left").select("row", "t", "text", "gone").mapInArrow(
+    return known.join(removed, "key", "left").select(*TEXT_COLUMNS, "copy", "gone").mapInArrow(
         strip, f"row {row_type}, n_bytes bigint, spans array<struct<start: bigint, end: bigint>>, kept binary, kept_text string")
