@@ -32,9 +32,9 @@ from .hashing import mix, splits_of, window_hashes
 WINDOW_BYTES = 100
 GRAM_BYTES = 24
 #: Bytes that one suffix array holds, about; an anchor's segments are never parted.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Distinct segments of one anchor that go to one suffix array at most.
-SEGMENTS_PER_ANCHOR = 4096
+SEGMENTS_PER_ANCHOR = 2048
 #: Longer texts are read in overlapping parts of so many bytes.
 PART_BYTES = 4 << 20
 
