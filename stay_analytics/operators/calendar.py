@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import SEASONS, available_flag, is_weekend, months_touched, season_of_month
-from .util import broadcast_if_small
 
 
 def clean_calendar(cal: DataFrame, date: str = "date", available: str = "available",
@@ -121,8 +120,7 @@ def _available_days(cal: DataFrame, listing: str, date: str, available: str) ->
 
 
 def stay_availability(cal: DataFrame, stays: DataFrame, listing: str = "listing_id", date: str = "date",
-                      available: str = "available", stay_key: Sequence[str] = ("stay_id",),
-                      max_broadcast_rows: int = 2_000_000) -> DataFrame:
+                      available: str = "available", stay_key: Sequence[str] = ("stay_id",)) -> DataFrame:
     """SV1: per stay, available nights in [check_in, check_out), strictest min/max nights,
     the availability verdict and the batch status text (SV3).
 
@@ -140,7 +138,6 @@ def stay_availability(cal: DataFrame, stays: DataFrame, listing: str = "listing_
     days = days.withColumn("_month", F.trunc("_day", "MM"))
     st_m = st.select(*key, "listing_id", "check_in", "check_out",
                      F.explode(months_touched("check_in", "check_out")).alias("_month"))
-    st_m = broadcast_if_small(st_m, max_broadcast_rows)
     hit = (days.join(st_m, ["listing_id", "_month"])
            .filter((F.col("_day") >= F.col("check_in")) & (F.col("_day") < F.col("check_out"))))
     agg = hit.groupBy(*key, "listing_id").agg(

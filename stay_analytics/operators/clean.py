@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import clip_upper, pround
 from ..functions.parse import (KEY_AMENITIES, amenity_flags, bathroom_type, classify_property_type, haversine_km,
                                parse_amenities, parse_bathrooms, parse_boolean, parse_price, parse_rate)
+from .filters import iqr_bounds
 
 BOOLEAN_COLUMNS = ["host_is_superhost", "host_has_profile_pic", "host_identity_verified", "has_availability",
                    "instant_bookable"]
@@ -96,10 +97,8 @@ def price_filter_audit(df: DataFrame, price: str = "price_eur", by: Sequence[str
     """
     by = list(by)
     valid = df.filter(F.col(price) > 0)
-    q = valid.groupBy(*by).agg(F.percentile(price, [0.25, 0.75]).alias("_q"))
-    iqr = F.col("_q")[1] - F.col("_q")[0]
-    bounds = q.select(*by, (F.col("_q")[0] - k * iqr).alias("price_iqr_lower_eur"),
-                      (F.col("_q")[1] + k * iqr).alias("price_iqr_upper_eur"))
+    bounds = iqr_bounds(valid, price, by, k).select(*by, F.col("lower_bound").alias("price_iqr_lower_eur"),
+                                                    F.col("upper_bound").alias("price_iqr_upper_eur"))
     j = df.join(bounds, by, "left")
     ok = F.col(price) > 0
     inside = ok & F.col(price).between(F.col("price_iqr_lower_eur"), F.col("price_iqr_upper_eur"))

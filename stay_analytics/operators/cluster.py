@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pround
+from .ranking import grouped, median_of
 
 # Segment names in ascending median-price order.
 SEGMENT_LABELS = ["Value", "Standard", "Premium", "Luxury"]
@@ -44,15 +45,14 @@ def profile_segments(df: DataFrame, cluster: str, by: Sequence[str] = ("city",),
                      labels: Sequence[str] = SEGMENT_LABELS) -> DataFrame:
     """CL4: profile per cluster and names by ascending median price (2 dp)."""
     by = list(by)
-    g = df.groupBy(*by, cluster).agg(
-        F.count(F.lit(1)).alias("listings"), pround(F.median("price_eur"), 2).alias("median_price_eur"),
-        pround(F.avg("price_eur"), 2).alias("mean_price_eur"), pround(F.median("accommodates"), 2).alias("median_accommodates"),
-        pround(F.median("amenities_count"), 2).alias("median_amenities"),
-        pround(F.median("distance_to_center_km"), 2).alias("median_distance_to_center_km"),
-        pround(F.median("availability_365"), 2).alias("median_availability_365"),
+    g = grouped(df, [*by, cluster], F.count(F.lit(1)).alias("listings"), median_of("price_eur", 2).alias("median_price_eur"),
+        pround(F.avg("price_eur"), 2).alias("mean_price_eur"), median_of("accommodates", 2).alias("median_accommodates"),
+        median_of("amenities_count", 2).alias("median_amenities"),
+        median_of("distance_to_center_km", 2).alias("median_distance_to_center_km"),
+        median_of("availability_365", 2).alias("median_availability_365"),
         pround(F.avg("review_scores_rating"), 2).alias("mean_review_score"),
-        pround(F.median("minimum_nights"), 2).alias("median_minimum_nights"),
-        F.median("price_eur").alias("_mp"))
+        median_of("minimum_nights", 2).alias("median_minimum_nights"),
+        median_of("price_eur").alias("_mp"))
     order = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("_mp").asc(), F.col(cluster).asc()))
     names = F.array(*[F.lit(x) for x in labels])
     g = g.withColumn("_o", order)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import col_of, pround, safe_ratio
+from .ranking import grouped, median_of
 
 # Columns never used as model features (identifiers, raw dates, redundant).
 DROP_COLUMNS = ["listing_id", "city", "last_scraped", "host_since", "first_review", "last_review", "property_type",
@@ -154,7 +155,7 @@ def candidate_features(df: DataFrame, by: Sequence[str] = ("city",), target: str
 def fill_group_median(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("city",)) -> DataFrame:
     """WN2: fill nulls (only nulls, Q1) with the group median; one aggregate joined back."""
     by = list(by)
-    meds = df.groupBy(*by).agg(*[F.median(c).alias(f"_med_{c}") for c in columns])
+    meds = grouped(df, [*by], *[median_of(c).alias(f"_med_{c}") for c in columns])
     out = df.join(meds, by, "left")
     for c in columns:
         out = out.withColumn(c, F.coalesce(F.col(c).cast("double"), F.col(f"_med_{c}")))
@@ -168,8 +169,8 @@ def impute_nulls(df: DataFrame, by: Sequence[str] = ("city",), max_null_share: f
     by = list(by)
     numeric = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name not in by]
     strings = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in by]
-    stats = df.groupBy(*by).agg(*[F.avg(F.col(c).isNull().cast("double")).alias(f"_ns_{c}") for c in numeric],
-                                *[F.median(c).alias(f"_med_{c}") for c in numeric])
+    stats = grouped(df, [*by], *[F.avg(F.col(c).isNull().cast("double")).alias(f"_ns_{c}") for c in numeric],
+                                *[median_of(c).alias(f"_med_{c}") for c in numeric])
     out = df.join(stats, by, "left")
     for c in numeric:
         share = F.col(f"_ns_{c}")

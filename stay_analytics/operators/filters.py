@@ -175,23 +175,21 @@ def drop_bad_prices(df: DataFrame, price: str = "price_eur") -> DataFrame:
 def iqr_filter(df: DataFrame, value: str, by: Sequence[str] = (), k: float = 1.5) -> DataFrame:
     """FI2: keep rows inside ``[Q1 - k*IQR, Q3 + k*IQR]`` of their group.
 
-    Quartiles are exact linear quantiles computed per group with one partial
-    aggregate; the bound table (one row per group) is joined back.
+    Quartiles are exact linear quantiles of each group; the bound table (one
+    row per group) is joined back.
     """
     by = list(by)
-    bounds = df.groupBy(*by).agg(F.percentile(value, [0.25, 0.75]).alias("_q"))
-    bounds = bounds.select(*by, (F.col("_q")[0] - k * (F.col("_q")[1] - F.col("_q")[0])).alias("_lo"),
-                           (F.col("_q")[1] + k * (F.col("_q")[1] - F.col("_q")[0])).alias("_hi"))
+    bounds = iqr_bounds(df, value, by, k).select(*by, F.col("lower_bound").alias("_lo"), F.col("upper_bound").alias("_hi"))
     joined = attach_group_values(df, bounds, by)
     return joined.filter(F.col(value).between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
 def iqr_bounds(df: DataFrame, value: str, by: Sequence[str] = (), k: float = 1.5) -> DataFrame:
     by = list(by)
-    q = df.groupBy(*by).agg(F.percentile(value, [0.25, 0.75]).alias("_q"))
-    return q.select(*by, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("q3"),
-                    (F.col("_q")[0] - k * (F.col("_q")[1] - F.col("_q")[0])).alias("lower_bound"),
-                    (F.col("_q")[1] + k * (F.col("_q")[1] - F.col("_q")[0])).alias("upper_bound"))
+    from .ranking import Quantile, grouped
+    q1, q3 = F.col("q1"), F.col("q3")
+    return grouped(df, by, Quantile(value, 0.25).alias("q1"), Quantile(value, 0.75).alias("q3")).select(
+        *by, "q1", "q3", (q1 - k * (q3 - q1)).alias("lower_bound"), (q3 + k * (q3 - q1)).alias("upper_bound"))
 
 
 def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import SEASONS, months_touched, season_of_month
 from ..functions.numeric import col_of, pround
+from .ranking import grouped, median_of
 
 # Month name -> number, and season -> month names.
 MONTHS = ["January", "February", "March", "April", "May", "June", "July", "August", "September", "October",
@@ -111,9 +112,8 @@ def window_summary(monthly: DataFrame, by: Sequence[str] = ("city",), months: Se
     if seasons:
         parts.append(monthly.filter(season_title.isin(*seasons)).withColumn("window", season_title))
     win = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    g = win.groupBy(*by, "window").agg(
-        F.countDistinct("listing_id").alias("count"), F.avg("predicted_nightly_price_eur").alias("mean_price"),
-        F.median("predicted_nightly_price_eur").alias("median_price"),
+    g = grouped(win, [*by, "window"], F.countDistinct("listing_id").alias("count"), F.avg("predicted_nightly_price_eur").alias("mean_price"),
+        median_of("predicted_nightly_price_eur").alias("median_price"),
         F.avg("month_unavailable_signal").alias("mean_unavailable"))
     lookup = F.create_map(*[x for k, v in SEASON_TO_MONTHS.items() for x in (F.lit(k), F.lit(v))])
     return g.withColumn("months", F.coalesce(F.element_at(lookup, F.col("window")), F.col("window"))) \
@@ -139,8 +139,8 @@ def stay_estimate(monthly: DataFrame, stays: DataFrame, key: Sequence[str] = ("s
     n_need = need.groupBy(*key, "listing_id").agg(F.count(F.lit(1)).alias("_need"))
     hit = need.join(monthly, ["listing_id", "month_start"])
     ids = [*key, "listing_id"]
-    g = hit.groupBy(*ids).agg(F.countDistinct("month_start").alias("_have"),
-                              F.median("predicted_nightly_price_eur").alias("estimated_nightly_price_eur"))
+    g = grouped(hit, [*ids], F.countDistinct("month_start").alias("_have"),
+                              median_of("predicted_nightly_price_eur").alias("estimated_nightly_price_eur"))
     est = (n_need.join(g, ids, "left")
            .withColumn("covered", F.coalesce(F.col("_have") == F.col("_need"), F.lit(False))))
     est = est.withColumn("estimated_nightly_price_eur",
@@ -163,8 +163,7 @@ def price_source_cascade(df: DataFrame, snapshot: str, verified: str, cached: st
 
 def cache_manifest(cache: DataFrame) -> DataFrame:
     """FC8: rows and median predicted price per city / scope / segment / model."""
-    return cache.groupBy("city", "prediction_model_scope", "prediction_model_segment", "prediction_model_name").agg(
-        F.count(F.lit(1)).alias("rows"), F.median("predicted_nightly_price_eur").alias("median_predicted_price_eur"))
+    return grouped(cache, ["city", "prediction_model_scope", "prediction_model_segment", "prediction_model_name"], F.count(F.lit(1)).alias("rows"), median_of("predicted_nightly_price_eur").alias("median_predicted_price_eur"))
 
 
 def feature_defaults(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
@@ -172,7 +171,7 @@ def feature_defaults(df: DataFrame, numeric: Sequence[str], categorical: Sequenc
     """FC9: per group, median of each numeric feature and the mode ('Unknown' if none) of each
     categorical one, long form (feature, default)."""
     by = list(by)
-    med = df.groupBy(*by).agg(*[F.median(c).cast("string").alias(c) for c in numeric])
+    med = grouped(df, by, *[median_of(c).alias(c) for c in numeric]).select(*by, *[F.col(c).cast("string").alias(c) for c in numeric])
     out = med.unpivot(by, list(numeric), "feature", "default") if numeric else None
     for c in categorical:
         m = _mode(c, by, df, "default").withColumn("feature", F.lit(c))

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import from_log_target, pround
 from ..session import ensure_checkpoint_dir
+from .ranking import grouped, median_of, Quantile
 
 # ----------------------------------------------------------------- splits
 
@@ -72,7 +73,7 @@ def baseline_predictions(df: DataFrame, target: str = "price_eur", city: str = "
     names = []
     for i, (_, grain) in enumerate(BASELINE_GRAINS):
         keys = [city, *grain]
-        med = train.groupBy(*keys).agg(F.median(target).alias(f"_m{i}"))
+        med = grouped(train, [*keys], median_of(target).alias(f"_m{i}"))
         preds = preds.join(med, keys, "left")
         names.append(f"_m{i}")
     cascade = []
@@ -125,7 +126,8 @@ def error_segments(frame: DataFrame, segment_cols: Sequence[str], by: Sequence[s
     x = frame
     cols = list(segment_cols)
     if price_band_quartiles:
-        edges = x.groupBy(*by).agg(F.percentile("actual_price_eur", [0.25, 0.5, 0.75]).alias("_e"))
+        edges = grouped(x, by, *[Quantile("actual_price_eur", q).alias(f"_e{i}") for i, q in enumerate((0.25, 0.5, 0.75))]).select(
+            *by, F.array("_e0", "_e1", "_e2").alias("_e"))
         x = x.join(edges, by)
         a = F.col("actual_price_eur")
         band = (F.when(a <= F.col("_e")[0], "low").when(a <= F.col("_e")[1], "mid-low")
@@ -134,10 +136,9 @@ def error_segments(frame: DataFrame, segment_cols: Sequence[str], by: Sequence[s
         cols.append("actual_price_band")
     long = x.select(*by, "abs_error_eur", "actual_price_eur", F.inline(F.array(*[
         F.struct(F.lit(c).alias("segment_type"), F.col(c).cast("string").alias("segment")) for c in cols])))
-    g = long.groupBy(*by, "segment_type", "segment").agg(
-        F.count(F.lit(1)).alias("rows"), pround(F.avg("abs_error_eur"), 4).alias("mae_eur"),
-        pround(F.median("abs_error_eur"), 4).alias("median_abs_error_eur"),
-        pround(F.percentile("abs_error_eur", 0.9), 4).alias("p90_abs_error_eur"),
+    g = grouped(long, [*by, "segment_type", "segment"], F.count(F.lit(1)).alias("rows"), pround(F.avg("abs_error_eur"), 4).alias("mae_eur"),
+        median_of("abs_error_eur", 4).alias("median_abs_error_eur"),
+        Quantile("abs_error_eur", 0.9, 4).alias("p90_abs_error_eur"),
         pround(F.avg("actual_price_eur"), 4).alias("mean_actual_price_eur"))
     return g.filter(F.col("rows") >= min_rows)
 
@@ -146,9 +147,8 @@ def segment_audit(df: DataFrame, segment: str, by: Sequence[str] = ("city",), ta
                   is_test: str = "is_test", min_rows: int = 300, min_test: int = 60) -> DataFrame:
     """ML13: rows, train/test rows, medians and modelled/skipped status per segment."""
     t = F.col(is_test)
-    g = df.groupBy(*by, segment).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum((~t).cast("int")).alias("train_rows"),
-        F.sum(t.cast("int")).alias("test_rows"), pround(F.median(target), 2).alias("median_price_eur"),
+    g = grouped(df, [*by, segment], F.count(F.lit(1)).alias("rows"), F.sum((~t).cast("int")).alias("train_rows"),
+        F.sum(t.cast("int")).alias("test_rows"), median_of(target, 2).alias("median_price_eur"),
         pround(F.avg(target), 2).alias("mean_price_eur"))
     ok = (F.col("rows") >= min_rows) & (F.col("test_rows") >= min_test)
     return g.withColumn("model_status", F.when(ok, "Modelled").otherwise("Skipped - too few rows"))

@@ -19,25 +19,17 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from ..functions.numeric import col_of, pround
-from .ranking import running_below, top_n_per_group
-
-
-def quantile(c, q, accuracy: int | None = None) -> Column:
-    """Exact linear-interpolated quantile(s); approximate when ``accuracy`` is given."""
-    if accuracy:
-        return F.percentile_approx(col_of(c), q, accuracy)
-    return F.percentile(col_of(c), q)
+from .ranking import grouped, median_of, Quantile, running_below, top_n_per_group
 
 
 def market_summary(df: DataFrame, by: Sequence[str] = ("city",)) -> DataFrame:
     """AG10/AG11: listings, median/mean price, mean rating, median availability and distance."""
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("listings"),
-        pround(F.median("price_eur"), 2).alias("median_price_eur"),
+    return grouped(df, [*by], F.count(F.lit(1)).alias("listings"),
+        median_of("price_eur", 2).alias("median_price_eur"),
         pround(F.avg("price_eur"), 2).alias("mean_price_eur"),
         pround(F.avg("review_scores_rating"), 2).alias("mean_rating"),
-        pround(F.median("availability_30"), 1).alias("median_availability_30"),
-        pround(F.median("distance_to_center_km"), 2).alias("median_distance_to_center_km"),
+        median_of("availability_30", 1).alias("median_availability_30"),
+        median_of("distance_to_center_km", 2).alias("median_distance_to_center_km"),
     )
 
 
@@ -53,29 +45,26 @@ def executive_overview(comparison: DataFrame) -> DataFrame:
 
 def room_type_summary(df: DataFrame, by: Sequence[str] = ("city",), group: str = "room_type") -> DataFrame:
     """AG13: per group value (nulls are a group): listings, median price, mean rating, median availability."""
-    return df.groupBy(*by, group).agg(
-        F.count(F.lit(1)).alias("listings"),
-        F.median("price_eur").alias("median_price_eur"),
+    return grouped(df, [*by, group], F.count(F.lit(1)).alias("listings"),
+        median_of("price_eur").alias("median_price_eur"),
         F.avg("review_scores_rating").alias("mean_rating"),
-        F.median("availability_30").alias("median_availability_30"))
+        median_of("availability_30").alias("median_availability_30"))
 
 
 def price_by_group(df: DataFrame, group: str, by: Sequence[str] = ("city",), target: str = "price_eur",
                    digits: int = 3) -> DataFrame:
     """AG14: count / median / mean / sample std of the target per group, rounded."""
-    return df.filter(F.col(group).isNotNull()).groupBy(*by, group).agg(
-        F.count(target).alias("count"), pround(F.median(target), digits).alias("median"),
+    return grouped(df.filter(F.col(group).isNotNull()), [*by, group], F.count(target).alias("count"), median_of(target, digits).alias("median"),
         pround(F.avg(target), digits).alias("mean"), pround(F.stddev_samp(target), digits).alias("std"))
 
 
 def neighbourhood_table(df: DataFrame, by: Sequence[str] = ("city",), area: str = "neighbourhood_cleansed",
                         min_rows: int = 30, digits: int = 3) -> DataFrame:
     """AG15: per area size, median/mean price, median annual availability, mean rating; >= min_rows."""
-    g = df.filter(F.col(area).isNotNull()).groupBy(*by, area).agg(
-        F.count(F.lit(1)).alias("listing_count"),
-        pround(F.median("price_eur"), digits).alias("median_price_eur"),
+    g = grouped(df.filter(F.col(area).isNotNull()), [*by, area], F.count(F.lit(1)).alias("listing_count"),
+        median_of("price_eur", digits).alias("median_price_eur"),
         pround(F.avg("price_eur"), digits).alias("mean_price_eur"),
-        pround(F.median("availability_365"), digits).alias("median_availability_365"),
+        median_of("availability_365", digits).alias("median_availability_365"),
         pround(F.avg("review_scores_rating"), digits).alias("mean_rating"))
     return g.filter(F.col("listing_count") >= min_rows)
 
@@ -83,8 +72,8 @@ def neighbourhood_table(df: DataFrame, by: Sequence[str] = ("city",), area: str
 def lowest_median_areas(df: DataFrame, by: Sequence[str] = ("city",), area: str = "neighbourhood_cleansed",
                         min_rows: int = 20, n: int = 12) -> DataFrame:
     """AG16: the ``n`` areas with the lowest median price among areas with >= ``min_rows`` listings."""
-    g = (df.groupBy(*by, area).agg(F.count(F.lit(1)).alias("listings"),
-                                   F.median("price_eur").alias("median_price_eur"))
+    g = (grouped(df, [*by, area], F.count(F.lit(1)).alias("listings"),
+                                   median_of("price_eur").alias("median_price_eur"))
          .filter(F.col("listings") >= min_rows))
     return top_n_per_group(g, by, [F.col("median_price_eur").asc(), F.col(area).asc()], n)
 
@@ -107,8 +96,8 @@ def map_filter(df: DataFrame, price_min: float, price_max: float, min_rating: fl
 def area_selection_summary(df: DataFrame, by: Sequence[str] = ("city",), area: str = "neighbourhood_cleansed",
                            n: int = 10) -> DataFrame:
     """AG17: top ``n`` areas by listings then mean rating (2-dp medians/ratings)."""
-    g = df.groupBy(*by, area).agg(F.count(F.lit(1)).alias("listings"),
-                                  F.median("price_eur").alias("median_price_eur"),
+    g = grouped(df, [*by, area], F.count(F.lit(1)).alias("listings"),
+                                  median_of("price_eur").alias("median_price_eur"),
                                   F.avg("review_scores_rating").alias("mean_rating"))
     top = top_n_per_group(g, by, [F.col("listings").desc(), F.col("mean_rating").desc_nulls_last(),
                                   F.col(area).asc()], n)
@@ -138,9 +127,8 @@ def eda_card(df: DataFrame, by: Sequence[str] = ("city",), target: str = "price_
              flags: Sequence[str] = (), digits: int = 3) -> DataFrame:
     """AG18: per-city EDA card: price stats, modes, top-5 areas, flag rates %, means/medians."""
     by = list(by)
-    stats = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("listings"),
-        pround(F.median(target), digits).alias("median_price_eur"),
+    stats = grouped(df, [*by], F.count(F.lit(1)).alias("listings"),
+        median_of(target, digits).alias("median_price_eur"),
         pround(F.avg(target), digits).alias("mean_price_eur"),
         pround(F.stddev_samp(target), digits).alias("price_std_eur"),
         pround(F.min(target), digits).alias("min_price_eur"),
@@ -148,7 +136,7 @@ def eda_card(df: DataFrame, by: Sequence[str] = ("city",), target: str = "price_
         *[pround(F.avg(f) * 100, digits).alias(f"{f}_rate_pct") for f in flags],
         pround(F.avg("review_scores_rating"), digits).alias("mean_rating"),
         pround(F.avg("accommodates"), digits).alias("mean_accommodates"),
-        pround(F.median("availability_365"), digits).alias("median_availability_365"))
+        median_of("availability_365", digits).alias("median_availability_365"))
     room = mode_table(df, "room_type", by).withColumnRenamed("mode_room_type", "most_common_room_type")
     area = mode_table(df, "neighbourhood_cleansed", by).withColumnRenamed("mode_neighbourhood_cleansed",
                                                                          "top_neighbourhood")
@@ -172,7 +160,7 @@ def value_counts(df: DataFrame, column: str, by: Sequence[str] = ("city",), n: i
 def flag_price_table(df: DataFrame, flag: str, by: Sequence[str] = ("city",), target: str = "price_eur") -> DataFrame:
     """AG20: per flag value: listings, % of the group, median price."""
     by = list(by)
-    g = df.groupBy(*by, flag).agg(F.count(F.lit(1)).alias("listings"), F.median(target).alias("median_price_eur"))
+    g = grouped(df, [*by, flag], F.count(F.lit(1)).alias("listings"), median_of(target).alias("median_price_eur"))
     tot = g.groupBy(*by).agg(F.sum("listings").alias("_tot"))
     return g.join(tot, by).withColumn("share_pct", F.col("listings") / F.col("_tot") * 100).drop("_tot")
 
@@ -189,13 +177,9 @@ def describe_long(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ("c
     by = list(by)
     long = df.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("feature"),
                                                       F.col(c).cast("double").alias("value")) for c in columns])))
-    pct = F.percentile("value", list(percentiles))
-    aggs = [F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"), pct.alias("_p"), F.max("value").alias("max")]
-    out = long.groupBy(*by, "feature").agg(*aggs)
-    names = [f"p{int(round(p * 100)):02d}" for p in percentiles]
-    return out.select(*by, "feature", "count", "mean", "std", "min",
-                      *[F.col("_p")[i].alias(n) for i, n in enumerate(names)], "max")
+    return grouped(long, [*by, "feature"], F.count("value").alias("count"), F.avg("value").alias("mean"),
+                   F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
+                   *[Quantile("value", p).alias(f"p{int(round(p * 100)):02d}") for p in percentiles], F.max("value").alias("max"))
 
 
 def target_correlations(df: DataFrame, columns: Sequence[str], target: str = "price_eur",
@@ -263,10 +247,8 @@ def mann_whitney(df: DataFrame, value: str, group: str, first) -> DataFrame:
 
 def five_number_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """AG30: min, quartiles and max per group (box-plot data)."""
-    return df.groupBy(*by).agg(F.min(value).alias("min"), F.percentile(value, [0.25, 0.5, 0.75]).alias("_q"),
-                               F.max(value).alias("max")) \
-        .select(*by, "min", F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                F.col("_q")[2].alias("q3"), "max")
+    return grouped(df, by, F.min(value).alias("min"), *[Quantile(value, q).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))],
+                   F.max(value).alias("max"))
 
 
 def price_by_quantile_bin(df: DataFrame, column: str, by: Sequence[str] = ("city",), target: str = "price_eur",
@@ -275,15 +257,16 @@ def price_by_quantile_bin(df: DataFrame, column: str, by: Sequence[str] = ("city
     listings and median target per bin."""
     by = list(by)
     probs = [i / q for i in range(q + 1)]
-    edges = df.groupBy(*by).agg(F.array_distinct(F.percentile(F.col(column).cast("double"), probs)).alias("_e"))
+    edges = grouped(df, by, *[Quantile(column, p).alias(f"_e{i}") for i, p in enumerate(probs)]).select(
+        *by, F.array_distinct(F.array(*[f"_e{i}" for i in range(q + 1)])).alias("_e"))
     j = df.filter(F.col(column).isNotNull()).join(edges, by)
     v = F.col(column).cast("double")
     # bin index = number of edges strictly below v (minus one); the lowest edge joins bin 0
     idx = F.greatest(F.size(F.filter("_e", lambda e: e < v)) - 1, F.lit(0))
     j = j.withColumn("bin", idx).withColumn("bin_low", F.element_at("_e", F.col("bin") + 1)) \
          .withColumn("bin_high", F.element_at("_e", F.col("bin") + 2))
-    return j.groupBy(*by, "bin", "bin_low", "bin_high").agg(F.count(F.lit(1)).alias("listings"),
-                                                           F.median(target).alias("median_price_eur"))
+    return grouped(j, [*by, "bin", "bin_low", "bin_high"], F.count(F.lit(1)).alias("listings"),
+                                                           median_of(target).alias("median_price_eur"))
 
 
 def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ("city",),
@@ -293,7 +276,7 @@ def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ("c
     by = list(by)
     x = df.filter(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("v"))
     if cap_quantile is not None:
-        caps = x.groupBy(*by).agg(F.percentile("v", cap_quantile).alias("_cap"))
+        caps = grouped(x, by, Quantile("v", cap_quantile).alias("_cap"))
         x = x.join(caps, by).filter(F.col("v") <= F.col("_cap")).drop("_cap")
     rng = x.groupBy(*by).agg(F.min("v").alias("_lo"), F.max("v").alias("_hi"))
     j = x.join(rng, by)
@@ -307,8 +290,9 @@ def histogram(df: DataFrame, value: str, bins: int = 30, by: Sequence[str] = ("c
 def geo_bounds(df: DataFrame, lat: str, lon: str, by: Sequence[str] = ("city",), pad: float = 0.12,
                min_pad: float = 0.02) -> DataFrame:
     """AG33: median centre and a 1-99 % quantile box padded by 12 % (at least 0.02 degrees)."""
-    g = df.groupBy(*by).agg(F.median(lat).alias("center_lat"), F.median(lon).alias("center_lon"),
-                            F.percentile(lat, [0.01, 0.99]).alias("_la"), F.percentile(lon, [0.01, 0.99]).alias("_lo"))
+    g = grouped(df, [*by], median_of(lat).alias("center_lat"), median_of(lon).alias("center_lon"),
+                *[Quantile(c, q).alias(n) for c, q, n in ((lat, 0.01, "_la0"), (lat, 0.99, "_la1"), (lon, 0.01, "_lo0"), (lon, 0.99, "_lo1"))])
+    g = g.withColumn("_la", F.array("_la0", "_la1")).withColumn("_lo", F.array("_lo0", "_lo1"))
     pla = F.greatest((F.col("_la")[1] - F.col("_la")[0]) * pad, F.lit(min_pad))
     plo = F.greatest((F.col("_lo")[1] - F.col("_lo")[0]) * pad, F.lit(min_pad))
     return g.select(*by, "center_lat", "center_lon", (F.col("_la")[0] - pla).alias("min_lat"),

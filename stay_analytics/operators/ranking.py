@@ -10,127 +10,68 @@ rows, so no step puts a whole pool into one task:
 
 1. Rows are reduced to distinct ``(pool, feature, value) -> count`` with a
    map-side partial aggregate. A hot *value* becomes one row.
-2. When the largest pool has at most ``WINDOW_POOL_BOUND`` distinct values
-   (a cheap probe), running counts are one window per pool. Otherwise they
-   use a range partitioning of
-   ``(pool, feature, value)``: per-range totals (one row per range and pool)
-   give each range its offset, and a window inside each range adds the local
-   running count. The range-tagged counts are checkpointed so both branches
-   (and any retried task) see one range assignment.
+2. Running counts go through fine buckets of the value (an order-preserving
+   whole number, about 0.3 % wide): a window over the bucket totals of a pool
+   gives each bucket its offset, and a window inside each bucket adds the
+   local running count. Buckets are a function of the value alone, so every
+   branch and every retried task sees the same ones, nothing is sampled and
+   nothing runs before the plan does. This is the only path, at every size.
 3. The pool median (for null fill) is read off those running counts exactly,
    with no per-pool value map.
-4. Scores are joined back on ``(pool, value)``; AQE broadcasts small score
-   tables and splits skewed join partitions.
+4. All features of a row are unpivoted once, joined once with the rank table
+   and folded back by row; AQE splits skewed join partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import col_of
+from ..functions.numeric import col_of, pround
 from ..session import cut_lineage
 
 _F, _V, _CNT = "_rk_feature", "_rk_value", "_rk_cnt"
 
 
-def _num_ranges(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Buckets per unit of the natural logarithm: about 256 for each doubling of the value.
+BUCKETS_PER_LOG = 369
 
 
-def running_below(counts: DataFrame, keys: Sequence[str], value: str, cnt: str,
-                  out: str = "_below", num_ranges: int | None = None) -> DataFrame:
+def value_bucket(value: str) -> Column:
+    """Whole number that never decreases as the (double) value grows; NaN comes last."""
+    v = F.col(value).cast("double")
+    # The logarithm of any positive double lies in (-746, 710); the offset keeps both signs apart.
+    size = F.floor((F.log(F.abs(v)) + 750) * BUCKETS_PER_LOG)
+    return (F.when(F.isnan(v), F.lit(1 << 40)).when(v == 0, F.lit(0)).when(v == float("inf"), F.lit(1 << 30))
+            .when(v == -float("inf"), F.lit(-(1 << 30))).when(v > 0, size).otherwise(-size).cast("bigint"))
+
+
+def running_below(counts: DataFrame, keys: Sequence[str], value: str, cnt: str, out: str = "_below") -> DataFrame:
     """Add ``out`` = total ``cnt`` of rows with a smaller ``value`` in the same ``keys`` group.
 
-    ``counts`` has one row per distinct (keys, value). The running sum is
-    split across range partitions so a large group spreads over many tasks.
-    Range bounds come from sampling the exchange input, which is not
-    repeatable across executions; the range-tagged counts are therefore
-    checkpointed (reliably, into the checkpoint folder) so both branches and
-    any retried task see the same assignment. The counts are one row per
-    distinct value, much smaller than the input.
-    """
-    keys = list(keys)
-    n = num_ranges or _num_ranges(counts)
-    payload = [c for c in counts.columns if c not in {*keys, value, cnt}]
-    core = counts.select(*keys, value, cnt)
-    ranged = cut_lineage(core.repartitionByRange(n, *keys, value).withColumn("_rng", F.spark_partition_id()))
-    per_range = ranged.groupBy("_rng", *keys).agg(F.sum(cnt).alias("_rtot"))
-    before = Window.partitionBy(*keys).orderBy("_rng").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select("_rng", *keys, F.coalesce(F.sum("_rtot").over(before), F.lit(0)).alias("_off"))
-    local = Window.partitionBy("_rng", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    with_local = ranged.withColumn("_loc", F.coalesce(F.sum(cnt).over(local), F.lit(0)))
-    res = (with_local.join(offsets, ["_rng", *keys])
-           .withColumn(out, F.col("_off") + F.col("_loc"))
-           .drop("_rng", "_off", "_loc"))
-    if payload:
-        res = res.join(counts.select(*keys, value, *payload), [*keys, value])
-    return res
-
-
-# Pools whose distinct-value count stays under this bound are ranked with a
-# plain window (one task per pool holds at most this many rows); larger pools
-# use the range-split running counts.
-WINDOW_POOL_BOUND = 2_000_000
-SMALL_INPUT_BYTES = 64 * 1024 * 1024
-
-
-def _estimated_bytes(df: DataFrame) -> int:
-    """Total size of the relations a plan reads (no job). Join estimates multiply child sizes,
-    so the sum over the plan's leaves (scanned files) is the tighter upper bound on its input."""
-    try:
-        it = df._jdf.queryExecution().optimizedPlan().collectLeaves().iterator()
-        total = 0
-        while it.hasNext():
-            total += int(str(it.next().stats().sizeInBytes()))
-        return total
-    except Exception:  # noqa: BLE001 - estimates are advisory
-        return 1 << 62
-
-
-def rank_table_window(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Average ranks for bounded pools: every statistic from windows over one pool partitioning.
-
-    One shuffle by pool: the running count below each value, the pool's known
-    and null counts, the two order statistics that give the median, and from
-    them each value's (and the null group's) average rank.
+    ``counts`` has one row per distinct (keys, value), keys and values not
+    null. A group is spread over its buckets; one task holds the bucket totals
+    of a group (a few thousand numbers) or the distinct values of one bucket.
     """
     keys = list(keys)
-    v, cnt = F.col(_V), F.col(_CNT)
-    run = Window.partitionBy(*keys).orderBy(v.asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    pool = Window.partitionBy(*keys)
-    x = counts.withColumn("_below", F.coalesce(F.sum(F.when(v.isNotNull(), cnt)).over(run), F.lit(0)))
-    x = (x.withColumn("_nnull", F.sum(F.when(v.isNull(), cnt).otherwise(0)).over(pool))
-         .withColumn("_nknown", F.sum(F.when(v.isNotNull(), cnt).otherwise(0)).over(pool)))
-    pos = (F.col("_nknown") - 1) / 2.0
-    lo, hi = F.floor(pos), F.ceil(pos)
-    covers = lambda k: v.isNotNull() & (F.col("_below") <= k) & (k < F.col("_below") + cnt)
-    at = lambda k, c: F.max(F.when(covers(k), c)).over(pool)
-    x = (x.withColumn("_vlo", at(lo, v)).withColumn("_vhi", at(hi, v)).withColumn("_blo", at(lo, F.col("_below")))
-         .withColumn("_clo", at(lo, cnt)).withColumn("_chi", at(hi, cnt)))
-    med = F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * 0.5
-    x = x.withColumn("_med", med)
-    n_lt = F.col("_blo") + F.when(F.col("_med") > F.col("_vlo"), F.col("_clo")).otherwise(0)
-    n_eq = (F.when(F.col("_med") == F.col("_vlo"), F.col("_clo")).otherwise(0)
-            + F.when((F.col("_med") == F.col("_vhi")) & (F.col("_vhi") != F.col("_vlo")), F.col("_chi")).otherwise(0))
-    b = F.when(v.isNull(), n_lt).otherwise(
-        F.col("_below") + F.when(v > F.col("_med"), F.col("_nnull")).otherwise(0))
-    c = F.when(v.isNull(), n_eq + F.col("_nnull")).otherwise(
-        cnt + F.when(v == F.col("_med"), F.col("_nnull")).otherwise(0))
-    n = F.col("_nknown") + F.col("_nnull")
-    pct = F.when(F.col("_nknown") == 0, F.lit(0.5)).otherwise((b + (c + 1) / 2.0) / n)
-    return x.select(*keys, _V, pct.alias("pct"))
-
-
-def rank_table(df: DataFrame, features: Mapping[str, Column | str], by: Sequence[str] = (),
-               method: str = "auto") -> DataFrame:
+    rows = counts.withColumn("_bkt", value_bucket(value))
+    before = Window.partitionBy(*keys).orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (rows.groupBy(*keys, "_bkt").agg(F.sum(cnt).alias("_tot"))
+               .select(*keys, "_bkt", F.coalesce(F.sum("_tot").over(before), F.lit(0)).alias("_off")))
+    local = Window.partitionBy(*keys, "_bkt").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return (rows.withColumn("_loc", F.coalesce(F.sum(cnt).over(local), F.lit(0)))
+            .join(offsets, [*keys, "_bkt"])
+            .withColumn(out, F.col("_off") + F.col("_loc")).drop("_bkt", "_off", "_loc"))
+
+
+def rank_table(df: DataFrame, features: Mapping[str, Column | str], by: Sequence[str] = ()) -> DataFrame:
     """Long table ``(by..., _rk_feature, _rk_value, pct)`` of average percentile ranks.
 
     ``_rk_value`` is the raw value (null for missing rows, which rank at the
-    pool median); join it back null-safely. ``method``: "window", "range",
-    or "auto" (probe the largest pool's distinct-value count, then choose).
+    pool median); join it back null-safely.
     """
     by = list(by)
     keys = by + [_F]
@@ -139,17 +80,6 @@ def rank_table(df: DataFrame, features: Mapping[str, Column | str], by: Sequence
     long = df.select(*by, F.inline(cells))
     counts = long.groupBy(*keys, _V).agg(F.count(F.lit(1)).alias(_CNT))
 
-    if method == "auto":
-        # small inputs cannot hold a pool above the bound: decide from the plan
-        # estimate; otherwise probe the largest pool's distinct-value count
-        if _estimated_bytes(df) <= SMALL_INPUT_BYTES:
-            method = "window"
-        else:
-            largest = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).agg(F.max("_d")).first()[0] or 0
-            method = "window" if largest <= WINDOW_POOL_BOUND else "range"
-    if method == "window":
-        return rank_table_window(counts, keys)
-
     known = counts.filter(F.col(_V).isNotNull())
     cum = running_below(known, keys, _V, _CNT)
 
@@ -193,7 +123,7 @@ def rank_table(df: DataFrame, features: Mapping[str, Column | str], by: Sequence
 
 
 def rank_scores(df: DataFrame, specs: Mapping[str, tuple[Column | str, bool]],
-                by: Sequence[str] = (), method: str = "auto") -> DataFrame:
+                by: Sequence[str] = ()) -> DataFrame:
     """Add one score column per spec: ``{out: (value, higher_is_better)}``.
 
     All features are ranked in one pass (one distinct-count shuffle, one range
@@ -205,7 +135,7 @@ def rank_scores(df: DataFrame, specs: Mapping[str, tuple[Column | str, bool]],
     # The rank table holds one row per distinct (pool, feature, value); a
     # reliable checkpoint pins it (and its range bounds) and keeps the
     # per-feature join-back plans short.
-    table = cut_lineage(rank_table(work, {name: F.col(tmp[name]) for name in specs}, by, method))
+    table = cut_lineage(rank_table(work, {name: F.col(tmp[name]) for name in specs}, by))
     for i, (name, (_, higher)) in enumerate(specs.items()):
         vkey, nkey = f"_rkj_{i}", f"_rkn_{i}"
         part = table.filter(F.col(_F) == name).select(
@@ -217,27 +147,62 @@ def rank_scores(df: DataFrame, specs: Mapping[str, tuple[Column | str, bool]],
     return work.drop(*tmp.values())
 
 
-def rank_score_sql(value: str, by: Sequence[str], higher_is_better: bool = True) -> str:
-    """SQL for the same score over an already-filled value column ``value``.
+@dataclass(frozen=True)
+class Quantile:
+    """An exact interpolated quantile for ``grouped``: of ``value``, rounded to ``digits`` if given."""
+
+    value: Column | str
+    q: float = 0.5
+    digits: int | None = None
+    name: str = ""
+
+    def alias(self, name: str) -> "Quantile":
+        return replace(self, name=name)
 
-    ``value`` must already be ``coalesce(v, median(v) over pool)``; the caller
-    also guards the all-null pool (score 0.5).
-    """
-    part = f"PARTITION BY {', '.join(by)}" if by else ""
-    part_v = f"PARTITION BY {', '.join([*by, value])}"
-    expr = (f"((rank() OVER ({part} ORDER BY {value}) + (count(*) OVER ({part_v}) - 1) / 2.0)"
-            f" / count(*) OVER ({part}))")
-    return expr if higher_is_better else f"(1 - {expr})"
 
+def median_of(value: Column | str, digits: int | None = None) -> Quantile:
+    return Quantile(value, 0.5, digits)
 
-def median_fill_sql(value: str, by: Sequence[str]) -> str:
-    part = f"PARTITION BY {', '.join(by)}" if by else ""
-    return f"coalesce({value}, median({value}) OVER ({part}))"
 
+def _quantiles(df: DataFrame, quantiles: Sequence[Quantile], key: Column) -> DataFrame:
+    """One row per ``_g`` (``key``) with the quantile columns, without holding a group in one task.
 
-def dense_rank_in(df: DataFrame, by: Sequence[str], order: Sequence[Column], out: str = "rank") -> DataFrame:
-    """WN4: dense rank within each group."""
-    return df.withColumn(out, F.dense_rank().over(Window.partitionBy(*by).orderBy(*order)))
+    Distinct values are counted (a hot value is one row), buckets of them
+    carry running counts, and the rows that cover the wanted order statistics
+    are read off.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias(_F), col_of(x.value).cast("double").alias(_V)) for i, x in enumerate(quantiles)])
+    counts = (df.select(key.alias("_g"), F.inline(cells)).filter(F.col(_V).isNotNull())
+              .groupBy("_g", _F, _V).agg(F.count(F.lit(1)).alias(_CNT)))
+    total = counts.groupBy("_g", _F).agg(F.sum(_CNT).alias("_n"))
+    share = F.element_at(F.array(*[F.lit(float(x.q)) for x in quantiles]), F.col(_F) + 1)
+    covers = lambda k: (F.col("_below") <= k) & (k < F.col("_below") + F.col(_CNT))
+    at = lambda k: F.max(F.when(covers(k), F.col(_V)))
+    found = (running_below(counts, ["_g", _F], _V, _CNT).join(total, ["_g", _F])
+             .withColumn("_pos", (F.col("_n") - 1) * share).groupBy("_g", _F)
+             .agg(at(F.floor("_pos")).alias("_lo"), at(F.ceil("_pos")).alias("_hi"), F.max(F.col("_pos") - F.floor("_pos")).alias("_w")))
+    value = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_w")
+    columns = []
+    for i, x in enumerate(quantiles):
+        got = F.max(F.when(F.col(_F) == i, value))
+        columns.append((got if x.digits is None else pround(got, x.digits)).alias(x.name))
+    return found.groupBy("_g").agg(*columns)
+
+
+def grouped(df: DataFrame, by: Sequence[str], *aggs: Column | Quantile) -> DataFrame:
+    """``df.groupBy(by).agg(aggs)`` where some of ``aggs`` are exact quantiles.
+
+    Columns come in the order given. A group without values has a null
+    quantile; null keys are groups; without ``by`` there is one row.
+    """
+    by = list(by)
+    quantiles = [x for x in aggs if isinstance(x, Quantile)]
+    plain = [x for x in aggs if not isinstance(x, Quantile)]
+    base = df.groupBy(*by).agg(*(plain or [F.count(F.lit(1)).alias("_rows")]))
+    names = iter([c for c in base.columns if c not in by and c != "_rows"])
+    order = [x.name if isinstance(x, Quantile) else next(names) for x in aggs]
+    key = F.to_json(F.struct(*by), {"ignoreNullFields": "false"}) if by else F.lit("")
+    return base.withColumn("_g", key).join(_quantiles(df, quantiles, key), "_g", "left").select(*by, *order)
 
 
 def top_n_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import pround
 from .filters import filter_listings, luxury_amenity_count, request_predicate
-from .ranking import rank_scores
+from .ranking import grouped, median_of, Quantile, rank_scores
 
 # Columns shown for a recommendation, in display order.
 DISPLAY_COLUMNS = [
@@ -151,7 +151,7 @@ def style_scores(scored: DataFrame, style: str, limit: int, by: Sequence[str]) -
     names = _score_names()
     if style == "budget":
         # Narrow to price <= q65 when the pool is large enough; scores stay from the full pool.
-        stats = scored.groupBy(*by).agg(F.percentile("price_eur", 0.65).alias("_cut"),
+        stats = grouped(scored, [*by], Quantile("price_eur", 0.65).alias("_cut"),
                                         F.count("price_eur").alias("_nprice"))
         stats = stats.withColumn("_cut", F.when(F.col("_nprice") >= max(limit, 8), F.col("_cut")))
         joined = _attach(scored, stats, by)
@@ -246,14 +246,13 @@ def neighbourhood_value(df: DataFrame, by: Sequence[str] = ("city",), area: str
                         min_rows: int = 25) -> DataFrame:
     """RC8: area stats (>= min_rows listings, 2-dp) and an area value score ranked on the rounded stats."""
     by = list(by)
-    g = df.groupBy(*by, area).agg(
-        F.count(F.lit(1)).alias("listings"),
-        pround(F.median("price_eur"), 2).alias("median_price_eur"),
+    g = grouped(df, [*by, area], F.count(F.lit(1)).alias("listings"),
+        median_of("price_eur", 2).alias("median_price_eur"),
         pround(F.avg("price_eur"), 2).alias("mean_price_eur"),
         pround(F.avg("review_scores_rating"), 2).alias("mean_rating"),
         pround(F.avg("review_scores_value"), 2).alias("mean_value_rating"),
-        pround(F.median("distance_to_center_km"), 2).alias("median_distance_km"),
-        pround(F.median("availability_30"), 2).alias("median_availability_30"),
+        median_of("distance_to_center_km", 2).alias("median_distance_km"),
+        median_of("availability_30", 2).alias("median_availability_30"),
     ).filter(F.col("listings") >= min_rows)
     specs = {"_n_price": ("median_price_eur", False), "_n_rating": ("mean_rating", True),
              "_n_value_rating": ("mean_value_rating", True), "_n_location": ("median_distance_km", False)}
@@ -292,20 +291,18 @@ def style_requests(base: DataFrame, style: str) -> DataFrame:
                         F.greatest(F.coalesce(F.col("min_available_days_30").cast("int"), F.lit(0)), F.lit(1))))
 
 
-def _pairs(listings: DataFrame, requests: DataFrame, max_requests: int) -> DataFrame:
-    from .util import broadcast_if_small
-    req = broadcast_if_small(requests, max_requests).alias("r")
-    return listings.alias("l").join(req, F.col("l.city") == F.col("r.city"))
+def _pairs(listings: DataFrame, requests: DataFrame) -> DataFrame:
+    return listings.alias("l").join(requests.alias("r"), F.col("l.city") == F.col("r.city"))
 
 
 def _floor_table(pool: DataFrame, value: str, q: float, min_n: int, out: str) -> DataFrame:
     """Per request: exact quantile ``q`` of ``value`` when >= ``min_n`` non-null values (else null)."""
-    g = pool.groupBy("request_id").agg(F.percentile(value, q).alias("_q"), F.count(value).alias("_n"))
+    g = grouped(pool, ["request_id"], Quantile(value, q).alias("_q"), F.count(value).alias("_n"))
     return g.select("request_id", F.when(F.col("_n") >= min_n, F.col("_q")).alias(out))
 
 
 def styled_recommendations(listings: DataFrame, base_requests: DataFrame, limit: int = 10,
-                           min_candidates: int = 30, max_requests: int = 100_000) -> DataFrame:
+                           min_candidates: int = 30) -> DataFrame:
     """RC7 + RC9 + FI4 + FI5 + FI10 for a whole table of requests in one plan per style.
 
     Per request: amenity floor (FI5, quantile of the candidates' amenity counts,
@@ -321,7 +318,7 @@ def styled_recommendations(listings: DataFrame, base_requests: DataFrame, limit:
     pools = []
     for style, cfg in STYLE_CONFIG.items():
         reqs = style_requests(base_requests, style)
-        pairs = _pairs(listings, reqs, max_requests)
+        pairs = _pairs(listings, reqs)
         base_pred = _request_predicate_without(lcols, [])
         relax_pred = _request_predicate_without(lcols, ["min_reviews", "min_luxury_amenities"])
         flat = pairs.filter(relax_pred).select(
@@ -429,8 +426,8 @@ def seasonal_recommendations(pool: DataFrame, season_cols: dict, by: Sequence[st
     long = scored.select("*", F.inline(F.array(*[F.struct(F.lit(s).alias("season"),
                                                           F.col(c).cast("double").alias("season_unavailable"))
                                                for s, c in season_cols.items()])))
-    known = long.groupBy(*by, "season").agg(F.count("season_unavailable").alias("_nk"),
-                                           F.median("season_unavailable").alias("_med"))
+    known = grouped(long, [*by, "season"], F.count("season_unavailable").alias("_nk"),
+                                           median_of("season_unavailable").alias("_med"))
     long = long.join(known.filter(F.col("_nk") > 0), [*by, "season"])
     ranked = rank_scores(long, {"_fit": ("season_unavailable", False)}, [*by, "season"])
     ranked = (ranked.withColumn("season_fit_score", pround(F.col("_fit") * 100, 1))
@@ -459,9 +456,8 @@ def travel_windows(pool: DataFrame, season_cols: dict, by: Sequence[str] = ("cit
     n_likely = long.groupBy(*by, "travel_window").agg(F.sum(likely.cast("int")).alias("_nl"))
     j = long.join(n_likely, [*by, "travel_window"])
     keep = (F.col("_nl") < min_likely) | likely
-    g = j.filter(keep).groupBy(*by, "travel_window").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("price_eur").alias("mean_price"),
-        F.median("price_eur").alias("median_price"), F.avg("_u").alias("mean_unavailable"),
+    g = grouped(j.filter(keep), [*by, "travel_window"], F.count(F.lit(1)).alias("count"), F.avg("price_eur").alias("mean_price"),
+        median_of("price_eur").alias("median_price"), F.avg("_u").alias("mean_unavailable"),
         F.count("price_eur").alias("_np"))
     return g.filter(F.col("_np") > 0).drop("_np")
 
@@ -494,10 +490,9 @@ def shortlist_vs_market(recs: DataFrame, market: DataFrame, by: Sequence[str] =
     """RC13: median price and mean value score of the first ``shown`` recommendations
     vs the market median price."""
     by = list(by)
-    s = recs.filter(F.col("rank") <= shown).groupBy(*by).agg(
-        F.count(F.lit(1)).alias("shown"), F.median("price_eur").alias("shortlist_median_price_eur"),
+    s = grouped(recs.filter(F.col("rank") <= shown), [*by], F.count(F.lit(1)).alias("shown"), median_of("price_eur").alias("shortlist_median_price_eur"),
         F.avg("value_score").alias("avg_value_score"))
-    m = market.groupBy(*by).agg(F.median("price_eur").alias("market_median_price_eur"))
+    m = grouped(market, [*by], median_of("price_eur").alias("market_median_price_eur"))
     return s.join(m, by, "left")
 
 
@@ -513,7 +508,7 @@ def stay_totals(df: DataFrame, nights: int | str, price: str = "price_eur",
 
 def default_filters(listings: DataFrame) -> DataFrame:
     """RC16: data-driven defaults: price cap = int(clamp(q95, 50, 500)); budget = min(150, max(cap, 100))."""
-    q = listings.agg(F.percentile("price_eur", 0.95).alias("_q95"))
+    q = grouped(listings, [], Quantile("price_eur", 0.95).alias("_q95"))
     cap = F.floor(F.greatest(F.lit(50.0), F.least(F.lit(500.0), F.col("_q95")))).cast("int")
     return q.select(cap.alias("price_max"),
                     F.least(F.lit(150), F.greatest(cap, F.lit(100))).alias("budget_max"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import calendar as cl
 from ..operators import clean as cn
 from ..operators.filters import iqr_filter, with_group_count
+from ..operators.ranking import grouped, median_of
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
 from .registry import register
@@ -289,11 +290,10 @@ def build_audit(spark, sf_dir):
     from ..functions.numeric import pround
     cal = fx.calendar(spark, sf_dir).groupBy("listing_id").agg(F.count(F.lit(1)).alias("cal_days"))
     m = fx.listings(spark, sf_dir).join(cal, "listing_id", "left")
-    return m.groupBy("city").agg(
-        F.count(F.lit(1)).alias("final_rows"), F.countDistinct("listing_id").alias("listing_ids"),
+    return grouped(m, ["city"], F.count(F.lit(1)).alias("final_rows"), F.countDistinct("listing_id").alias("listing_ids"),
         F.sum(F.col("cal_days").isNull().cast("int")).alias("rows_missing_calendar_features"),
         pround(F.sum(F.col("cal_days").isNotNull().cast("int")) * 100.0 / F.count(F.lit(1)), 4).alias("calendar_match_pct"),
-        pround(F.median("price_eur"), 4).alias("price_median_eur"), pround(F.avg("price_eur"), 4).alias("price_mean_eur"))
+        median_of("price_eur", 4).alias("price_median_eur"), pround(F.avg("price_eur"), 4).alias("price_mean_eur"))
 
 
 @register("pr36_slugify", """SELECT p_partkey, CASE WHEN coalesce(regexp_replace(regexp_replace(lower(trim(p_type)), '[^a-z0-9]+', '_', 'g'),

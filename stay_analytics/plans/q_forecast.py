@@ -15,6 +15,7 @@ from ..operators import forecast as fc
 from ..sources import fixtures as fx
 from .registry import register
 from .sqlkit import pround_sql, with_views
+from ..operators.ranking import grouped, median_of
 
 AS_OF = "2024-07-20"
 _SEASONS = ["winter", "spring", "summer", "autumn"]
@@ -27,14 +28,15 @@ def _master(spark, sf_dir):
     calr = cl.calendar_rollup(fx.calendar(spark, sf_dir)).select(
         F.col("listing_id").alias("_sk"), *[F.col(f"calendar_unavailable_{s}") for s in _SEASONS])
     l = fx.listings(spark, sf_dir)
-    return l.join(calr, (l.listing_id % 10 + 1) == calr._sk, "left").drop("_sk")
+    l = l.join(fx.listing_calendar(spark, sf_dir), "listing_id", "left")
+    return l.join(calr, F.col("calendar_id") == calr._sk, "left").drop("_sk", "calendar_id")
 
 
 def _predictions(spark, sf_dir):
     l = fx.listings(spark, sf_dir)
     ok = l.groupBy("city", "property_group").agg(F.count(F.lit(1)).alias("n")).filter("n >= 600").drop("n")
-    segm = l.groupBy("city", "property_group", "room_type").agg(F.median("price_eur").alias("predicted_price_eur"))
-    citym = l.groupBy("city", "room_type").agg(F.median("price_eur").alias("predicted_price_eur"))
+    segm = grouped(l, ["city", "property_group", "room_type"], median_of("price_eur").alias("predicted_price_eur"))
+    citym = grouped(l, ["city", "room_type"], median_of("price_eur").alias("predicted_price_eur"))
     seg = l.join(ok, ["city", "property_group"]).join(segm, ["city", "property_group", "room_type"])
     seg = fc.scored_predictions(seg, "property_group", "property_group", "Segment median (property group + room)")
     city = l.join(citym, ["city", "room_type"])
@@ -57,8 +59,8 @@ def _cache_sql() -> str:
     band = ("CASE WHEN p IS NULL OR isnan(p) THEN 'Unknown' ELSE printf('EUR %d-%d', CAST(floor(p / 25) * 25 AS BIGINT), "
             "CAST(floor(p / 25) * 25 AS BIGINT) + 25) END")
     ctx = ", ".join(f"l.{c}" for c in CONTEXT if c != "price_eur")
-    return with_views("listings", "calendar")[:-1] + f""", calr AS (SELECT listing_id AS sk, {rates} FROM calendar GROUP BY listing_id),
-ms AS (SELECT l.*, {', '.join(f'c.calendar_unavailable_{s}' for s in _SEASONS)} FROM listings l LEFT JOIN calr c ON l.listing_id % 10 + 1 = c.sk),
+    return with_views("listings", "calendar", "listing_calendar")[:-1] + f""", calr AS (SELECT listing_id AS sk, {rates} FROM calendar GROUP BY listing_id),
+ms AS (SELECT l.*, {', '.join(f'c.calendar_unavailable_{s}' for s in _SEASONS)} FROM listings l LEFT JOIN listing_calendar lc ON lc.listing_id = l.listing_id LEFT JOIN calr c ON c.sk = lc.calendar_id),
 ok AS (SELECT city, property_group FROM listings GROUP BY ALL HAVING count(*) >= 600),
 segm AS (SELECT city, property_group, room_type, median(price_eur) AS p FROM listings GROUP BY ALL),
 citym AS (SELECT city, room_type, median(price_eur) AS p FROM listings GROUP BY ALL),
@@ -244,7 +246,7 @@ FROM s LEFT JOIN d ON s.city = d.city""")
 def scenarios(spark, sf_dir):
     """PR38: host-side scenario features for every (city, guests) combination in the data."""
     l = fx.listings(spark, sf_dir)
-    d = l.groupBy("city").agg(F.median("review_scores_value").alias("default_review_scores_value"))
+    d = grouped(l, ["city"], median_of("review_scores_value").alias("default_review_scores_value"))
     s = (l.filter(F.col("accommodates").isNotNull()).select("city", "accommodates").distinct()
          .withColumn("bathrooms", F.lit(2.0)).withColumn("distance_to_center_km", F.lit(3.0))
          .withColumn("min_rating", F.lit(4.5)).withColumn("min_available_days_30", F.col("accommodates") * 2)
@@ -273,9 +275,9 @@ def scenario_scoring(spark, sf_dir):
     l = fx.listings(spark, sf_dir).filter(F.col("price_eur") > 0)
     model = ml.fit_price_model(l, "gbt", maxIter=10, maxDepth=4)
     num = [c for c in ml.NUMERIC_FEATURES if c in l.columns]
-    defaults = l.groupBy("city").agg(*[F.median(c).alias(c) for c in num],
+    defaults = grouped(l, ["city"], *[median_of(c).alias(c) for c in num],
                                      *[F.mode(c).alias(c) for c in ml.CATEGORICAL_FEATURES])
     rows = l.select("city").distinct().select("city", F.lit(4).alias("accommodates"),
-                                              F.lit("1-URGENT").alias("room_type"))
+                                              F.lit("Entire home/apt").alias("room_type"))
     full = fc.apply_defaults(rows, defaults, num + ml.CATEGORICAL_FEATURES)
     return ml.predict_prices(model, full).select("city", "accommodates", "room_type", "predicted_price_eur")

@@ -277,12 +277,13 @@ SEASON_COLS = {s.title(): f"calendar_unavailable_{s}" for s in _SEASONS}
 
 
 def _listings_with_seasons(spark, sf_dir):
-    """Listings with seasonal unavailable rates of calendar listing (listing_id % 10) + 1."""
+    """Listings with the seasonal unavailable rates of their own calendar listing."""
     from ..operators import calendar as cl
     calr = cl.calendar_rollup(fx.calendar(spark, sf_dir)).select(
         F.col("listing_id").alias("_sk"), *[F.col(c) for c in SEASON_COLS.values()])
     l = fx.listings(spark, sf_dir)
-    return l.join(calr, (l.listing_id % 10 + 1) == calr._sk, "left").drop("_sk")
+    l = l.join(fx.listing_calendar(spark, sf_dir), "listing_id", "left")
+    return l.join(calr, F.col("calendar_id") == calr._sk, "left").drop("_sk", "calendar_id")
 
 
 def _seasons_sql() -> str:
@@ -291,9 +292,9 @@ def _seasons_sql() -> str:
     rates = ", ".join(f"sum(CASE WHEN {season_sql('date')} = '{s}' THEN {un} END) / "
                       f"count(CASE WHEN {season_sql('date')} = '{s}' THEN 1 END) AS calendar_unavailable_{s}"
                       for s in _SEASONS)
-    return (with_views("listings", "calendar")[:-1] + f""", calr AS (SELECT listing_id AS sk, {rates} FROM calendar GROUP BY listing_id),
+    return (with_views("listings", "calendar", "listing_calendar")[:-1] + f""", calr AS (SELECT listing_id AS sk, {rates} FROM calendar GROUP BY listing_id),
 ls AS (SELECT l.*, {', '.join(f'c.calendar_unavailable_{s}' for s in _SEASONS)}
-  FROM listings l LEFT JOIN calr c ON l.listing_id % 10 + 1 = c.sk)
+  FROM listings l LEFT JOIN listing_calendar lc ON lc.listing_id = l.listing_id LEFT JOIN calr c ON c.sk = lc.calendar_id)
 """)
 
 

@@ -46,7 +46,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the checkpoint folder, setting a scratch one only when unset.
 
     A cluster names a shared folder in ``spark.checkpoint.dir``; we never
-    override it. Only a local session without one gets a fresh temp folder.
+    override it. Only a local session without one gets a fresh temp folder; a
+    cluster without one is an error, as executors could not read each
+    other's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
@@ -54,6 +56,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="stay-ckpt-")
     sc.setCheckpointDir(path)
     return path

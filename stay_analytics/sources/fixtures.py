@@ -2,8 +2,8 @@
 
 Each view is built with the DataFrame API (``listings(spark, sf_dir)`` ...).
 ``FIXTURE_SQL`` holds the same views as SQL text so the DuckDB oracle can
-rebuild them; the two forms are checked against each other by the registered
-``fixture_*`` queries.
+rebuild them; the registered queries that read a view check the two forms
+against each other.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from .tables import read_table
 FIXTURE_SQL = {
     "listings": """
 select o.o_orderkey as listing_id, r.r_name as city, n.n_name as neighbourhood_cleansed,
-  o.o_totalprice/1000 as price_eur, o.o_orderpriority as room_type, c.c_mktsegment as property_group,
+  o.o_totalprice/1000 as price_eur, case o.o_orderpriority when '1-URGENT' then 'Entire home/apt' when '2-HIGH' then 'Private room'
+    when '3-MEDIUM' then 'Entire home/apt' when '4-NOT SPECIFIED' then 'Shared room' else 'Hotel room' end as room_type, c.c_mktsegment as property_group,
   abs(c.c_acctbal)/1000 as distance_to_center_km,
   cast(o.o_orderkey % 31 as int) as availability_30, cast(o.o_orderkey % 366 as int) as availability_365,
   cast(o.o_custkey % 45 as int)+1 as minimum_nights,
@@ -31,6 +32,9 @@ left join (select l_orderkey, cast(count(*) as int) n, cast(max(l_linenumber) as
     max(case when l_returnflag='A' then 1 else 0 end) fa, max(case when l_returnflag='N' then 1 else 0 end) fn,
     max(case when l_returnflag='R' then 1 else 0 end) fr
   from lineitem group by l_orderkey) l on l.l_orderkey=o.o_orderkey
+""",
+    "listing_calendar": """
+select l_orderkey as listing_id, min(l_suppkey) as calendar_id from lineitem group by l_orderkey
 """,
     "calendar": """
 select l_suppkey as listing_id, cast(l_shipdate as date) as date,
@@ -68,6 +72,9 @@ from conversations where role='user'
 """,
 }
 
+# The room type of each order priority in the listings view; other priorities are hotel rooms.
+ROOM_TYPES = {"1-URGENT": "Entire home/apt", "2-HIGH": "Private room", "3-MEDIUM": "Entire home/apt", "4-NOT SPECIFIED": "Shared room"}
+
 # Phrases appended to user turns in the prompts view, by (conv_id*7+turn) % 8.
 PROMPT_PHRASES = [
     " 3 nights in ASIA under EUR 450",
@@ -116,7 +123,8 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r_name").alias("city"),
         F.col("n_name").alias("neighbourhood_cleansed"),
         (F.col("o_totalprice") / 1000).alias("price_eur"),
-        F.col("o_orderpriority").alias("room_type"),
+        F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ROOM_TYPES.items() for x in kv]), F.col("o_orderpriority")),
+                   F.lit("Hotel room")).alias("room_type"),
         F.col("c_mktsegment").alias("property_group"),
         (F.abs("c_acctbal") / 1000).alias("distance_to_center_km"),
         (F.col("o_orderkey") % 31).cast("int").alias("availability_30"),
@@ -133,6 +141,12 @@ def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def listing_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calendar listing of each listing: the smallest supplier of its order."""
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.groupBy(F.col("l_orderkey").alias("listing_id")).agg(F.min("l_suppkey").alias("calendar_id"))
+
+
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier-days; duplicate days are present on purpose."""
     li = read_table(spark, sf_dir, "lineitem")
@@ -194,6 +208,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 VIEWS = {
     "listings": listings,
+    "listing_calendar": listing_calendar,
     "calendar": calendar,
     "raw_listings": raw_listings,
     "activity": activity,
