@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.numeric import clip_upper, pround
 from ..functions.parse import (KEY_AMENITIES, amenity_flags, bathroom_type, classify_property_type, haversine_km,
                                parse_amenities, parse_bathrooms, parse_boolean, parse_price, parse_rate)
-from .filters import iqr_bounds
+from .filters import attach_group_values, iqr_bounds
+from .ranking import Quantile, grouped
 
 BOOLEAN_COLUMNS = ["host_is_superhost", "host_has_profile_pic", "host_identity_verified", "has_availability",
                    "instant_bookable"]
@@ -112,6 +113,24 @@ def price_filter_audit(df: DataFrame, price: str = "price_eur", by: Sequence[str
     )
 
 
+def clip_upper_quantile(df: DataFrame, columns: Sequence[str], q: float = 0.99, by: Sequence[str] = ()) -> DataFrame:
+    """PR13: values above their group's exact quantile ``q`` become that quantile; nulls stay null."""
+    caps = grouped(df, by, *[Quantile(c, q).alias(f"_cap_{c}") for c in columns])
+    out = attach_group_values(df, caps, by)
+    for c in columns:
+        out = out.withColumn(c, F.when(F.col(c) > F.col(f"_cap_{c}"), F.col(f"_cap_{c}")).otherwise(F.col(c).cast("double")))
+    return out.drop(*[f"_cap_{c}" for c in columns])
+
+
+def day_differences(df: DataFrame, as_of, host_since: str, first_review: str, last_review: str) -> DataFrame:
+    """PR14: host tenure, days since the last review and length of the review history, in days; null where a date is missing."""
+    ref = F.lit(as_of).cast("date")
+    day = lambda c: F.to_date(F.col(c))
+    return (df.withColumn("host_tenure_days", F.datediff(ref, day(host_since)))
+            .withColumn("days_since_last_review", F.datediff(ref, day(last_review)))
+            .withColumn("review_history_days", F.datediff(day(last_review), day(first_review))))
+
+
 def review_features(reviews: DataFrame, as_of, key: Sequence[str] = ("listing_id",), date: str = "date",
                     recent_months: int = 6) -> DataFrame:
     """AG9: per listing total reviews, days since last, listing age, reviews in the last N months.

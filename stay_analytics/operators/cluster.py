@@ -61,6 +61,12 @@ def profile_segments(df: DataFrame, cluster: str, by: Sequence[str] = ("city",),
     return g.withColumn("segment", seg).drop("_mp", "_o")
 
 
+def with_segment_labels(df: DataFrame, profile: DataFrame, cluster: str, by: Sequence[str] = ("city",),
+                        label: str = "segment") -> DataFrame:
+    """JN15: rows with the label that ``profile`` (one row per group and cluster) gives to their cluster; null if it has none."""
+    return df.join(profile.select(*by, cluster, label), [*by, cluster], "left")
+
+
 def centroids(df: DataFrame, vec: str, label: str) -> DataFrame:
     """Per-label mean vector (array<double>), computed element-wise with posexplode."""
     long = df.select(label, F.posexplode(F.col(vec).cast("array<double>")).alias("pos", "v"))

@@ -69,6 +69,13 @@ def neighbourhood_table(df: DataFrame, by: Sequence[str] = ("city",), area: str
     return g.filter(F.col("listing_count") >= min_rows)
 
 
+def area_dimension(dimension: DataFrame, stats: DataFrame, by: Sequence[str] = ("city",),
+                   area: str = "neighbourhood_cleansed") -> DataFrame:
+    """JN13: every area of the boundary dimension with its statistics; areas without enough listings keep nulls."""
+    keys = [*by, area]
+    return dimension.dropDuplicates(keys).join(stats, keys, "left")
+
+
 def lowest_median_areas(df: DataFrame, by: Sequence[str] = ("city",), area: str = "neighbourhood_cleansed",
                         min_rows: int = 20, n: int = 12) -> DataFrame:
     """AG16: the ``n`` areas with the lowest median price among areas with >= ``min_rows`` listings."""
