@@ -313,17 +313,25 @@ def styled_recommendations(listings: DataFrame, base_requests: DataFrame, limit:
     chosen per request by an aggregate). The chosen pool is ranked with
     ``request_id`` as the pool and sorted by the style's rules.
     """
+    from ..session import cut_lineage
     from .filters import first_nonempty_level
     lcols = listings.columns
-    pools = []
-    for style, cfg in STYLE_CONFIG.items():
-        reqs = style_requests(base_requests, style)
-        pairs = _pairs(listings, reqs)
+    flats = []
+    for style in STYLE_CONFIG:
+        pairs = _pairs(listings, style_requests(base_requests, style))
         base_pred = _request_predicate_without(lcols, [])
         relax_pred = _request_predicate_without(lcols, ["min_reviews", "min_luxury_amenities"])
-        flat = pairs.filter(relax_pred).select(
+        flats.append(pairs.filter(relax_pred).select(
             F.col("r.request_id").alias("request_id"), F.col("r.style").alias("style"),
-            base_pred.alias("_base_ok"), *[F.col(f"l.{c}") for c in lcols])
+            base_pred.alias("_base_ok"), *[F.col(f"l.{c}") for c in lcols]))
+    flat_all = flats[0]
+    for f in flats[1:]:
+        flat_all = flat_all.unionByName(f)
+    # the candidates feed two floors, two levels and the ranking: they are joined once
+    flat_all = cut_lineage(flat_all)
+    pools = []
+    for style, cfg in STYLE_CONFIG.items():
+        flat = flat_all.filter(F.col("style") == style)
         cand = flat.filter("_base_ok")
         if cfg.get("amenity_floor_quantile") is not None:
             amen = _floor_table(cand, "amenities_count", cfg["amenity_floor_quantile"], min_candidates, "_qa")
@@ -347,7 +355,6 @@ def styled_recommendations(listings: DataFrame, base_requests: DataFrame, limit:
         pool = pool.unionByName(p)
     # the request pools feed several branches (ranks, narrowing, re-ranking):
     # materialise them once in the checkpoint folder instead of recomputing
-    from ..session import cut_lineage
     pool = cut_lineage(pool)
     # one ranking pass for every request of every style (pool = request_id)
     scored = add_value_score(pool, ["request_id"], keep_ranks=True)
