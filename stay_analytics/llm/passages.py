@@ -120,11 +120,12 @@ def remove_repeated_passages(docs: DataFrame, window: int = WINDOW_WORDS) -> Dat
     known = with_copies(plain, keyed(plain))
     texts = known.where(~F.col("copy"))
     segments = repeated_segments(texts, lambda data, hashed: text_windows(data, window, hashed))
-    least = segments.groupBy("g").agg(F.min("key").alias("lo"), F.min("a").alias("a"))
-    copies = segments.join(least.select("g", "lo"), "g").where("key > lo").select("key", "t", "start", "n")
+    # One value for all uses (a is the same within a content), so that the segments are made and shuffled once for them.
+    least = segments.groupBy("g").agg(F.min(F.struct(F.col("key").alias("lo"), "a")).alias("least"))
+    copies = segments.join(least, "g").where("key > least.lo").select("key", "t", "start", "n")
     # A content's smallest holder may still have windows of other contents of the same anchor, in smaller documents.
-    several = least.groupBy("a").agg(F.count("*").alias("c")).where("c > 1").select("a")
-    open_ = least.join(several, "a").select("g", "lo")
+    several = least.groupBy(F.col("least.a").alias("a")).agg(F.count("*").alias("c")).where("c > 1").select("a")
+    open_ = least.select("g", "least.*").join(several, "a").select("g", "lo")
     asked = segments.select("g", "key", "t", "start", "n").join(open_, "g").where("key = lo").groupBy("key").agg(
         F.collect_list(F.struct("t", "start", "n")).alias("segments"))
     counted = texts.join(asked, "key").select(*TEXT_COLUMNS, "segments").mapInArrow(listed_windows(window), "h bigint, key bigint, t bigint, start bigint")

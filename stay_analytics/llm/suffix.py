@@ -276,10 +276,11 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW_BYTES) -> DataFr
     known = with_copies(docs, keyed(docs))
     texts = known.where(~F.col("copy"))
     segments = repeated_segments(texts, lambda data, hashed: byte_windows(data, window, hashed))
-    first = segments.groupBy("g").agg(F.min(F.struct("key", "t", "start")).alias("first"), F.min("a").alias("a"), F.min("n").alias("n"))
-    copies = segments.drop("a").join(first.select("g", "first"), "g").where(F.struct("key", "t", "start") != F.col("first")).select("key", "t", "start", "n")
-    kinds = first.groupBy("a").agg(F.count("*").alias("c")).where("c > 1")
-    open_ = first.join(kinds, "a").select("first.*", "a", "n", (F.col("c") > SEGMENTS_PER_ANCHOR).alias("hot"))
+    # One value for all uses (a and n are the same within a content), so that the segments are made and shuffled once for them.
+    first = segments.groupBy("g").agg(F.min(F.struct("key", "t", "start", "a", "n")).alias("first"))
+    copies = segments.join(first, "g").where(F.struct("key", "t", "start") != F.struct("first.key", "first.t", "first.start")).select("key", "t", "start", "n")
+    kinds = first.groupBy(F.col("first.a").alias("a")).agg(F.count("*").alias("c")).where("c > 1")
+    open_ = first.select("first.*").join(kinds, "a").select("key", "t", "start", "a", "n", (F.col("c") > SEGMENTS_PER_ANCHOR).alias("hot"))
     asked = open_.groupBy("key").agg(F.collect_list(F.struct("t", "a", "start", "n", "hot")).alias("segments"))
     parts = texts.join(asked, "key").select(*TEXT_COLUMNS, "segments").mapInArrow(
         sliced(window), "a bigint, hot boolean, key bigint, t bigint, start bigint, bytes binary")
