@@ -34,7 +34,7 @@ GRAM_BYTES = 24
 #: Bytes that one suffix array holds, about; an anchor's segments are never parted.
 BLOCK_BYTES = 1 << 18
 #: Distinct segments of one anchor that go to one suffix array at most.
-SEGMENTS_PER_ANCHOR = 2048
+SEGMENTS_PER_ANCHOR = 16384
 #: Longer texts are read in overlapping parts of so many bytes.
 PART_BYTES = 4 << 20
 
@@ -44,9 +44,10 @@ PART_BYTES = 4 << 20
 def packed(symbols: np.ndarray) -> np.ndarray:
     """Seven 9-bit symbols from each place on, as one number; zeros follow the end."""
     out = np.zeros(len(symbols), dtype=np.uint64)
-    padded = np.concatenate((symbols, np.zeros(7, dtype=symbols.dtype))).astype(np.uint64)
+    padded = np.concatenate((symbols, np.zeros(7, dtype=symbols.dtype)))
     for k in range(7):
-        out = (out << np.uint64(9)) | padded[k:k + len(symbols)]
+        out <<= np.uint64(9)
+        out |= padded[k:k + len(symbols)].astype(np.uint64)
     return out
 
 
@@ -128,29 +129,30 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, most: int) -> np.nda
     n = len(symbols)
     words = packed(symbols)
     out = np.zeros(len(order), dtype=np.int64)
-    live = np.arange(1, len(order))
-    for done in range(0, most, 7):
-        a, b = order[live] + done, order[live - 1] + done
-        inside = (a < n) & (b < n)
-        x = words[np.minimum(a, n - 1)] ^ words[np.minimum(b, n - 1)]
-        same = np.zeros(len(live), dtype=np.int64)
-        for k in range(7):  # symbols equal from the front
-            same += (x >> np.uint64(9 * (6 - k))) == 0
-        out[live] += np.where(inside, same, 0)
-        live = live[inside & (same == 7)]
-        if not len(live):
-            break
+    for i in range(1, len(order), 1 << 17):  # in slices, for memory
+        live = np.arange(i, min(i + (1 << 17), len(order)))
+        for done in range(0, most, 7):
+            a, b = order[live] + done, order[live - 1] + done
+            inside = (a < n) & (b < n)
+            x = words[np.minimum(a, n - 1)] ^ words[np.minimum(b, n - 1)]
+            same = np.zeros(len(live), dtype=np.int64)
+            for k in range(7):  # symbols equal from the front
+                same += (x >> np.uint64(9 * (6 - k))) == 0
+            out[live] += np.where(inside, same, 0)
+            live = live[inside & (same == 7)]
+            if not len(live):
+                break
     return np.minimum(out, most)
 
 
 def later_starts(segments: list[bytes], window: int = WINDOW_BYTES) -> list[np.ndarray]:
     """For segments in corpus order: the places in each where a string of ``window`` bytes starts that also starts earlier."""
     data, starts = splits_of(segments)
-    symbols = np.zeros(len(data) + len(segments), dtype=np.int64)
+    symbols = np.zeros(len(data) + len(segments), dtype=np.int16)
     at = starts + np.arange(len(starts))  # a zero after each segment
     real = np.ones(len(symbols), dtype=bool)
     real[at[1:] - 1] = False
-    symbols[real] = data.astype(np.int64) + 1
+    symbols[real] = data.astype(np.int16) + 1
     order = suffix_array(symbols, window)
     fresh = common_prefixes(symbols, order, window) < window
     # A class of equal strings holds no end of a segment within its window, or none of it counts.
