@@ -31,7 +31,7 @@ END_ID = 1
 #: So many windows stay open at most; beyond it they are joined and cut anew.
 OPEN_WINDOWS = 2048
 #: Distinct chunks of text whose ids a Python worker keeps at most.
-CACHED_CHUNKS = 500_000
+CACHED_CHUNKS = 200_000
 #: Sequence numbers of one partition start here times its number.
 SEQUENCES_PER_PARTITION = 1 << 40
 
@@ -191,6 +191,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
                 if len(packer.done) >= 4096:
                     yield out()
         packer.consolidate(last=True)
+        chunks.clear()  # workers live on and share an executor's memory
         if packer.done:
             yield out()
 

@@ -22,7 +22,7 @@ from .common import text_bytes
 # Fixed values of unigram tokenizers: the mark before a word, and by how much an unknown character scores below the worst piece.
 WORD_MARK, UNKNOWN_PENALTY = "▁", 10.0
 #: Distinct words whose counts a Python worker keeps at most.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 300_000
 
 
 def unigram_vocabulary(path: str) -> list[tuple[str, float]]:
