@@ -122,5 +122,6 @@ def repeated_segments(texts: DataFrame, windows) -> DataFrame:
     anchors = texts.select(*TEXT_COLUMNS).mapInArrow(anchor_rows(windows), "key bigint, h bigint")
     shared = anchors.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     lists = anchors.join(shared, "h").groupBy("key").agg(F.collect_set("h").alias("listed"))
+    # No g is null; said here, the filter that joins on g infer is the same for all uses, and one shuffle serves them.
     return texts.join(lists, "key").select(*TEXT_COLUMNS, "listed").mapInArrow(
-        segment_rows(windows), "a bigint, g bigint, key bigint, t bigint, start bigint, n bigint")
+        segment_rows(windows), "a bigint, g bigint, key bigint, t bigint, start bigint, n bigint").where("g IS NOT NULL")

@@ -200,16 +200,16 @@ def byte_windows(texts: list[bytes], window: int, hashed: bool = False):
 
 
 def sliced(window: int):
-    """(a, hot, key, t, start, bytes): the bytes of the segments that a row lists."""
-    names = ["a", "hot", "key", "t", "start", "bytes"]
+    """(a, key, t, start, bytes): the bytes of the segments that a row lists."""
+    names = ["a", "key", "t", "start", "bytes"]
 
     def run(batches):
         for part, texts in text_bytes(batches):
             keys, tags, lists = column(part, "key").to_pylist(), column(part, "t").to_pylist(), column(part, "segments")
-            rows = [(x["a"], x["hot"], keys[r], tags[r], x["start"], texts[r][x["start"]:x["start"] + x["n"] - 1 + window])
+            rows = [(x["a"], keys[r], tags[r], x["start"], texts[r][x["start"]:x["start"] + x["n"] - 1 + window])
                     for r in range(len(texts)) for x in lists[r].as_py() if x["t"] == tags[r]]
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], kind) for k, kind in enumerate(
-                (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=names)
+                (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=names)
 
     return run
 
@@ -283,11 +283,13 @@ def remove_repeated_bytes(docs: DataFrame, window: int = WINDOW_BYTES) -> DataFr
     copies = segments.join(first, "g").where(F.struct("key", "t", "start") != F.struct("first.key", "first.t", "first.start")).select("key", "t", "start", "n")
     kinds = first.groupBy(F.col("first.a").alias("a")).agg(F.count("*").alias("c")).where("c > 1")
     open_ = first.select("first.*").join(kinds, "a").select("key", "t", "start", "a", "n", (F.col("c") > SEGMENTS_PER_ANCHOR).alias("hot"))
-    asked = open_.groupBy("key").agg(F.collect_list(F.struct("t", "a", "start", "n", "hot")).alias("segments"))
-    parts = texts.join(asked, "key").select(*TEXT_COLUMNS, "segments").mapInArrow(
-        sliced(window), "a bigint, hot boolean, key bigint, t bigint, start bigint, bytes binary")
-    sorted_ = parts.where(~F.col("hot")).repartition(n_parts, "a").sortWithinPartitions("a").mapInArrow(sorted_repeats(window), REMOVED)
-    hot = parts.where("hot").mapInArrow(hot_windows(window), "h bigint, key bigint, t bigint, start bigint")
+    def parts(hot):
+        asked = open_.where(hot).groupBy("key").agg(F.collect_list(F.struct("t", "a", "start", "n")).alias("segments"))
+        return texts.join(asked, "key").select(*TEXT_COLUMNS, "segments").mapInArrow(
+            sliced(window), "a bigint, key bigint, t bigint, start bigint, bytes binary")
+
+    sorted_ = parts(~F.col("hot")).repartition(n_parts, "a").sortWithinPartitions("a").mapInArrow(sorted_repeats(window), REMOVED)
+    hot = parts(F.col("hot")).mapInArrow(hot_windows(window), "h bigint, key bigint, t bigint, start bigint")
     least = hot.groupBy("h").agg(F.min(F.struct("key", "t", "start")).alias("first"))
     counted = hot.join(least, "h").where(F.struct("key", "t", "start") != F.col("first")).select("key", "t", "start", F.lit(1).cast("long").alias("n"))
     removed = copies.union(sorted_).union(counted).groupBy("key").agg(F.collect_list(F.struct("t", "start", "n")).alias("gone"))
