@@ -43,6 +43,8 @@ HINT_ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'
 HINT_WORD = re.compile(r"[A-Za-z]+")
 
 WORD_LIMITS, TAG_LIMITS = (-4.0, 1.0), (-4.0, -0.05)
+#: What a word of an article scores at least, whatever block it stands in.
+LEAST_INSIDE = 0.05
 #: At most so many labelled pages are read to count weights.
 LABELLED_PAGES = 2000
 
@@ -76,7 +78,7 @@ def tokens(html: str):
             yield run(m[0][9:-3])
         if not name:
             if m[1]:  # what a script leaves is a break in the text
-                yield 0, m[1].lower(), True, False, ""
+                yield 0, m[1].lower(), True, bool(stack and stack[-1][2]), ""
             continue
         _, bad, root = stack[-1] if stack else ("", False, False)
         if m[2]:
@@ -185,6 +187,14 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
+def score(kind: int, place: str, bad: bool, root: bool, n: int, weights: dict[str, float]) -> float:
+    """What a token adds to a run. Inside a content root, tags and boilerplate cost nothing: they part no text and are left out of it anyway."""
+    w = weights[feature(kind, place, bad)]
+    if root:
+        return 0.0 if bad or not kind else max(w, LEAST_INSIDE) * n
+    return w * (n if kind else 1)
+
+
 def main_text(html: str | None, weights: dict[str, float]) -> str:
     """Main text of a page: "" for a null or empty page or one without content.
 
@@ -197,7 +207,7 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
     seen = [(k, p, b, r, t, len(t.split()) if k else 0) for k, p, b, r, t in tokens(html)]
     rooted = any(r and not b and n for _, _, b, r, _, n in seen)
     seen = [(k, p, b or (rooted and not r), r, t, n) for k, p, b, r, t, n in seen]
-    scores = [weights[feature(k, p, b)] * (n if k else 1) for k, p, b, _, _, n in seen]
+    scores = [score(k, p, b, r, n, weights) for k, p, b, r, _, n in seen]
     i, j = best_region(scores)
     parts = [" " if k == 0 and p not in INLINE else t for k, p, b, _, t, _ in seen[i:j] if k == 0 or not b]
     return " ".join("".join(parts).split())

@@ -55,6 +55,18 @@ def test_extraction_without_labels_or_rows(spark):
         assert extract.main_text(html, extract.weights_of({})) == text
 
 
+def test_articles_are_whole_around_boilerplate_inside_them():
+    """Nothing of an article goes for what stands between its paragraphs, or for the lists and tables it ends with."""
+    advert = "<div class='ad'>" + "<b>buy</b> this now " * 40 + "</div>"
+    parts = ["<aside>" + "by the way " * 30 + "</aside>", "<form><p>" + "mail me " * 20 + "</p></form>", "<script>" + "x = 1; " * 99 + "</script>", advert]
+    for weights in (extract.weights_of({}), extract.weights_of({("1+p", True): 9000, ("0+p", True): 90, ("1-div", False): 9000, ("1+li", False): 500})):
+        for part in [*parts, "".join(parts)]:
+            html = page("<nav>menu here</nav><article><p>First short one.</p>" + part + "<p>Last one.</p></article><footer>foot</footer>")
+            assert extract.main_text(html, weights) == "First short one. Last one."
+        edge = "<ul><li>x</li><li>y</li></ul><table><tr><th>3</th><td>4</td></tr></table>"
+        assert extract.main_text(page(f"<main>{edge}<p>Between.</p>{edge}</main><p>more stories</p>"), weights) == "x y 3 4 Between. x y 3 4"
+
+
 def test_best_region_is_the_best():
     r = random.Random(1)
     for _ in range(300):
