@@ -36,6 +36,17 @@ HINTS = frozenset("ad ads advert adverts advertisement advertising banner promo
                   "sidebar side rail widget widgets related recommended menu nav navbar navigation breadcrumb breadcrumbs "
                   "toolbar header masthead topbar footer foot copyright legal share sharing social newsletter subscribe "
                   "subscription signup login search popup modal overlay pagination pager complementary contentinfo".split())
+#: Of these, words that name a list of other texts: an article inside one is not the page's article.
+LISTS = frozenset("comment comments commentlist respond replies disqus related recommended promoted sponsored".split())
+#: Names that say the same only if they stand alone, as in class="sidebar", not as in class="sidebar-layout".
+ALONE = frozenset("ad ads advert adverts advertisement promo sidebar side rail widget widgets menu nav navbar navigation footer foot "
+                  "popup modal".split())
+#: Such a name tells how a part looks, not what it is: has-sidebar, side-by-side, comments-open.
+STATES = re.compile(r"(?:has|with|without|no|is|side-by)(?:[-_]|(?=[A-Z]))|.*[-_](?:open|closed|enabled|disabled|on|off|layout)\Z")
+#: Elements that are boilerplate by themselves, but around a whole page only its wrapper.
+WRAPPERS = frozenset("form fieldset".split())
+#: How boilerplate an element is: not; unless a content root opens inside it; with all it holds.
+TEXT, UNLESS_ROOT, ALL = 0, 1, 2
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW.split())})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
                    r"|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>",
                    re.DOTALL | re.IGNORECASE)
@@ -49,9 +60,17 @@ LEAST_INSIDE = 0.05
 LABELLED_PAGES = 2000
 
 
-def hinted(attributes: str) -> bool:
-    """Whether class, id or role name a part other than the article."""
-    return any(w.lower() in HINTS for v in HINT_ATTRIBUTE.findall(attributes) for w in HINT_WORD.findall(v)) if "=" in attributes else False
+def hinted(attributes: str) -> int:
+    """How far class, id or role name a part other than the article: TEXT, UNLESS_ROOT or ALL."""
+    out = TEXT
+    for value in HINT_ATTRIBUTE.findall(attributes) if "=" in attributes else ():
+        for name in value.strip("\"'").split():
+            words = [] if STATES.match(name) else [w.lower() for w in HINT_WORD.findall(name)]
+            if any(w in LISTS for w in words) or name.lower() in ALONE:
+                return ALL
+            if any(w in HINTS for w in words):
+                out = UNLESS_ROOT
+    return out
 
 
 def tokens(html: str):
@@ -61,14 +80,16 @@ def tokens(html: str):
     block around it). boilerplate: it stands in a menu, form, advert or the
     like. Scripts, styles, titles, comments and declarations give nothing.
     End tags close the innermost open element of their name; the rest that
-    authors leave open is closed with it.
+    authors leave open is closed with it. A wrapper whose class merely holds
+    such a word, or a form, does not make the <article> or <main> in it
+    boilerplate; a menu, an aside or a list of comments does.
     """
-    at, stack = 0, []  # (name, boilerplate, in_root)
+    at, stack = 0, []  # (name, how boilerplate, in_root)
 
     def run(text):
         block = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "body")
-        _, bad, root = stack[-1] if stack else ("", False, False)
-        return 1, block, bad, root, unescape(text)
+        _, bad, root = stack[-1] if stack else ("", TEXT, False)
+        return 1, block, bad > TEXT, root, unescape(text)
 
     for m in TOKEN.finditer(html):
         if m.start() > at:
@@ -80,19 +101,25 @@ def tokens(html: str):
             if m[1]:  # what a script leaves is a break in the text
                 yield 0, m[1].lower(), True, bool(stack and stack[-1][2]), ""
             continue
-        _, bad, root = stack[-1] if stack else ("", False, False)
+        _, bad, root = stack[-1] if stack else ("", TEXT, False)
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     _, bad, root = stack[k]
                     del stack[k:]
                     break
-            yield 0, name, bad, root, ""
+            yield 0, name, bad > TEXT, root, ""
             continue
         root = root or name in CONTENT_ROOTS
-        hint = name not in CONTENT_ROOTS and name not in ("html", "body") and hinted(m[4])
-        bad = bad or hint or name in BOILERPLATE or (name == "header" and not root)
-        yield 0, name, bad, root, ""
+        if name in CONTENT_ROOTS:
+            bad = ALL if bad == ALL else TEXT
+        elif name in WRAPPERS:
+            bad = max(bad, UNLESS_ROOT)
+        elif name in BOILERPLATE or (name == "header" and not root):
+            bad = ALL
+        elif name not in ("html", "body") and bad != ALL:
+            bad = max(bad, hinted(m[4]))
+        yield 0, name, bad > TEXT, root, ""
         if name == "p":  # a paragraph ends where the next one begins
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == "p":
@@ -102,7 +129,7 @@ def tokens(html: str):
                     break
         if name == "body":
             stack[:] = [x for x in stack if x[0] == "html"]
-            bad = False
+            bad = TEXT
         if name not in VOID and not m[4].endswith("/"):
             stack.append((name, bad, root))
     if at < len(html):

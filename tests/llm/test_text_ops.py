@@ -67,6 +67,21 @@ def test_articles_are_whole_around_boilerplate_inside_them():
         assert extract.main_text(page(f"<main>{edge}<p>Between.</p>{edge}</main><p>more stories</p>"), weights) == "x y 3 4 Between. x y 3 4"
 
 
+def test_wrappers_with_hint_words_keep_their_article():
+    weights = extract.weights_of({})
+    nav, side = "<nav>menu here</nav>", "<div class='sidebar'><article>a teaser of some other text</article></div>"
+    for opening in ("<div class='layout has-sidebar'>", "<div id=with-sidebar>", "<div class='header-fixed'>", "<div class='side-by-side'>", "<div class='ads-top comments-open'>",
+                    "<form method=post>", "<form id=aspnetForm><div class='content-widget'>"):
+        for article in (ARTICLE, ARTICLE.replace("article>", "main>"), "<main><div class='row with-sidebar'>" + ARTICLE + side + "</div></main>"):
+            html = page(opening + nav + article + side)
+            assert extract.main_text(html, weights) == TEXT
+            assert extract.label_counts(html)["1+p", True] > 0
+    comments = "<ol class='comment-list'><li><article><p>I disagree strongly with all of it</p></article></li></ol>"
+    related = "<div class='related-posts'><article>one more</article></div>"
+    assert extract.main_text(page("<main>" + ARTICLE + comments + related + "<aside><article>or this</article></aside></main>"), weights) == TEXT
+    assert extract.main_text(page("<p>No root of its own here.</p>" + comments + related), weights) == "No root of its own here."
+
+
 def test_best_region_is_the_best():
     r = random.Random(1)
     for _ in range(300):
