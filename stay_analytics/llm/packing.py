@@ -44,9 +44,9 @@ BEFORE_SPACE = re.compile(r"(?<=\S)(?= )")
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
-    """Encoder of a ``tokenizers`` file with a byte-level BPE model, equal to that library's ids.
+    """Encoder of a ``tokenizers`` file with a byte-level BPE model, equal to that library's ids between added tokens.
 
-    Ranks are the ids of the file's vocabulary; special tokens in a text are ordinary text.
+    Ranks are the ids of the file's vocabulary.
     """
     import tiktoken
 
@@ -59,12 +59,25 @@ def encoder(path: str):
     return tiktoken.Encoding("byte_bpe", pat_str=SPLIT_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def added_tokens(path: str) -> tuple[re.Pattern | None, dict[str, bytes]]:
+    """What finds the added tokens of a ``tokenizers`` file in a text, and their ids as bytes."""
+    with open(path, encoding="utf-8") as f:
+        saved = json.load(f)
+    added = saved["added_tokens"]
+    if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip")) or (saved["normalizer"] and any(t["normalized"] for t in added)):
+        raise ValueError(f"{path}: only added tokens that match as they are written are supported")
+    ids = {t["content"]: np.array([t["id"]], dtype="<u4").tobytes() for t in added if t["content"]}
+    return re.compile(f"({'|'.join(map(re.escape, sorted(ids, key=len, reverse=True)))})") if ids else None, ids
+
+
 class Chunks(dict):
     """Chunk of text -> its ids as little-endian unsigned 32-bit bytes, kept up to ``most`` chunks."""
 
     def __init__(self, path: str, most: int = CACHED_CHUNKS):
         super().__init__()
         self.encode, self.most = encoder(path).encode_ordinary, most
+        self.added, self.added_ids = added_tokens(path)
 
     def __missing__(self, chunk: str) -> bytes:
         ids = np.array(self.encode(chunk), dtype="<u4").tobytes() if len(chunk) > 200 else array("I", self.encode(chunk)).tobytes()
@@ -74,8 +87,14 @@ class Chunks(dict):
             self[chunk] = ids
         return ids
 
+    def library_ids(self, text: str) -> bytes:
+        """Ids of a text as the library gives them by default: added tokens have their own, and part what stands around them."""
+        if not self.added or not self.added.search(text):
+            return self.ids(text)
+        return b"".join([self.added_ids[t] if k % 2 else self.ids(t) for k, t in enumerate(self.added.split(text)) if t])
+
     def ids(self, text: str) -> bytes:
-        """Ids of a text. Every token lies in one chunk: no token goes past a space that follows other text."""
+        """Ids of a text without added tokens, or with them as ordinary text. Every token lies in one chunk: no token goes past a space that follows other text."""
         if RUN_OF_SPACES.search(text):
             return b"".join([self[c] for c in BEFORE_SPACE.split(text)])
         first, *rest = text.split(" ")
@@ -166,7 +185,8 @@ def pieces_schema(key_type) -> str:
 def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = END_ID, most_open: int = OPEN_WINDOWS) -> DataFrame:
     """One row per piece of the packed documents of ``docs`` (doc_id, text; other columns are ignored).
 
-    Each document's ids are those of its text, then ``end_id``; a null or
+    Each document's ids are those that ``tokenizers`` gives for its text by
+    default, added tokens such as ``<|endoftext|>`` included, then ``end_id``; a null or
     empty text has only that. Repeated rows are packed as documents of their
     own. A text of any length is cut into whole windows and a remainder. An
     empty table gives an empty result. ``path`` must be readable on executors.
@@ -187,7 +207,7 @@ def pack_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int
             schema = schema or pa.schema([("doc_id", batch.schema.field("doc_id").type), *[(c, pa.int64()) for c in (
                 "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")]])
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(doc, (chunks.ids(text.as_py()) if text.is_valid else b"") + end)
+                packer.add(doc, (chunks.library_ids(text.as_py()) if text.is_valid else b"") + end)
                 if len(packer.done) >= 4096:
                     yield out()
         packer.consolidate(last=True)

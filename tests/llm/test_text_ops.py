@@ -132,6 +132,23 @@ def test_chunks_give_the_library_ids():
         assert np.frombuffer(chunks.ids(text), "<u4").tolist() == library_bpe.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_have_their_ids(table):
+    library_bpe = Tokenizer.from_file(BPE)
+    chunks, r = packing.Chunks(BPE, 50), random.Random(2)
+    assert np.frombuffer(chunks.library_ids("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    parts = [" ", "  ", "\n", "a", "bc", "'s", "1", "<|endoftext|>", "<|endoftext|>", "<|endof", "|>", "<|EndOfText|>", "中", "\xa0"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 12)))
+        assert np.frombuffer(chunks.library_ids(text), "<u4").tolist() == library_bpe.encode(text, add_special_tokens=False).ids
+    rows = [(0, "a <|endoftext|> b"), (1, "<|endoftext|>" * 3000), (2, "plain")]
+    got = packing.pack_documents(table(rows), BPE).collect()
+    for d, text in rows:
+        ids = np.array([*library_bpe.encode(text, add_special_tokens=False).ids, 1], dtype="<u4")
+        of_doc = [p for p in got if p.doc_id == d]
+        assert sum(p.length for p in of_doc) == len(ids)
+        assert all((p.doc_tokens, p.ids_crc32) == (len(ids), zlib.crc32(ids[p.start:p.start + p.length].tobytes())) for p in of_doc)
+
+
 def check_packing(pieces, rows):
     library_bpe = Tokenizer.from_file(BPE)
     library_bpe.encode_special_tokens = True
