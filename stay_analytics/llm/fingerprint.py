@@ -4,7 +4,7 @@ A sketch keeps every 10-byte shingle hash below a fixed fraction of the hash
 range, so sketches of different documents sample the same shingles: their
 union is the sketch of the joined documents, and the share of a small
 document's hashes found in a large one estimates its containment, however
-unequal the two are. A document of few shingles keeps all of them; two
+unequal the two are. A document of few distinct shingles keeps all of them; two
 sketches are compared below the smaller fraction of the two.
 """
 
@@ -23,12 +23,24 @@ from .hashing import mix, splits_of, window_hashes
 SHINGLE_BYTES = 10
 #: One in so many shingle hashes is kept.
 SCALE = 16
-#: Texts with at most so many shingles keep them all.
+#: Texts with at most so many distinct shingles keep them all.
 SMALL = 256
 #: Hashes are written with 32 bits: 8 hexadecimal digits.
 BITS = 32
 
 
+def all_if_few(h: np.ndarray, small: int) -> np.ndarray | None:
+    """The sorted distinct hashes if there are at most ``small``; longer and longer beginnings are tried, so most texts end at the first."""
+    size = 2 * small
+    while True:
+        distinct = np.unique(h[:size])
+        if len(distinct) > small:
+            return None
+        if size >= len(h):
+            return distinct
+        size *= 4
+
+
 def sketches(texts: list[bytes], scale: int = SCALE, width: int = SHINGLE_BYTES, small: int = SMALL) -> list[tuple[int, np.ndarray]]:
     """(scale, sorted distinct 32-bit hashes) of each text. A text shorter than a shingle is one shingle; an empty one has none."""
     short = [t.ljust(width, b"\0") if 0 < len(t) < width else t for t in texts]
@@ -39,10 +51,8 @@ def sketches(texts: list[bytes], scale: int = SCALE, width: int = SHINGLE_BYTES,
     under = np.flatnonzero(h < np.uint64((1 << BITS) // scale)) if len(h) else np.zeros(0, dtype=np.int64)
     lo, hi = np.searchsorted(under, starts[:-1]), np.searchsorted(under, np.maximum(starts[1:] - width + 1, starts[:-1]))
     for k, n in enumerate(counts):
-        if n <= small:
-            out.append((1, np.unique(h[starts[k]:starts[k] + max(n, 0)])))
-        else:
-            out.append((scale, np.unique(h[under[lo[k]:hi[k]]])))
+        few = all_if_few(h[starts[k]:starts[k] + max(n, 0)], small)
+        out.append((1, few) if few is not None else (scale, np.unique(h[under[lo[k]:hi[k]]])))
     return out
 
 

@@ -218,6 +218,24 @@ def test_fingerprints_and_edits(table, corpus):
     assert fingerprint.compare_with_edits(table([(100, "same"), (100, "same"), (7, None)])).count() == 3
 
 
+def test_long_texts_of_few_distinct_shingles_keep_them_all():
+    texts = [b"a" * 50_000, b"b" * 50_000, b"one line, again and again\n" * 4000, b"another row; 1; 2; 3\n" * 4000, b"x" * 300]
+    made = fingerprint.sketches(texts)
+    for text, (scale, kept) in zip(texts, made, strict=True):
+        assert scale == 1 and len(kept) == len({text[k:k + 10] for k in range(len(text) - 9)})
+    for i, a in enumerate(made):
+        assert [fingerprint.likeness(a, b) for b in made] == [float(i == j) for j in range(len(made))]
+    line, other = texts[2].decode(), texts[3].decode()
+    edited = fingerprint.sketches([fingerprint.edited_text(line, other).encode()])[0]
+    assert edited[0] == 1 and fingerprint.likeness(made[2], edited) == 1.0
+    r = random.Random(3)
+    for distinct in (200, 256, 257, 300):  # in a text of many kilobytes, whose last shingles are the new ones
+        body = bytes(r.randrange(256) for _ in range(distinct - 1))
+        (scale, kept), = fingerprint.sketches([b"\0" * 30_000 + body])
+        n = len({(b"\0" * 30_000 + body)[k:k + 10] for k in range(30_000 + len(body) - 9)})
+        assert (scale, len(kept)) == (1, n) if n <= 256 else scale == 16
+
+
 def test_sketches_merge_and_estimate_containment():
     r = random.Random(9)
     a, b = (" ".join(str(r.random()) for _ in range(n)) for n in (300, 6000))
