@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pround
+from ..session import cut_lineage
 from .ranking import grouped, median_of
 
 # Segment names in ascending median-price order.
@@ -139,10 +140,10 @@ def kmeans_sweep(df: DataFrame, features: Sequence[str], ks: Sequence[int] = ran
     return df.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
-def fit_kmeans(df: DataFrame, features: Sequence[str], k: int = 4, seeds: Sequence[int] = (42, 7, 11),
+def fit_kmeans(df: DataFrame, features: Sequence[str], k: int = 4, seeds: Sequence[int] = range(42, 72),
                out: str = "cluster_id") -> DataFrame:
-    """CL3: final k-means, best of several seeded fits by training cost; cluster id per row."""
-    data = _vectors(df, features)
+    """CL3: final k-means, best of 30 seeded fits by training cost; cluster id per row."""
+    data = cut_lineage(_vectors(df, features))
     best = None
     for s in seeds:
         m = KMeans(k=k, seed=s, featuresCol="features").fit(data)
@@ -162,28 +163,44 @@ def pca_view(df: DataFrame, features: Sequence[str], key: str, sample_n: int = 8
                       F.lit(ev[0]).alias("explained_variance_pc1"), F.lit(ev[1]).alias("explained_variance_pc2"))
 
 
-def gmm_sweep(df: DataFrame, features: Sequence[str], ks: Sequence[int] = range(2, 7), seed: int = 42) -> DataFrame:
-    """CL6: AIC, BIC, mean max membership probability and share below 0.60 per k."""
-    data = _vectors(df, features)
+def best_gmm(data: DataFrame, k: int, seed: int = 42, starts: int = 1):
+    """The Gaussian mixture of largest log-likelihood among ``starts`` seeded fits, the first on a tie."""
+    best = None
+    for s in range(seed, seed + starts):
+        m = GaussianMixture(k=k, seed=s, featuresCol="features").fit(data)
+        if best is None or m.summary.logLikelihood > best.summary.logLikelihood:
+            best = m
+    return best
+
+
+def gmm_sweep(df: DataFrame, features: Sequence[str], ks: Sequence[int] = range(2, 9), seed: int = 42,
+              starts: int = 5) -> DataFrame:
+    """CL6: AIC, BIC, mean max membership probability, share below 0.60 and silhouette (squared Euclidean, exact,
+    linear time; null if all rows fall into one cluster) per k, each the best of ``starts`` fits."""
+    data = cut_lineage(_vectors(df, features).select("features"))
     n = data.count()
     d = len(features)
+    ev = ClusteringEvaluator(featuresCol="features", predictionCol="prediction")
     rows = []
     for k in ks:
-        m = GaussianMixture(k=k, seed=seed, featuresCol="features").fit(data)
+        m = best_gmm(data, k, seed, starts)
         ll = float(m.summary.logLikelihood)
         p = k * (d + d * (d + 1) / 2) + k - 1
-        probs = m.transform(data).select(F.array_max(vector_to_array("probability")).alias("pmax"))
-        agg = probs.agg(F.avg("pmax"), F.avg((F.col("pmax") < 0.60).cast("double"))).first()
-        rows.append((int(k), ll, 2 * p - 2 * ll, p * float(np.log(n)) - 2 * ll, float(agg[0]), float(agg[1])))
+        fitted = m.transform(data)
+        probs = fitted.select("prediction", F.array_max(vector_to_array("probability")).alias("pmax"))
+        agg = probs.agg(F.avg("pmax"), F.avg((F.col("pmax") < 0.60).cast("double")), F.countDistinct("prediction")).first()
+        silhouette = float(ev.evaluate(fitted)) if agg[2] > 1 else None
+        rows.append((int(k), ll, 2 * p - 2 * ll, p * float(np.log(n)) - 2 * ll, float(agg[0]), float(agg[1]), silhouette))
     return df.sparkSession.createDataFrame(
         rows, "k int, log_likelihood double, aic double, bic double, mean_max_probability double, "
-              "low_confidence_share double")
+              "low_confidence_share double, silhouette double")
 
 
-def fit_gmm(df: DataFrame, features: Sequence[str], k: int = 4, seed: int = 42, low: float = 0.60) -> DataFrame:
-    """CL7: GMM membership (cluster, max probability, low-confidence flag) per row."""
-    data = _vectors(df, features)
-    m = GaussianMixture(k=k, seed=seed, featuresCol="features").fit(data)
+def fit_gmm(df: DataFrame, features: Sequence[str], k: int = 4, seed: int = 42, low: float = 0.60,
+            starts: int = 10) -> DataFrame:
+    """CL7: GMM membership (cluster, max probability, low-confidence flag) per row, best of ``starts`` fits."""
+    data = cut_lineage(_vectors(df, features))
+    m = best_gmm(data, k, seed, starts)
     out = m.transform(data).withColumn("membership_probability", F.array_max(vector_to_array("probability")))
     return (out.withColumnRenamed("prediction", "cluster_id")
             .withColumn("low_confidence", F.col("membership_probability") < low)

@@ -102,7 +102,7 @@ def kmeans_sweep(spark, sf_dir):
 
 @register("cl3_kmeans_segments")
 def kmeans_fit(spark, sf_dir):
-    """CL3 + CL4: k = 4 (best of three seeds), then the named profile per city."""
+    """CL3 + CL4: k = 4 (best of 30 seeds), then the named profile per city."""
     z = _scaled_only(spark, sf_dir)
     fitted = cs.fit_kmeans(z, _Z).select("listing_id", "cluster_id")
     return cs.profile_segments(_complete(spark, sf_dir).join(fitted, "listing_id"), "cluster_id")
@@ -116,8 +116,8 @@ def pca(spark, sf_dir):
 
 @register("cl6_gmm_sweep")
 def gmm_sweep(spark, sf_dir):
-    """CL6: Gaussian mixtures k = 2..5: log-likelihood, AIC, BIC, membership confidence."""
-    return cs.gmm_sweep(_scaled_only(spark, sf_dir), _Z, range(2, 6))
+    """CL6: Gaussian mixtures k = 2..8: log-likelihood, AIC, BIC, membership confidence, silhouette."""
+    return cs.gmm_sweep(_scaled_only(spark, sf_dir), _Z)
 
 
 @register("cl7_gmm_membership")

@@ -213,9 +213,10 @@ _SMALL = {"decision_tree": {"maxDepth": 6}, "random_forest": {"numTrees": 20, "m
 
 @register("ml4_model_families")
 def families(spark, sf_dir):
-    """ML1+ML3+ML4+ML7: linear, ridge, tree, forest, extra trees and GBT on log price; EUR metrics."""
+    """ML1+ML3+ML4+ML7: linear, ridge, lasso, elastic net, tree, forest, extra trees and GBT on log price; EUR metrics."""
     return ml.train_and_score(_ml_table(spark, sf_dir),
-                              ["linear", "ridge", "decision_tree", "random_forest", "extra_trees", "gbt"],
+                              ["linear", "ridge", "lasso", "elastic_net", "decision_tree", "random_forest",
+                               "extra_trees", "gbt"],
                               **_SMALL, extra_trees={"numTrees": 20, "maxDepth": 6})
 
 
@@ -229,7 +230,7 @@ def cv(spark, sf_dir):
 def search(spark, sf_dir):
     """ML6: seeded random search over a GBT grid, 3-fold CV each, ranked."""
     return ml.random_search(_ml_table(spark, sf_dir), "gbt", {"maxDepth": [3, 5], "maxIter": [10, 20],
-                                                              "stepSize": [0.1, 0.2]}, n_iter=2, k=3)
+                                                              "stepSize": [0.1, 0.2]}, n_iter=4, k=3)
 
 
 @register("ml9_feature_importance")
