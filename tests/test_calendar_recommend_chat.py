@@ -2,7 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from small_data import SF_SMALL
 from stay_analytics.operators import calendar as cl
 from stay_analytics.operators import chatlog as ch
 from stay_analytics.operators import recommend as rc
