@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stay_analytics.sources.tables import read_table
 
-from . import extract, fingerprint, langid, mixing, neardup, packing, passages, suffix, tokencount, topk
+from . import extract, fim, fingerprint, langid, mixing, neardup, packing, passages, suffix, tokencount, topk
 
 
 def op1_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,13 @@ def op10_top_k_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, cuts and digests of the fill-in-middle output of every document."""
+    cut = fim.fill_in_middle(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "fim.n", "fim.form", "fim.prefix_chars", "fim.middle_chars", F.sha2("fim.output", 256).alias("output_sha256"),
+                      F.sha2(fim.restored(F.col("fim.output"), F.col("fim.form")), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract_text": op1_extract_text,
     "op2_near_duplicates": op2_near_duplicates,
@@ -82,9 +89,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_remove_repeats": op8_remove_repeats,
     "op9_identify_language": op9_identify_language,
     "op10_top_k_search": op10_top_k_search,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 ORACLES: dict[str, str] = {
     "op6_mix_sources": mixing.ORACLE,
     "op10_top_k_search": topk.ORACLE,
+    "op11_fill_in_middle": fim.ORACLE,
 }
