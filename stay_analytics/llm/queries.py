@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stay_analytics.sources.tables import read_table
 
-from . import extract, fim, fingerprint, langid, mixing, neardup, packing, passages, suffix, tokencount, topk
+from . import extract, fim, fingerprint, langid, merkle, mixing, neardup, packing, passages, suffix, tokencount, topk
 
 
 def op1_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,11 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(fim.restored(F.col("fim.output"), F.col("fim.form")), 256).alias("restored_sha256"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof digest and check of every document in the manifest."""
+    return merkle.verified_manifest(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_extract_text": op1_extract_text,
     "op2_near_duplicates": op2_near_duplicates,
@@ -90,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_identify_language": op9_identify_language,
     "op10_top_k_search": op10_top_k_search,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
