@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stay_analytics.sources.tables import read_table
 
-from . import extract, fim, fingerprint, langid, merkle, mixing, neardup, packing, passages, suffix, tokencount, topk
+from . import extract, fim, fingerprint, langid, linededup, merkle, mixing, neardup, packing, passages, suffix, tokencount, topk
 
 
 def op1_extract_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +78,13 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(fim.restored(F.col("fim.output"), F.col("fim.form")), 256).alias("restored_sha256"))
 
 
+def op12_dedup_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those dropped as repeats, and a digest of the rest."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    left = linededup.drop_repeated_lines(docs, linededup.insert(linededup.empty_index(docs), docs))
+    return left.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots, proof digest and check of every document in the manifest."""
     return merkle.verified_manifest(read_table(spark, sf_dir, "documents"))
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_identify_language": op9_identify_language,
     "op10_top_k_search": op10_top_k_search,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_dedup_lines": op12_dedup_lines,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -102,4 +110,5 @@ ORACLES: dict[str, str] = {
     "op6_mix_sources": mixing.ORACLE,
     "op10_top_k_search": topk.ORACLE,
     "op11_fill_in_middle": fim.ORACLE,
+    "op12_dedup_lines": linededup.ORACLE,
 }
