@@ -254,10 +254,10 @@ def drop_repeated_lines(docs: DataFrame, index: LineIndex) -> DataFrame:
 
 ORACLE = r"""
 WITH b AS (SELECT ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) AS blanks),
-l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at FROM documents),
-k AS (SELECT doc_id, line, at, translate(trim(line, blanks), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l, b),
+l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place FROM documents),
+k AS (SELECT doc_id, line, place, translate(trim(line, blanks), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l, b),
 r AS (SELECT key, min(doc_id) AS lo FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE coalesce(doc_id > lo, false)) AS n_dropped,
-  sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT coalesce(doc_id > lo, false)), '')) AS kept_sha256
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT coalesce(doc_id > lo, false)), '')) AS kept_sha256
 FROM k LEFT JOIN r ON k.key = r.key GROUP BY doc_id
 """
