@@ -60,5 +60,5 @@ def widen(df: DataFrame) -> DataFrame:
 def load_all() -> dict[str, Query]:
     """Import every plan module so its queries register."""
     from . import (q_calendar, q_chat, q_cleaning, q_cluster, q_dimensions, q_features, q_forecast,  # noqa: F401
-                   q_ml, q_profile, q_recommend, q_text)
+                   q_linear, q_ml, q_profile, q_recommend, q_text)
     return REGISTRY
