@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import pround
+from ..operators import citywise as cw
 from ..operators import cluster as cs
 from ..operators.filters import complete_cases
 from ..sources import fixtures as fx
@@ -134,3 +137,63 @@ def ward(spark, sf_dir):
     """CL8: hierarchical (Ward) segments via 100 micro-clusters and a bounded Ward merge."""
     w = cs.ward_segments(_scaled_only(spark, sf_dir), _Z, k=4, micro_k=100)
     return w.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("listings"))
+
+
+# ------------------------------------------------ a fit per city, silhouettes of given labels
+_SCALED_SQL = _COMPLETE_SQL[:-1] + ", z AS (SELECT listing_id, city, " + ", ".join(
+    f"CASE WHEN stddev_pop({c}) OVER w = 0 THEN 0.0 ELSE ({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w END AS {c}_z"
+    for c in FEATURES) + " FROM cc WINDOW w AS (PARTITION BY city))\n"
+
+
+@register("cl2_kmeans_sweep_by_city")
+def kmeans_sweep_by_city(spark, sf_dir):
+    """CL2: a k-means sweep k = 2..8 of 20 starts in every city: inertia, explained share and silhouette."""
+    return cw.kmeans_sweep(_scaled_only(spark, sf_dir), _Z, "listing_id")
+
+
+@register("cl2_kmeans_sweep_facts", _SCALED_SQL + f""", t AS (SELECT city, count(*) AS rows, {pround_sql(" + ".join(f"sum({c} * {c})" for c in _Z), 3)} AS total_ss
+  FROM z GROUP BY city)
+SELECT city, CAST(k AS BIGINT) AS k, rows, CAST(k AS BIGINT) AS clusters, total_ss, true AS below_total, true AS falls_with_k, true AS silhouette_in_range
+FROM t, range(2, 9) r(k)""")
+def kmeans_sweep_facts(spark, sf_dir):
+    """CL2: what must hold of the sweep of every city, whatever the starts: all rows in k clusters, the total, inertia that falls with k."""
+    sweep = cw.kmeans_sweep(_scaled_only(spark, sf_dir), _Z, "listing_id")
+    before = F.lag("inertia").over(Window.partitionBy("city").orderBy("k"))
+    return sweep.select("city", "k", "rows", "clusters", pround("total_ss", 3).alias("total_ss"), (F.col("inertia") < F.col("total_ss")).alias("below_total"),
+                        F.coalesce(F.col("inertia") < before, F.lit(True)).alias("falls_with_k"), F.col("silhouette").between(-1, 1).alias("silhouette_in_range"))
+
+
+@register("cl3_kmeans_segments_by_city")
+def kmeans_segments_by_city(spark, sf_dir):
+    """CL3 + CL4: k = 4 in every city by its own best of 30 starts, then the named profile."""
+    fitted = cw.kmeans_segments(_scaled_only(spark, sf_dir), _Z, "listing_id")
+    return cs.profile_segments(_complete(spark, sf_dir).join(fitted, "listing_id"), "cluster_id")
+
+
+def _silhouette_sql(d2: str, by: str) -> str:
+    """All pairs: mean squared distance of each row to each label, then the silhouette."""
+    part = f"a.{by} = b.{by} AND " if by else ""
+    keys = f"{by}, " if by else ""
+    group = f" GROUP BY {by}" if by else ""
+    return f""", pr AS (SELECT {f"a.{by}, " if by else ""}a.id, a.label, b.label AS other, avg({d2}) AS m FROM p a JOIN p b ON {part}a.id <> b.id GROUP BY ALL),
+ab AS (SELECT {keys}id, label, max(m) FILTER (WHERE other = label) AS own, min(m) FILTER (WHERE other <> label) AS near FROM pr GROUP BY ALL)
+SELECT {keys}count(*) AS rows, count(DISTINCT label) AS clusters, {pround_sql("avg(CASE WHEN near IS NULL THEN NULL WHEN own IS NULL OR greatest(own, near) = 0 THEN 0 ELSE (near - own) / greatest(own, near) END)", 6)} AS silhouette
+FROM ab{group}"""
+
+
+@register("cl10_silhouette_by_city", _SCALED_SQL + ", p AS (SELECT z.*, listing_id AS id, property_group AS label FROM z JOIN listings USING (listing_id, city))"
+          + _silhouette_sql(" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in _Z), "city"))
+def silhouette_by_city(spark, sf_dir):
+    """CL10: squared silhouette of the property groups of every city on the scaled features, without pairs."""
+    groups = fx.listings(spark, sf_dir).select("listing_id", F.col("property_group").alias("label"))
+    rows = _scaled_only(spark, sf_dir).join(groups, "listing_id").withColumn("x", F.array(*_Z))
+    return cw.silhouette(rows, len(_Z), "label", "x", ["city"]).withColumn("silhouette", pround("silhouette", 6))
+
+
+@register("cl10_silhouette_of_labels", "WITH p AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)" + _silhouette_sql(
+    "list_sum(list_transform(range(1, len(a.x) + 1), lambda i: (a.x[i] - b.x[i]) * (a.x[i] - b.x[i])))", ""))
+def silhouette_of_labels(spark, sf_dir):
+    """CL10: squared silhouette of the given embedding labels, without pairs."""
+    e = read_table(spark, sf_dir, "embeddings")
+    d = e.select(F.size("embedding").alias("d")).first()
+    return cw.silhouette(e, d.d if d else 0, "label", "embedding").withColumn("silhouette", pround("silhouette", 6))
