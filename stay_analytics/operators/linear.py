@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import from_log_target, pround
+from ..session import cut_lineage
 from .ml import CATEGORICAL_FEATURES, NUMERIC_FEATURES, fold_column, regression_metrics, split_column
 from .ranking import grouped, median_of
 
@@ -50,9 +51,13 @@ def fill_features(df: DataFrame, numeric: Sequence[str] = NUMERIC_FEATURES, cate
 
 def model_table(df: DataFrame, key: str = "listing_id", target: str = "price_eur", folds: int = 3, numeric: Sequence[str] = NUMERIC_FEATURES,
                 categorical: Sequence[str] = CATEGORICAL_FEATURES, by: str = "city") -> DataFrame:
-    """Rows with a positive target, filled features, ``label`` (log1p) and ``fold``: ``TEST`` or the part of the training rows."""
-    rows = df.filter(F.col(target) > 0).withColumn("fold", F.when(split_column(key), TEST).otherwise(fold_column(key, folds)))
-    return fill_features(rows, numeric, categorical, by).withColumn("label", F.log1p(F.col(target)))
+    """Rows with a positive target, filled features, ``label`` (log1p) and ``fold``: ``TEST`` or the part of the training rows.
+
+    Written once, as fits and scores read it several times; so are the rows before filling, which the medians and levels read.
+    """
+    rows = df.filter(F.col(target) > 0).select(key, by, target, *numeric, *categorical).withColumn(
+        "fold", F.when(split_column(key), TEST).otherwise(fold_column(key, folds)))
+    return cut_lineage(fill_features(cut_lineage(rows), numeric, categorical, by).withColumn("label", F.log1p(F.col(target))))
 
 
 def moment_cells(rows: DataFrame, numeric: Sequence[str] = NUMERIC_FEATURES, categorical: Sequence[str] = CATEGORICAL_FEATURES,
@@ -137,7 +142,7 @@ def fit_segments(cells: DataFrame, segments: Sequence[str] = (), penalties: Sequ
     parts = cells.select("*", F.inline(segment_column(segments)))
     fitted = parts.groupBy(by, "segment_type", "segment").applyInPandas(
         fit, f"{by} string, segment_type string, segment string, left_out int, penalty double, base array<double>, names array<string>, weights array<double>")
-    return fitted.withColumn("levels", F.map_from_arrays("names", "weights")).drop("names", "weights")
+    return cut_lineage(fitted.withColumn("levels", F.map_from_arrays("names", "weights")).drop("names", "weights"))
 
 
 def predict(rows: DataFrame, fits: DataFrame, segments: Sequence[str] = (), numeric: Sequence[str] = NUMERIC_FEATURES,
