@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.numeric import pround
 from ..operators import citywise as cw
 from ..operators import cluster as cs
+from ..operators import mixture as mx
+from ..operators import pca as pc
 from ..operators.filters import complete_cases
+from ..operators.ranking import grouped, median_of
+from ..session import cut_lineage
 from ..sources import fixtures as fx
 from ..sources.tables import read_table
 from .registry import register
@@ -197,3 +201,64 @@ def silhouette_of_labels(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings")
     d = e.select(F.size("embedding").alias("d")).first()
     return cw.silhouette(e, d.d if d else 0, "label", "embedding").withColumn("silhouette", pround("silhouette", 6))
+
+
+def _axis_sql(n: int, matrix: str, squarings: int = 16) -> str:
+    """Views l{n} (city, lam) and v{n} (city, v): the largest variance of ``matrix`` and its axis, by squaring the matrix again and again."""
+    out, last = "", matrix
+    for t in range(squarings):
+        name = f"m{n}_{t}"
+        out += f""", {name} AS MATERIALIZED (SELECT city, i, j, v / sum(CASE WHEN i = j THEN v END) OVER (PARTITION BY city) AS v FROM (
+  SELECT a.city, a.i, b.j, sum(a.v * b.v) AS v FROM {last} a JOIN {last} b ON a.city = b.city AND a.j = b.i GROUP BY a.city, a.i, b.j))"""
+        last = name
+    return out + f""", d{n} AS MATERIALIZED (SELECT city, i, v FROM {last} WHERE i = j QUALIFY row_number() OVER (PARTITION BY city ORDER BY v DESC, i) = 1),
+a{n} AS MATERIALIZED (SELECT m.city, m.i, m.v / sqrt(d.v) AS v FROM {last} m JOIN d{n} d ON m.city = d.city AND m.j = d.i),
+l{n} AS MATERIALIZED (SELECT c.city, sum(p.v * c.v * q.v) AS lam FROM {matrix} c JOIN a{n} p ON c.city = p.city AND c.i = p.i
+  JOIN a{n} q ON c.city = q.city AND c.j = q.i GROUP BY c.city),
+v{n} AS (SELECT city, list(v ORDER BY i) AS v FROM a{n} GROUP BY city)"""
+
+
+_COVARIANCE_SQL = ", ".join(f"{{'i': {i}, 'j': {j}, 'v': covar_pop({a}, {b})}}" for i, a in enumerate(_Z) for j, b in enumerate(_Z))
+
+
+@register("cl5_pca_by_city", _SCALED_SQL + f""", c1 AS MATERIALIZED (SELECT city, unnest([{_COVARIANCE_SQL}], recursive := true) FROM z GROUP BY city)"""
+          + _axis_sql(1, "c1") + """, c2 AS MATERIALIZED (SELECT c.city, c.i, c.j, c.v - l.lam * p.v * q.v AS v FROM c1 c JOIN l1 l ON c.city = l.city
+  JOIN a1 p ON c.city = p.city AND c.i = p.i JOIN a1 q ON c.city = q.city AND c.j = q.i)""" + _axis_sql(2, "c2") + f""",
+tr AS (SELECT city, sum(v) AS t FROM c1 WHERE i = j GROUP BY city),
+s AS (SELECT listing_id, city, [{", ".join(_Z)}] AS x FROM z
+  QUALIFY row_number() OVER (PARTITION BY city ORDER BY md5('42:' || CAST(listing_id AS VARCHAR)), listing_id) <= 2500)
+SELECT listing_id, s.city, {pround_sql("list_inner_product(s.x, v1.v)", 6)} + 0.0 AS pc1, {pround_sql("list_inner_product(s.x, v2.v)", 6)} + 0.0 AS pc2,
+  {pround_sql("l1.lam / tr.t", 6)} AS explained_variance_pc1, {pround_sql("l2.lam / tr.t", 6)} AS explained_variance_pc2
+FROM s JOIN v1 USING (city) JOIN v2 USING (city) JOIN l1 USING (city) JOIN l2 USING (city) JOIN tr USING (city)""")
+def pca_by_city(spark, sf_dir):
+    """CL5: first two components fitted on all scaled rows of each city; a seeded sample of 2500 a city with explained shares."""
+    out = pc.pca_view(_scaled_only(spark, sf_dir), _Z, "listing_id")
+    return out.select("listing_id", "city", *[(pround(c, 6) + F.lit(0.0)).alias(c) for c in out.columns[2:]])
+
+
+@register("cl6_gmm_sweep_by_city")
+def gmm_sweep_by_city(spark, sf_dir):
+    """CL6: Gaussian mixtures k = 2..8 of 5 starts in every city: log-likelihood, AIC, BIC, membership confidence, silhouette."""
+    return mx.mixture_sweep(_scaled_only(spark, sf_dir), _Z, "listing_id")
+
+
+@register("cl7_gmm_segments_by_city")
+def gmm_segments_by_city(spark, sf_dir):
+    """CL7 + CL4: k = 4 in every city by its own best of 10 mixtures; named segments with membership confidence."""
+    fitted = cut_lineage(mx.mixture_segments(_scaled_only(spark, sf_dir), _Z, "listing_id"))
+    rows = _complete(spark, sf_dir).join(fitted, "listing_id")
+    names = cs.profile_segments(rows, "cluster_id").select("city", "cluster_id", "segment")
+    summary = grouped(rows, ["city", "cluster_id"], F.count(F.lit(1)).alias("listings"), pround(F.avg("membership_probability"), 3).alias("avg_probability"),
+                      median_of("membership_probability", 3).alias("median_probability"),
+                      pround(F.avg(F.col("low_confidence").cast("double")), 3).alias("low_confidence_share"))
+    return names.join(summary, ["city", "cluster_id"])
+
+
+@register("cl7_gmm_moments_by_city", _SCALED_SQL + ", g AS (SELECT city, count(*) AS rows, ["
+          + ", ".join(f"{{'feature_a': '{a}', 'feature_b': '{b}', 'covariance': {pround_sql(f'covar_pop({a}, {b})', 6)} + 0.0}}"
+                      for i, a in enumerate(_Z) for b in _Z[i:]) + """] AS c FROM z GROUP BY city)
+SELECT city, rows, unnest(c, recursive := true) FROM g""")
+def gmm_moments_by_city(spark, sf_dir):
+    """CL7: covariances that the mixture of every city implies; they are those of its rows, whatever the starts."""
+    out = mx.mixture_moments(_scaled_only(spark, sf_dir), _Z, "listing_id")
+    return out.withColumn("covariance", pround("covariance", 6) + F.lit(0.0))
