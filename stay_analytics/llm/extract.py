@@ -45,10 +45,16 @@ ALONE = frozenset("ad ads advert adverts advertisement promo sidebar side rail w
 STATES = re.compile(r"(?:has|with|without|no|is|side-by)(?:[-_]|(?=[A-Z]))|.*[-_](?:open|closed|enabled|disabled|on|off|layout)\Z")
 #: Elements that are boilerplate by themselves, but around a whole page only its wrapper.
 WRAPPERS = frozenset("form fieldset".split())
+# Words of compound names that tell of shape or place, not of what a part is: share-buttons is a share, social-issues an issue.
+NEUTRAL = frozenset("bar box block list links link button buttons container wrap wrapper area section item items inner outer unit slot row panel "
+                    "group holder top bottom left right main primary secondary fixed sticky small large widget".split())
+#: With one of these, a header is that of the article.
+OF_ARTICLE = frozenset("article post entry story".split())
 #: How boilerplate an element is: not; unless a content root opens inside it; with all it holds.
 TEXT, UNLESS_ROOT, ALL = 0, 1, 2
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW.split())})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
-                   r"|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>",
+# A "<" outside quotes ends an unfinished tag, which is then text; so no tag is sought farther than the next one.
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(RAW.split())})\b(?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+>.*?(?:</\1\s*>|\Z)"
+                   r"|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/<>]*+)((?:\"[^\"]*\"|'[^']*'|[^'\"<>])*+)>",
                    re.DOTALL | re.IGNORECASE)
 HINT_ATTRIBUTE = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 HINT_WORD = re.compile(r"[A-Za-z]+")
@@ -56,6 +62,10 @@ HINT_WORD = re.compile(r"[A-Za-z]+")
 WORD_LIMITS, TAG_LIMITS = (-4.0, 1.0), (-4.0, -0.05)
 #: What a word of an article scores at least, whatever block it stands in.
 LEAST_INSIDE = 0.05
+#: What one interruption, a run of boilerplate however long, costs at most, so that text on both sides of it stays.
+INTERRUPTION = 0.25
+#: Blocks that hold menus as often as text; there, words in links are told apart.
+LISTED = frozenset("li td th dt".split())
 #: At most so many labelled pages are read to count weights.
 LABELLED_PAGES = 2000
 
@@ -68,7 +78,8 @@ def hinted(attributes: str) -> int:
             words = [] if STATES.match(name) else [w.lower() for w in HINT_WORD.findall(name)]
             if any(w in LISTS for w in words) or name.lower() in ALONE:
                 return ALL
-            if any(w in HINTS for w in words):
+            kinds = [w for w in words if w not in NEUTRAL] or words
+            if kinds and kinds[-1] in HINTS and not (kinds[-1] in ("header", "head") and OF_ARTICLE.intersection(words)):
                 out = UNLESS_ROOT
     return out
 
@@ -77,7 +88,7 @@ def tokens(html: str):
     """Tokens of a page in order: (kind, place, boilerplate, in_root, text).
 
     kind 0 is a tag (place: its name), 1 a run of text (place: the innermost
-    block around it). boilerplate: it stands in a menu, form, advert or the
+    block around it, or ``a`` in a link of a list or table). boilerplate: it stands in a menu, form, advert or the
     like. Scripts, styles, titles, comments and declarations give nothing.
     End tags close the innermost open element of their name; the rest that
     authors leave open is closed with it. A wrapper whose class merely holds
@@ -88,6 +99,8 @@ def tokens(html: str):
 
     def run(text):
         block = next((n for n, _, _ in reversed(stack) if n in BLOCKS), "body")
+        if block in LISTED and any(n == "a" for n, _, _ in stack[-3:]):
+            block = "a"
         _, bad, root = stack[-1] if stack else ("", TEXT, False)
         return 1, block, bad > TEXT, root, unescape(text)
 
@@ -171,7 +184,7 @@ def clip(x: float, limits: tuple[float, float]) -> float:
 
 def prior(place: str, bad: bool) -> tuple[float, float]:
     """Pseudo counts (inside, outside) where no label speaks."""
-    return (0.05, 5.0) if bad else (0.5, 1.0) if place in ("td", "th", "li", "dt", "header", "other") else (2.0, 1.0)
+    return (0.05, 5.0) if bad else (0.5, 1.0) if place in ("a", "header", "other") else (1.5, 1.0) if place in LISTED else (2.0, 1.0)
 
 
 def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
@@ -222,12 +235,26 @@ def score(kind: int, place: str, bad: bool, root: bool, n: int, weights: dict[st
     return w * (n if kind else 1)
 
 
+def with_interruptions(scores: list[float], bad: list[bool], words: list[int]) -> list[float]:
+    """Scores in which no run of boilerplate tokens, with the empty text among them, costs more than INTERRUPTION."""
+    out, start = list(scores), None
+    for k in range(len(scores) + 1):
+        if k < len(scores) and (bad[k] or (start is not None and not words[k] and scores[k] == 0.0)):
+            start = k if start is None else start
+        elif start is not None:
+            out[start:k] = [max(sum(out[start:k]), -INTERRUPTION)] + [0.0] * (k - start - 1)
+            start = None
+    return out
+
+
 def main_text(html: str | None, weights: dict[str, float]) -> str:
     """Main text of a page: "" for a null or empty page or one without content.
 
     White space becomes single spaces, blocks are joined by one space.
     Outside an ``<article>`` or ``<main>``, words count as boilerplate if the
-    page has such an element and it holds words.
+    page has such an element and it holds words; of several such elements all
+    may be text, whatever stands between them. Pages of any length are read
+    whole; of equal regions the first and shortest is taken.
     """
     if not html:
         return ""
@@ -235,7 +262,7 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
     rooted = any(r and not b and n for _, _, b, r, _, n in seen)
     seen = [(k, p, b or (rooted and not r), r, t, n) for k, p, b, r, t, n in seen]
     scores = [score(k, p, b, r, n, weights) for k, p, b, r, _, n in seen]
-    i, j = best_region(scores)
+    i, j = best_region(with_interruptions(scores, [b for _, _, b, *_ in seen], [n if k else 1 for k, *_, n in seen]))
     parts = [" " if k == 0 and p not in INLINE else t for k, p, b, _, t, _ in seen[i:j] if k == 0 or not b]
     return " ".join("".join(parts).split())
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -82,6 +83,68 @@ def test_wrappers_with_hint_words_keep_their_article():
     assert extract.main_text(page("<p>No root of its own here.</p>" + comments + related), weights) == "No root of its own here."
 
 
+LEARNED = extract.weights_of({("1+p", True): 9000, ("0+p", True): 90, ("1-div", False): 9000, ("1+a", False): 500, ("1-a", False): 500, ("0-div", False): 90})
+
+
+def test_text_on_both_sides_of_an_interruption_stays():
+    """Without a root too, and between several roots; long, short and at the edges."""
+    words = "nine words of an advert that nobody will read "
+    parts = ["<div class='ad'>" + words + "</div>", "<form><p>mail me</p></form>", "<aside>" + words * 5 + "</aside>",
+             "<div class='ad'>" + words * 200 + "</div> <div class='share-buttons'>tell others</div>", "<nav><ul><li><a>menu</a></li></ul></nav>"]
+    for weights in (extract.weights_of({}), LEARNED):
+        for part in [*parts, "".join(parts), " ".join(parts)]:
+            html = page(f"{part}<div id=content><p>First part here.</p>{part}<p>Last.</p></div>{part}")
+            assert extract.main_text(html, weights) == "First part here. Last."
+            html = page(f"{part}<article><p>one</p></article>{part}<article><p>and two</p></article>{part}")
+            assert extract.main_text(html, weights) == "one and two"
+        html = page("<ul><li><a href=/>Home</a></li><li><a href=/b><b>News</b></a></li></ul><p>Some text stands here.</p><ul><li>one point</li><li>another</li></ul>"
+                    "<table><tr><td>3</td><td>4 m</td></tr></table><div class='footer-links'><a>legal</a></div>")
+        assert extract.main_text(html, weights) == "Some text stands here. one point another 3 4 m"
+
+
+def test_names_that_merely_hold_a_hint_word_are_text():
+    weights = extract.weights_of({})
+    for name in ("social-issues", "notice-of-intent", "alert-fatigue", "search-results-explained", "legal_history", "header-files"):
+        assert extract.main_text(page(f"<article><div class='{name}'>whole text</div></article>"), weights) == "whole text"
+        assert extract.main_text(page(f"<div class='{name}'><p>whole text</p></div>"), weights) == "whole text"
+    assert extract.main_text(page("<main><div class='article-header'><h1>Head</h1></div><p>text</p></main>"), weights) == "Head text"
+    for name in ("share-buttons", "cookie-notice", "newsletter-box", "social_links", "page-header", "ad", "breadcrumb-list", "ads-top", "legal"):
+        assert extract.main_text(page(f"<article><p>text</p><div class='{name}'>not this</div></article>"), weights) == "text"
+
+
+def test_weights_decide_how_far_a_region_reaches():
+    """The same page, without a root, by two sets of weights."""
+    html = page("<div>some words of a div</div><p>a p</p>")
+    assert extract.main_text(html, extract.weights_of({})) == "some words of a div a p"
+    assert extract.main_text(html, extract.weights_of({("1+div", False): 900, ("1+p", True): 900})) == "a p"
+
+
+def brute_interruptions(scores, bad):
+    """Best sum over all regions if each run of boilerplate inside one counts at least -INTERRUPTION."""
+    best = 0.0
+    for a in range(len(scores)):
+        for b in range(a + 1, len(scores) + 1):
+            total = sum(s for s, x in zip(scores[a:b], bad[a:b], strict=True) if not x)
+            runs = "".join("-" if x else "+" for x in bad[a:b])
+            at = a
+            for run in re.findall(r"-+|\++", runs):
+                if run[0] == "-":
+                    total += max(sum(scores[at:at + len(run)]), -extract.INTERRUPTION)
+                at += len(run)
+            best = max(best, total)
+    return best
+
+
+def test_interruptions_cost_a_bounded_amount():
+    r = random.Random(2)
+    for _ in range(300):
+        bad = [r.random() < 0.5 for _ in range(r.randint(0, 12))]
+        scores = [-r.choice([0.05, 0.1, 4.0]) if b else r.choice([0.7, 1.0, -0.05, -0.5]) for b in bad]
+        flat = extract.with_interruptions(scores, bad, [1] * len(bad))
+        i, j = extract.best_region(flat)
+        assert abs(sum(flat[i:j]) - brute_interruptions(scores, bad)) < 1e-9
+
+
 def test_best_region_is_the_best():
     r = random.Random(1)
     for _ in range(300):
