@@ -8,6 +8,8 @@ formula here is plain IEEE arithmetic and gives the same bits everywhere.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,6 +35,31 @@ def pround_sql(expr: str, digits: int = 0) -> str:
             f"ELSE {r} + abs(fmod({r}, 2.0)) END) / {scale})")
 
 
+#: Terms of the series and of the continued fraction of ``erfc``, and where the one gives way to the other.
+ERFC_TERMS, ERFC_TAIL = 60, 2.5
+
+
+def erfc(x) -> Column:
+    """Complementary error function, null for null: a series near 0, a continued fraction in the tail; both are rational but for exp(-x^2)."""
+    x = col_of(x).cast("double")
+    a, t = F.abs(x), x * x
+    steps = F.sequence(F.lit(ERFC_TERMS), F.lit(1), F.lit(-1))
+    near = 1.0 - 2.0 / math.sqrt(math.pi) * a * F.exp(-t) * F.aggregate(steps, F.lit(1.0), lambda s, n: 1.0 + 2.0 * t / (2.0 * n + 1.0) * s)
+    fraction = F.aggregate(steps, F.lit(1.0), lambda s, n: 1.0 + n / (2.0 * F.greatest(t, F.lit(1.0))) / s)
+    tail = F.exp(-t) / (F.greatest(a, F.lit(1.0)) * math.sqrt(math.pi)) / fraction
+    positive = F.when(a < ERFC_TAIL, near).when(a >= ERFC_TAIL, tail)
+    return F.when(x < 0, 2.0 - positive).otherwise(positive)
+
+
+def erfc_sql(x: str) -> str:
+    """``erfc`` of a column name as DuckDB SQL."""
+    steps = f"[1.0::DOUBLE] || list_transform(range({ERFC_TERMS}, 0, -1), lambda n: CAST(n AS DOUBLE))"
+    near = f"(1.0 - 2.0 / sqrt(pi()) * abs({x}) * exp(-{x} * {x}) * list_reduce({steps}, lambda s, n: 1.0 + 2.0 * {x} * {x} / (2.0 * n + 1.0) * s))"
+    tail = f"(exp(-{x} * {x}) / (abs({x}) * sqrt(pi())) / list_reduce({steps}, lambda s, n: 1.0 + n / (2.0 * {x} * {x}) / s))"
+    positive = f"(CASE WHEN abs({x}) < {ERFC_TAIL} THEN {near} ELSE {tail} END)"
+    return f"(CASE WHEN {x} < 0 THEN 2.0 - {positive} ELSE {positive} END)"
+
+
 def safe_ratio(num, den) -> Column:
     """num / den with 0 denominators and non-finite results mapped to null."""
     n, d = col_of(num).cast("double"), col_of(den).cast("double")

@@ -12,13 +12,10 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
-from ..functions.numeric import col_of, pround
+from ..functions.numeric import col_of, erfc, pround
 from .ranking import grouped, median_of, Quantile, running_below, top_n_per_group
 
 
@@ -221,17 +218,12 @@ def linear_trend(df: DataFrame, y: str, x: str, by: Sequence[str] = ("city",)) -
                                F.regr_count(F.col(y).cast("double"), F.col(x).cast("double")).alias("pairs"))
 
 
-@pandas_udf(T.DoubleType())
-def _erfc(z: pd.Series) -> pd.Series:
-    return z.map(lambda v: math.erfc(v) if v == v else float("nan"))
-
-
 def mann_whitney(df: DataFrame, value: str, group: str, first) -> DataFrame:
     """AG29: two-sided Mann-Whitney U with tie correction and continuity (normal approximation).
 
     Pooled average ranks come from distinct-value counts with range-split
     running totals (no single-task window). Output is one row: U of the
-    ``first`` group, sizes, tie term, z and p (``erfc`` on the one result row).
+    ``first`` group, sizes, tie term, z and p.
     """
     x = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull()).select(
         F.col(value).cast("double").alias("v"), (F.col(group) == F.lit(first)).cast("int").alias("g1"))
@@ -249,7 +241,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, first) -> DataFrame:
     sigma = F.sqrt(n1 * n2 / 12.0 * ((n + 1) - F.col("tie_term") / (n * (n - 1))))
     z = (F.abs(u1 - mu) - 0.5) / sigma
     out = s.select(u1.alias("u_statistic"), F.col("n1"), F.col("n2"), F.col("tie_term"), z.alias("z"))
-    return out.withColumn("p_value", F.least(F.lit(1.0), _erfc(F.col("z") / math.sqrt(2.0))))
+    return out.withColumn("p_value", F.least(F.lit(1.0), erfc(F.col("z") / math.sqrt(2.0))))
 
 
 def five_number_summary(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:

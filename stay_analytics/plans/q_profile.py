@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import pround
+from ..functions.numeric import erfc_sql, pround
 from ..operators import profile as pf
 from ..sources import fixtures as fx
 from .registry import register
@@ -217,9 +217,9 @@ def mann_whitney(spark, sf_dir):
     return pf.mann_whitney(fx.listings(spark, sf_dir), "price_eur", "has_wifi", 1).drop("p_value")
 
 
-@register("ag29_mann_whitney_p")
+@register("ag29_mann_whitney_p", "SELECT * EXCLUDE (h), least(1.0, " + erfc_sql("h") + ") AS p_value FROM (SELECT *, z / sqrt(2.0) AS h FROM (" + _MW_SQL + "))")
 def mann_whitney_p(spark, sf_dir):
-    """AG29: two-sided normal-approximation p-value (erfc on the one result row)."""
+    """AG29: two-sided normal-approximation p-value."""
     return pf.mann_whitney(fx.listings(spark, sf_dir), "price_eur", "has_wifi", 1)
 
 

@@ -53,3 +53,14 @@ def test_payload_rates(spark):
     r = df.select(F.inline(P.payload_rates("p"))).collect()
     assert str(r[0]["date"]) == "2025-01-02" and r[0]["nightly_rate"] == 120.5 and r[0]["available"] is True
     assert r[1]["nightly_rate"] == 99.0 and r[1]["available"] is False and r[1]["minimum_nights"] == 2
+
+
+def test_erfc_equals_the_library(spark):
+    import math
+
+    from stay_analytics.functions.numeric import erfc
+
+    xs = [k / 16 for k in range(-96, 400)] + [2.5, -2.5, 0.0]
+    rows = spark.createDataFrame([(x,) for x in xs] + [(None,)], "x double").select("x", erfc("x").alias("y")).collect()
+    for r in rows:
+        assert r.y is None if r.x is None else math.isclose(r.y, math.erfc(r.x), rel_tol=1e-11)
