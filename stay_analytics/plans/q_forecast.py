@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calendar as cl
 from ..operators import forecast as fc
+from ..session import spread
 from ..sources import fixtures as fx
 from .registry import register
 from .sqlkit import pround_sql, with_views
@@ -272,7 +273,7 @@ def scenario_candidates(spark, sf_dir):
 def scenario_scoring(spark, sf_dir):
     """FC7: scenario rows completed with per-city defaults (coalesce) and scored by a pipeline model."""
     from ..operators import ml
-    l = fx.listings(spark, sf_dir).filter(F.col("price_eur") > 0)
+    l = spread(fx.listings(spark, sf_dir).filter(F.col("price_eur") > 0))
     model = ml.fit_price_model(l, "gbt", maxIter=10, maxDepth=4)
     num = [c for c in ml.NUMERIC_FEATURES if c in l.columns]
     defaults = grouped(l, ["city"], *[median_of(c).alias(c) for c in num],
