@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import pround
+from ..session import written_once
 from .filters import filter_listings, luxury_amenity_count, request_predicate
 from .ranking import grouped, median_of, Quantile, rank_scores
 
@@ -151,12 +152,13 @@ def style_scores(scored: DataFrame, style: str, limit: int, by: Sequence[str]) -
     names = _score_names()
     if style == "budget":
         # Narrow to price <= q65 when the pool is large enough; scores stay from the full pool.
+        scored = written_once(scored)  # read for the cut, the rows inside it and the ranking
         stats = grouped(scored, [*by], Quantile("price_eur", 0.65).alias("_cut"),
                                         F.count("price_eur").alias("_nprice"))
-        stats = stats.withColumn("_cut", F.when(F.col("_nprice") >= max(limit, 8), F.col("_cut")))
+        stats = written_once(stats.withColumn("_cut", F.when(F.col("_nprice") >= max(limit, 8), F.col("_cut"))))
         joined = _attach(scored, stats, by)
         inside = F.coalesce(F.col("price_eur") <= F.col("_cut"), F.lit(False))
-        kept = joined.groupBy(*by).agg(F.sum(inside.cast("int")).alias("_nin"))
+        kept = written_once(joined.groupBy(*by).agg(F.sum(inside.cast("int")).alias("_nin")))
         joined = _attach(joined, kept, by)
         narrow = F.col("_cut").isNotNull() & (F.col("_nin") >= min(limit, 3))
         ranked = joined.filter(~narrow | inside).drop("_cut", "_nprice", "_nin")
@@ -164,13 +166,12 @@ def style_scores(scored: DataFrame, style: str, limit: int, by: Sequence[str]) -
     if style == "value":
         return scored.withColumn("recommendation_style_score", _weighted(VALUE_STYLE_WEIGHTS, names))
     if style == "luxury":
-        ranked = scored
+        scored = ranked = written_once(scored.drop(*[c for c in scored.columns if c.startswith("_s_")]))
         if "room_type" in scored.columns:
             entire = F.coalesce(F.lower(F.col("room_type").cast("string")) == "entire home/apt", F.lit(False))
-            cnt = scored.groupBy(*by).agg(F.sum(entire.cast("int")).alias("_nent"))
+            cnt = written_once(scored.groupBy(*by).agg(F.sum(entire.cast("int")).alias("_nent")))
             joined = _attach(scored, cnt, by)
             ranked = joined.filter((F.col("_nent") < min(limit, 3)) | entire).drop("_nent")
-        ranked = ranked.drop(*[c for c in ranked.columns if c.startswith("_s_")])
         specs = {
             "_l_rating": (_feature(ranked, "review_scores_rating", 4.0), True),
             "_l_value_rating": (_feature(ranked, "review_scores_value", 4.0), True),
@@ -202,12 +203,12 @@ def get_recommendations(df: DataFrame, limit: int = 10, by: Sequence[str] = (),
     by = list(by)
     pool = filter_listings(df, **filters)
     scored = add_value_score(pool, by, keep_ranks=True)
-    scored = scored.withColumn("recommendation_reason", recommendation_reason(scored))
     style_key = str(recommendation_style or "Value").strip().lower()
     ranked = style_scores(scored, style_key, limit, by)
     order = _sort_keys(style_key, ranked)
     rn = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     top = ranked.withColumn("rank", rn).filter(F.col("rank") <= limit)
+    top = top.withColumn("recommendation_reason", recommendation_reason(top))  # of the rows shown alone
     cols = list(dict.fromkeys([*by, "rank", *[c for c in DISPLAY_COLUMNS if c in top.columns], *extra_columns]))
     return top.select(*cols)
 
@@ -228,12 +229,12 @@ def recommend_batch(listings: DataFrame, requests: DataFrame, limit_col: str = "
                                    F.coalesce(F.col(f"r.{limit_col}"), F.lit(default_limit)).alias("_limit"),
                                    *[F.col(f"l.{c}") for c in listings.columns])
     scored = add_value_score(pairs, ["request_id"], keep_ranks=True)
-    scored = scored.withColumn("recommendation_reason", recommendation_reason(scored))
     style_key = str(style or "Value").strip().lower()
     ranked = style_scores(scored, style_key, default_limit, ["request_id"])
     order = _sort_keys(style_key, ranked)
     rn = F.row_number().over(Window.partitionBy("request_id").orderBy(*order))
     top = ranked.withColumn("rank", rn).filter(F.col("rank") <= F.col("_limit"))
+    top = top.withColumn("recommendation_reason", recommendation_reason(top))
     cols = ["request_id", "rank", *[c for c in DISPLAY_COLUMNS if c in top.columns]]
     return top.select(*cols)
 
@@ -358,7 +359,6 @@ def styled_recommendations(listings: DataFrame, base_requests: DataFrame, limit:
     pool = cut_lineage(pool)
     # one ranking pass for every request of every style (pool = request_id)
     scored = add_value_score(pool, ["request_id"], keep_ranks=True)
-    scored = scored.withColumn("recommendation_reason", recommendation_reason(scored))
     outs = []
     for style in STYLE_CONFIG:
         ranker = STYLE_RANKER[style]
@@ -366,6 +366,7 @@ def styled_recommendations(listings: DataFrame, base_requests: DataFrame, limit:
         order = _sort_keys(ranker, ranked)
         rn = F.row_number().over(Window.partitionBy("request_id").orderBy(*order))
         top = ranked.withColumn("rank", rn).filter(F.col("rank") <= limit)
+        top = top.withColumn("recommendation_reason", recommendation_reason(top))
         outs.append(top.select("request_id", "style", "rank", "relaxation_level", "price_floor", "amenity_floor",
                                *[c for c in DISPLAY_COLUMNS if c in top.columns]))
     res = outs[0]
@@ -427,14 +428,14 @@ def seasonal_recommendations(pool: DataFrame, season_cols: dict, by: Sequence[st
     season columns, so every season is ranked in the same pass.
     """
     by = list(by)
-    from ..session import cut_lineage
-    # the scored pool feeds the season ranks, their probe and the join-back: materialise once
-    scored = cut_lineage(add_value_score(pool, by))
-    long = scored.select("*", F.inline(F.array(*[F.struct(F.lit(s).alias("season"),
-                                                          F.col(c).cast("double").alias("season_unavailable"))
-                                               for s, c in season_cols.items()])))
-    known = grouped(long, [*by, "season"], F.count("season_unavailable").alias("_nk"),
-                                           median_of("season_unavailable").alias("_med"))
+    # the scored pool feeds the season ranks, their probe and the join-back: written once, without what is not shown
+    keep = [*by, "listing_id", "price_eur", "review_scores_rating", "value_score"]
+    scored = written_once(add_value_score(pool, by).select(*dict.fromkeys(keep), *[F.col(c).alias(f"_u_{i}") for i, c in enumerate(season_cols.values())]))
+    long = scored.select(*dict.fromkeys(keep), F.inline(F.array(*[F.struct(F.lit(s).alias("season"),
+                                                                       F.col(f"_u_{i}").cast("double").alias("season_unavailable"))
+                                                             for i, s in enumerate(season_cols)])))
+    known = written_once(grouped(long, [*by, "season"], F.count("season_unavailable").alias("_nk"),
+                                 median_of("season_unavailable").alias("_med")))
     long = long.join(known.filter(F.col("_nk") > 0), [*by, "season"])
     ranked = rank_scores(long, {"_fit": ("season_unavailable", False)}, [*by, "season"])
     ranked = (ranked.withColumn("season_fit_score", pround(F.col("_fit") * 100, 1))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -69,6 +70,21 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def written_once(df, partition: str | None = None):
+    """``df`` written once as parquet into the checkpoint folder and read back.
+
+    Unlike a checkpoint, which holds whole rows uncompressed, a use reads only
+    the columns it needs, and the planner knows the table's size, so small
+    tables are broadcast without a shuffle of the large side.
+    """
+    if any("void" in f.dataType.simpleString() for f in df.schema):  # parquet has no such type
+        return cut_lineage(df)
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    writer = df.write.partitionBy(partition) if partition else df.write
+    writer.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Rows that one task of a fit reads: at least so many (fewer would cost more tasks than they save), and at most.
 LEAST_ROWS, MOST_ROWS = 1 << 13, 1 << 18
 
