@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from . import citywise as cw
 
 #: Added to the variances of every component, and the least of its variances along any direction.
@@ -31,10 +31,13 @@ WARM_STEPS = 10
 #: A component with less mass than this has no rows left; it takes no further part.
 LEAST_MASS = 1e-8
 LOW_CONFIDENCE = 0.60
+#: Log of the probability of a component without mass; finite, as products with an infinity may give no number.
+NO_CHANCE = -1e300
 #: Mixtures are copied to all tasks while their sums take at most so many bytes; beyond, blocks and mixtures meet by group and salt.
 COPIED_BYTES = 64 << 20
 SALTS = 32
-#: A task sends what it holds of its groups when these are so many.
+#: Rows of a block that meet all components at once, and the groups after which a task sends what it holds.
+CHUNK_ROWS = 512
 HELD_GROUPS = 256
 
 
@@ -60,26 +63,42 @@ def parameters(sums: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return np.where(live, mass, 0.0) / mass[live].sum(), means, covariances
 
 
-def log_joint(x: np.ndarray, sums: np.ndarray) -> np.ndarray:
-    """Log of weight times density of every row under every component; -inf for a component without mass."""
-    d = x.shape[1]
+def coefficients(sums: np.ndarray, d: int) -> np.ndarray:
+    """Per component the numbers that, times ``product_rows``, give the log of weight times density.
+
+    That log is a polynomial of degree two in the features, so all components
+    of all runs take one matrix product. A component without mass has next to
+    nothing everywhere.
+    """
     weights, means, covariances = parameters(sums, d)
-    out = np.full((len(x), len(sums)), -np.inf)
-    for c in np.flatnonzero(weights > 0):
-        spread, axes = np.linalg.eigh(covariances[c] + RIDGE * np.eye(d))
-        spread = np.maximum(spread, RIDGE)
-        z = (x - means[c]) @ (axes / np.sqrt(spread))
-        out[:, c] = np.log(weights[c]) - 0.5 * (d * np.log(2 * np.pi) + np.log(spread).sum() + (z * z).sum(axis=1))
+    live = weights > 0
+    spread, axes = np.linalg.eigh(covariances + RIDGE * np.eye(d))
+    spread = np.maximum(spread, RIDGE)
+    inverse = (axes / spread[:, None, :]) @ axes.transpose(0, 2, 1)
+    linear = (inverse @ means[:, :, None])[:, :, 0]
+    constant = np.log(np.where(live, weights, 1.0)) - 0.5 * (d * np.log(2 * np.pi) + np.log(spread).sum(axis=1) + (linear * means).sum(axis=1))
+    i, j = np.triu_indices(d)
+    out = np.column_stack([constant, linear, np.where(i == j, -0.5, -1.0) * inverse[:, i, j]])
+    out[~live] = 0.0
+    out[~live, 0] = NO_CHANCE
     return out
 
 
+def shares_of(joint: np.ndarray) -> np.ndarray:
+    """Log-likelihood of each row of ``joint`` (components x ... x rows), which becomes the rows' probabilities in place."""
+    top = joint.max(axis=0)
+    joint -= top
+    np.exp(joint, out=joint)
+    total = joint.sum(axis=0)
+    joint /= total
+    return top + np.log(total)
+
+
 def memberships(x: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log-likelihood of each row, its probability for each component)."""
-    joint = log_joint(x, sums)
-    top = joint.max(axis=1, keepdims=True)
-    shares = np.exp(joint - top)
-    total = shares.sum(axis=1, keepdims=True)
-    return (top + np.log(total))[:, 0], shares / total
+    joint = coefficients(sums, x.shape[1]) @ product_rows(x).T
+    ll = shares_of(joint)
+    return ll, joint.T
 
 
 def copied(runs: DataFrame, d: int) -> bool:
@@ -109,29 +128,85 @@ def merged_sums(parts: DataFrame, d: int) -> DataFrame:
         F.sum("ll").alias("log_likelihood"), F.first("before").alias("before"))
 
 
-def _summing(d: int, column: str, share):
-    """A pass over blocks that adds up what ``share(x, model)`` gives: (log-likelihood of the rows, rows x components)."""
+class _Runs:
+    """The runs of one group and what a task has added up for them; a row of ``sums`` per component, runs of equal k side by side."""
+
+    def __init__(self, models: list[dict], column: str, d: int):
+        self.d, by_k = d, {}
+        for m in models:
+            by_k.setdefault(m["k"], []).append(m)
+        self.parts, arrays, at = [], [], 0  # (k, its runs, first row); rows are in order of component, then run
+        for k, own in by_k.items():
+            arrays.append(np.array([m[column] for m in own], dtype=np.float64).transpose(1, 0, 2).reshape(k * len(own), -1))
+            self.parts.append((k, own, at))
+            at += k * len(own)
+        self.given = np.concatenate(arrays)
+        self.sums = np.zeros((at, sums_width(d)))
+        self.ll = [np.zeros(len(own)) for _, own, _ in self.parts]
+
+    def rows(self, group: str) -> list[tuple]:
+        out = []
+        for (k, own, at), ll in zip(self.parts, self.ll, strict=True):
+            sums = self.sums[at:at + k * len(own)].reshape(k, len(own), -1)
+            out += [(group, k, m["start"], c, sums[c, r].tolist(), float(ll[r]) if c == 0 else 0.0, m["before"]) for r, m in enumerate(own) for c in range(k)]
+        return out
+
+
+class _Soft(_Runs):
+    """Runs whose rows belong to all components of a mixture, each by its probability."""
+
+    def __init__(self, models, column, d):
+        super().__init__(models, column, d)
+        self.factors = np.concatenate([self._of_runs(*part) for part in self.parts])
+
+    def _of_runs(self, k, own, at):
+        """Weights are shares of a run's mass, so every run has its own."""
+        given = self.given[at:at + k * len(own)].reshape(k, len(own), -1)
+        return np.stack([coefficients(given[:, r], self.d) for r in range(len(own))], axis=1).reshape(k * len(own), -1)
+
+    def add(self, x):
+        products = product_rows(x)
+        joint = self.factors @ products.T
+        for (k, own, at), ll in zip(self.parts, self.ll, strict=True):
+            ll += shares_of(joint[at:at + k * len(own)].reshape(k, len(own), len(x))).sum(axis=1)
+        self.sums += joint @ products
+
+
+class _Hard(_Runs):
+    """Runs whose rows belong to the nearest centre, the first on a tie."""
+
+    def add(self, x):
+        products, squares = product_rows(x), (x ** 2).sum(axis=1)
+        distance = squares - 2.0 * self.given @ x.T + (self.given ** 2).sum(axis=1)[:, None]
+        shares = np.zeros((len(self.given), len(x)))
+        for k, own, at in self.parts:
+            label = distance[at:at + k * len(own)].reshape(k, len(own), len(x)).argmin(axis=0)
+            shares[at:at + k * len(own)] = (label == np.arange(k)[:, None, None]).reshape(k * len(own), len(x))
+        self.sums += shares @ products
+
+
+def _summing(d: int, column: str, kind: type[_Runs]):
+    """A pass over blocks that adds up the rows of each component of each run: their mass, sums and sums of products."""
     names = ["group", "k", "start", "component", "sums", "ll", "before"]
     types = [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.float64(), pa.float64()]
 
     def sent(held):
-        out = [(*run, c, row, ll if c == 0 else 0.0, before) for run, (sums, ll, before) in held.items() for c, row in enumerate(sums.tolist())]
+        out = [row for group, runs in held.items() for row in runs.rows(group)]
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     def run(batches):
-        held: dict = {}
+        held: dict[str, _Runs] = {}
         for batch in batches:
-            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("group", "x", "runs")]
-            for group, data, models in zip(*columns, strict=True):
-                x = np.frombuffer(data, dtype=np.float64).reshape(-1, d)
-                products = product_rows(x)
-                for m in models:
-                    ll, shares = share(x, np.array(m[column], dtype=np.float64))
-                    sums, total, _ = held.get((group, m["k"], m["start"]), (0.0, 0.0, None))
-                    held[group, m["k"], m["start"]] = sums + shares.T @ products, total + float(ll.sum()), m["before"]
-            if len({g for g, _, _ in held}) >= HELD_GROUPS:
-                yield sent(held)
-                held = {}
+            groups, data, models = [batch.column(batch.schema.get_field_index(c)) for c in ("group", "x", "runs")]
+            for row, group in enumerate(groups.to_pylist()):
+                if group not in held:
+                    if len(held) >= HELD_GROUPS:
+                        yield sent(held)
+                        held = {}
+                    held[group] = kind(models[row].as_py(), column, d)
+                x = np.frombuffer(data[row].as_py(), dtype=np.float64).reshape(-1, d)
+                for i in range(0, len(x), CHUNK_ROWS):
+                    held[group].add(x[i:i + CHUNK_ROWS])
         if held:
             yield sent(held)
 
@@ -141,22 +216,15 @@ def _summing(d: int, column: str, share):
 _PARTS = "group string, k int, start int, component int, sums array<double>, ll double, before double"
 
 
-def _hard(x: np.ndarray, centres: np.ndarray):
-    label = ((x ** 2).sum(axis=1)[:, None] - 2.0 * x @ centres.T + (centres ** 2).sum(axis=1)).argmin(axis=1)
-    shares = np.zeros((len(x), len(centres)))
-    shares[np.arange(len(x)), label] = 1.0
-    return np.zeros(len(x)), shares
-
-
 def first_mixtures(blocks: DataFrame, runs: DataFrame, d: int, copy: bool = False) -> DataFrame:
     """The mixture whose components are the rows nearest to the centres of each k-means run."""
-    parts = with_mixtures(blocks, runs, "centres", copy).mapInArrow(_summing(d, "centres", _hard), _PARTS)
+    parts = with_mixtures(blocks, runs, "centres", copy).mapInArrow(_summing(d, "centres", _Hard), _PARTS)
     return merged_sums(parts, d).drop("log_likelihood", "before")
 
 
 def em_step(blocks: DataFrame, runs: DataFrame, d: int, copy: bool = False) -> DataFrame:
     """Every run after one step; ``log_likelihood`` is that of the mixture before it, ``before`` the one that ``runs`` came with."""
-    return merged_sums(with_mixtures(blocks, runs, "sums", copy).mapInArrow(_summing(d, "sums", memberships), _PARTS), d)
+    return merged_sums(with_mixtures(blocks, runs, "sums", copy).mapInArrow(_summing(d, "sums", _Soft), _PARTS), d)
 
 
 def fit_runs(blocks: DataFrame, runs: DataFrame, d: int, copy: bool = False, most_steps: int = MOST_STEPS, settled: float = SETTLED) -> DataFrame:
@@ -181,7 +249,7 @@ def fit(df: DataFrame, features: Sequence[str], key: str, ks: Sequence[int], sta
     Repeated rows count as often as they occur.
     """
     d = len(features)
-    df = cut_lineage(df.select(key, by, *features))
+    df = spread(df.select(key, by, *features))
     blocks = cw.feature_blocks(df, features, key, by)
     cores = df.sparkSession.sparkContext.defaultParallelism
     if blocks.rdd.getNumPartitions() < cores:  # few, large steps of a small table would leave cores idle
@@ -199,23 +267,57 @@ def fit(df: DataFrame, features: Sequence[str], key: str, ks: Sequence[int], sta
 
 
 def scored_rows(blocks: DataFrame, runs: DataFrame, d: int) -> DataFrame:
-    """(group, k, key, component, probability, ll, x): every row by every run, its likeliest component (the first on a tie) and log-likelihood."""
-    names = ["group", "k", "key", "component", "probability", "ll", "x"]
+    """(group, k, key, component, probability): every row by every run, its likeliest component (the first on a tie)."""
+    names = ["group", "k", "key", "component", "probability"]
 
     def run(batches):
         for batch in batches:
             columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("group", "keys", "x", "runs")]
             for group, keys, data, models in zip(*columns, strict=True):
                 x = np.frombuffer(data, dtype=np.float64).reshape(-1, d)
-                vectors = pa.array(list(x), pa.list_(pa.float64()))
                 for m in models:
-                    ll, shares = memberships(x, np.array(m["sums"], dtype=np.float64))
+                    _, shares = memberships(x, np.array(m["sums"], dtype=np.float64))
                     yield pa.RecordBatch.from_arrays([pa.array([group] * len(keys)), pa.array([m["k"]] * len(keys), pa.int32()), pa.array(keys, pa.int64()),
-                                                      pa.array(shares.argmax(axis=1).astype(np.int32)), pa.array(shares.max(axis=1)), pa.array(ll), vectors],
-                                                     names=names)
+                                                      pa.array(shares.argmax(axis=1).astype(np.int32)), pa.array(shares.max(axis=1))], names=names)
 
     return with_mixtures(blocks, runs, "sums", copied(runs, d)).mapInArrow(
-        run, "group string, k int, key bigint, component int, probability double, ll double, x array<double>")
+        run, "group string, k int, key bigint, component int, probability double")
+
+
+def mixture_facts(blocks: DataFrame, runs: DataFrame, d: int, copy: bool = False) -> DataFrame:
+    """(group, k, start, rows, log_likelihood, probability, low, clusters, facts) of every run; rows stay in their blocks.
+
+    probability and low add up the rows' largest memberships and count those
+    below LOW_CONFIDENCE. ``facts`` are, per component, the number of rows it
+    is the likeliest for, the sums of their features and of their squared lengths.
+    """
+    totals = ["rows", "ll", "probability", "low"]
+
+    def run(batches):
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("group", "x", "runs")]
+            out = []
+            for group, data, models in zip(*columns, strict=True):
+                x = np.frombuffer(data, dtype=np.float64).reshape(-1, d)
+                added = np.column_stack([np.ones(len(x)), x, (x ** 2).sum(axis=1)])
+                for m in models:
+                    ll, shares = memberships(x, np.array(m["sums"], dtype=np.float64))
+                    label, most = shares.argmax(axis=1), shares.max(axis=1)
+                    facts = (label == np.arange(m["k"])[:, None]).astype(np.float64) @ added
+                    out += [(group, m["k"], m["start"], c, facts[c].tolist(), *((len(x), ll.sum(), most.sum(), (most < LOW_CONFIDENCE).sum()) if c == 0 else (0,) * 4))
+                            for c in range(m["k"])]
+            if out:
+                columns = zip(zip(*out, strict=True), [pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), *[pa.float64()] * 4], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns], names=["group", "k", "start", "component", "facts", *totals])
+
+    parts = with_mixtures(blocks, runs, "sums", copy).mapInArrow(run, "group string, k int, start int, component int, facts array<double>, " + ", ".join(
+        f"{c} double" for c in totals))
+    one = parts.groupBy("group", "k", "start", "component").agg(F.array(*[F.sum(F.col("facts")[i]) for i in range(d + 2)]).alias("facts"),
+                                                                *[F.sum(c).alias(c) for c in totals])
+    return one.groupBy("group", "k", "start").agg(
+        F.sum("rows").cast("long").alias("rows"), F.sum("ll").alias("log_likelihood"), F.sum("probability").alias("probability"), F.sum("low").alias("low"),
+        F.sum((F.col("facts")[0] > 0).cast("long")).alias("clusters"),
+        F.transform(F.array_sort(F.collect_list(F.struct("component", "facts"))), lambda s: s["facts"]).alias("facts"))
 
 
 def mixture_sweep(df: DataFrame, features: Sequence[str], key: str, ks: Sequence[int] = range(2, 9), starts: int = 5, by: str = "city") -> DataFrame:
@@ -226,17 +328,18 @@ def mixture_sweep(df: DataFrame, features: Sequence[str], key: str, ks: Sequence
     """
     d = len(features)
     blocks, best = fit(df, features, key, ks, starts, by)
-    rows = cut_lineage(scored_rows(blocks, best, d))
-    scores = cw.silhouette(rows, d, "component", "x", ["group", "k"]).select("group", "k", "silhouette")
-    each = rows.groupBy("group", "k").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("ll").alias("log_likelihood"), F.avg("probability").alias("mean_max_probability"),
-        F.avg((F.col("probability") < LOW_CONFIDENCE).cast("double")).alias("low_confidence_share"))
+    copy = copied(best, d)
+    facts = cut_lineage(mixture_facts(blocks, best, d, copy))
+    labels = lambda x, run: memberships(x, np.array(run["sums"], dtype=np.float64))[1].argmax(axis=1)
+    known = best.select("group", "k", "start", "sums").join(facts.select("group", "k", "start", "facts"), ["group", "k", "start"])
+    scores = cw.silhouette_sums(blocks, known, d, copy, labels, "sums")
     free = F.col("k") * sums_width(d) - 1  # per component a weight, a mean and a covariance; the weights sum to 1
-    return each.join(scores, ["group", "k"]).withColumn("parameters", free.cast("long")).select(
+    return facts.join(scores, ["group", "k", "start"]).withColumn("parameters", free.cast("long")).select(
         F.col("group").alias(by), "k", "rows", "parameters", "log_likelihood",
         (2 * F.col("parameters") - 2 * F.col("log_likelihood")).alias("aic"),
         (F.col("parameters") * F.log(F.col("rows").cast("double")) - 2 * F.col("log_likelihood")).alias("bic"),
-        "mean_max_probability", "low_confidence_share", "silhouette")
+        (F.col("probability") / F.col("rows")).alias("mean_max_probability"), (F.col("low") / F.col("rows")).alias("low_confidence_share"),
+        F.when(F.col("clusters") > 1, F.col("v") / F.col("rows")).alias("silhouette"))
 
 
 def mixture_segments(df: DataFrame, features: Sequence[str], key: str, k: int = 4, starts: int = 10, by: str = "city",

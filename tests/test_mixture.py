@@ -107,3 +107,30 @@ def test_axes_equal_numpy(points):
         mine = view[view.city == r.city]
         assert np.isclose(mine.pc1.var(ddof=0), r.variances[0], atol=1e-6) and np.isclose(mine.pc2.var(ddof=0), r.variances[1], atol=1e-6)
         assert np.allclose(mine.explained_variance_pc1, r.variances[0] / sum(r.variances) if sum(r.variances) > 1e-12 else mine.explained_variance_pc1)
+
+
+def test_coefficients_give_the_log_density():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, D))
+    x[:, 2] = x[:, 1]  # no variance along one direction
+    sums = np.stack([mx.product_rows(x[:25]).sum(axis=0), mx.product_rows(x[25:]).sum(axis=0), np.zeros(mx.sums_width(D))])
+    got = mx.coefficients(sums, D) @ mx.product_rows(x).T
+    for c, part in enumerate((x[:25], x[25:])):
+        assert np.allclose(got[c], np.log(density(x, len(part) / 40, part.mean(axis=0), np.cov(part.T, bias=True))), atol=1e-6)
+    ll, shares = mx.memberships(x, sums)
+    assert np.isfinite(ll).all() and (shares[:, 2] == 0).all() and np.allclose(shares.sum(axis=1), 1)
+
+
+def test_sweep_makes_no_row_per_row_and_run(points, monkeypatch):
+    blocks, best = mx.fit(points, FEATURES, "id", [2, 3], 1)
+    rows = mx.scored_rows(blocks, best, D).join(points.select(F.col("id").alias("key"), F.array(*FEATURES).alias("x")), "key")
+    want = {(r.group, r.k): r for r in cw.silhouette(rows, D, "component", "x", ["group", "k"]).collect()}
+    low = {(r.group, r.k): r for r in rows.groupBy("group", "k").agg(F.avg("probability").alias("p"), F.avg((F.col("probability") < 0.6).cast("int")).alias("low")).collect()}
+    monkeypatch.setattr(mx, "scored_rows", None)
+    got = mx.mixture_sweep(points, FEATURES, "id", [2, 3], 1).collect()
+    assert len(got) == len(want) == 6
+    for r in got:
+        w, p = want[r.city, r.k], low[r.city, r.k]
+        assert r.rows == w.rows and (r.silhouette is None) == (w.silhouette is None)
+        assert r.silhouette is None or np.isclose(r.silhouette, w.silhouette)
+        assert np.isclose(r.mean_max_probability, p.p) and np.isclose(r.low_confidence_share, p.low)
