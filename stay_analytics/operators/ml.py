@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import from_log_target, pround
-from ..session import at_once, ensure_checkpoint_dir, spread
+from ..session import at_once, ensure_checkpoint_dir, spread, written_once
 from .ranking import grouped, median_of, Quantile
 
 # ----------------------------------------------------------------- splits
@@ -67,13 +67,14 @@ def baseline_predictions(df: DataFrame, target: str = "price_eur", city: str = "
     Each grain's train medians are one aggregate; a test row takes the finest
     grain's median, then the next coarser, then the city median (cascade).
     """
+    df = written_once(df)  # read by every grain's medians and by the test rows
     train = df.filter(~F.col(is_test) & F.col(target).isNotNull())
     test = df.filter(F.col(is_test) & F.col(target).isNotNull())
     preds = test
     names = []
     for i, (_, grain) in enumerate(BASELINE_GRAINS):
         keys = [city, *grain]
-        med = grouped(train, [*keys], median_of(target).alias(f"_m{i}"))
+        med = written_once(grouped(train, [*keys], median_of(target).alias(f"_m{i}")))
         preds = preds.join(med, keys, "left")
         names.append(f"_m{i}")
     cascade = []
@@ -123,11 +124,11 @@ def error_segments(frame: DataFrame, segment_cols: Sequence[str], by: Sequence[s
     segmentations at once (unpivoted), groups with >= ``min_rows``. The price band segmentation
     uses the group's actual-price quartile edges."""
     by = list(by)
-    x = frame
+    x = written_once(frame)
     cols = list(segment_cols)
     if price_band_quartiles:
-        edges = grouped(x, by, *[Quantile("actual_price_eur", q).alias(f"_e{i}") for i, q in enumerate((0.25, 0.5, 0.75))]).select(
-            *by, F.array("_e0", "_e1", "_e2").alias("_e"))
+        edges = written_once(grouped(x, by, *[Quantile("actual_price_eur", q).alias(f"_e{i}") for i, q in enumerate((0.25, 0.5, 0.75))]).select(
+            *by, F.array("_e0", "_e1", "_e2").alias("_e")))
         x = x.join(edges, by)
         a = F.col("actual_price_eur")
         band = (F.when(a <= F.col("_e")[0], "low").when(a <= F.col("_e")[1], "mid-low")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import features as ft
 from ..operators import ml
-from ..session import spread
+from ..session import spread, written_once
 from ..sources import fixtures as fx
 from .registry import register
 from .sqlkit import pround_sql, with_views
@@ -106,9 +106,9 @@ SELECT city, model, segment_type, segment, count(*) AS rows, {pround_sql('avg(ab
 FROM lg GROUP BY city, model, segment_type, segment HAVING count(*) >= 30""")
 def error_segments(spark, sf_dir):
     """ML10: where the best baseline per city errs: MAE / median / p90 by five segmentations."""
-    frame = _baseline_frame(spark, sf_dir).withColumn("capacity_bucket", ft.capacity_bucket("accommodates"))
+    frame = written_once(_baseline_frame(spark, sf_dir).withColumn("capacity_bucket", ft.capacity_bucket("accommodates")))
     met = ml.regression_metrics(frame, ["city", "model"])
-    best = ml.leaderboard(met, ["city"], top=1).select("city", "model")
+    best = written_once(ml.leaderboard(met, ["city"], top=1).select("city", "model"))
     return ml.error_segments(frame.join(best, ["city", "model"]), _SEGS)
 
 
