@@ -64,3 +64,35 @@ def test_columns_without_a_type_are_kept(spark):
     df = written_once(spark.range(3).withColumn("nothing", F.lit(None)))
     assert df.count() == 3 and df.columns == ["id", "nothing"]
     assert written_once(spark.range(0)).count() == 0
+
+
+def test_baselines_and_error_segments_read_their_input_once(spark):
+    from stay_analytics.operators import ml
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = spark.range(240).selectExpr("id AS listing_id", "'A' AS city", "'N' AS neighbourhood_cleansed", "if(id % 2 = 0, 'x', 'y') AS room_type",
+                                       "cast(id % 3 AS int) AS accommodates", "cast(id % 17 AS double) AS price_eur", "id % 4 = 0 AS is_test")
+    frame = ml.prediction_frame(ml.baseline_predictions(rows.mapInArrow(seen, rows.schema)))
+    assert frame.count() == 4 * 60 and read.value == 240
+    read.value = 0
+    out = ml.error_segments(frame.mapInArrow(seen, frame.schema), ["room_type"]).collect()
+    assert read.value == 240 and {r.segment_type for r in out} == {"room_type"}  # the price bands have fewer than 30 rows each
+
+
+def test_segment_medians_meet_the_rows_without_a_shuffle_by_segment(spark, tmp_path):
+    from stay_analytics.plans import q_forecast
+    one = lambda name, row: spark.range(700).selectExpr(*row).write.parquet(str(tmp_path / f"{name}.parquet"))
+    one("orders", ["id AS o_orderkey", "id % 9 AS o_custkey", "cast(id * 1000 AS double) AS o_totalprice", "if(id % 2 = 0, '2-HIGH', '5-LOW') AS o_orderpriority"])
+    spark.range(9).selectExpr("id AS c_custkey", "0 AS c_nationkey", "'M' AS c_mktsegment", "1.0 AS c_acctbal").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.range(1).selectExpr("0 AS n_nationkey", "'N' AS n_name", "0 AS n_regionkey").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.range(1).selectExpr("0 AS r_regionkey", "'R' AS r_name").write.parquet(str(tmp_path / "region.parquet"))
+    one("lineitem", ["id AS l_orderkey", "1 AS l_linenumber", "2.0 AS l_quantity", "0.1 AS l_discount", "0.1 AS l_tax", "'A' AS l_returnflag"])
+    seg, city = q_forecast._predictions(spark, str(tmp_path))
+    for rows, price in ((seg, {349.0, 350.0}), (city, {349.0, 350.0})):
+        assert rows.count() == 700 and {r[0] for r in rows.select("predicted_nightly_price_eur").distinct().collect()} == price
+        assert "SortMergeJoin" not in plan_of(rows) and "Exchange hashpartitioning" not in plan_of(rows)
