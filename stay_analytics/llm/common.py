@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterable, Iterator
 
@@ -49,6 +50,19 @@ def text_bytes(batches: Iterable[pa.RecordBatch], most: int = 1 << 20,
         column = batch.column(batch.schema.get_field_index(text))
         for i, j in byte_slices(column, most):
             yield batch.slice(i, j - i), column.slice(i, j - i).cast(pa.binary()).to_pylist()
+        give_back()
+
+
+def give_back() -> None:
+    """Returns what this process has freed to the system.
+
+    Spark keeps its Python workers from stage to stage; without this each
+    holds on to the most that any of its tasks has needed.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
 
 
 def free_name(df: DataFrame, name: str) -> str:

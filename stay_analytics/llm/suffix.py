@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import TEXT_COLUMNS, keyed, repeated_segments, runs, window_anchors, with_copies
-from .common import column, partitions_for, text_bytes
+from .common import column, give_back, partitions_for, text_bytes
 from .hashing import mix, splits_of, window_hashes
 
 WINDOW_BYTES = 100
@@ -37,6 +37,8 @@ BLOCK_BYTES = 1 << 18
 SEGMENTS_PER_ANCHOR = 16384
 #: Longer texts are read in overlapping parts of so many bytes.
 PART_BYTES = 4 << 20
+#: Texts are hashed together up to about so many bytes; the arrays of a group stay in a core's cache.
+GROUP_BYTES = 1 << 16
 
 # --- suffix arrays ---------------------------------------------------------------------------------------------------
 
@@ -192,7 +194,7 @@ def byte_windows(texts: list[bytes], window: int, hashed: bool = False):
             continue
         group.append((row, 0, text))
         size += len(text)
-        if size >= 1 << 20:
+        if size >= GROUP_BYTES:
             yield from of(group)
             group, size = [], 0
     if group:
@@ -243,6 +245,7 @@ def sorted_repeats(window: int):
                 size += len(row[4])
         if block:
             yield search(block)
+        give_back()
 
     return run
 
