@@ -65,39 +65,71 @@ def smaller_than_next(symbols: np.ndarray) -> np.ndarray:
     return out
 
 
-def sort_directly(places: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
-    """``places`` in order of their suffixes, compared over the first ``depth`` symbols at least; ties by place."""
-    order, n = places[np.argsort(words[places], kind="stable")], len(words)
-    keys = words[order]
-    group = np.concatenate(([0], np.cumsum(keys[1:] != keys[:-1]))) if len(order) else np.zeros(0, dtype=np.int64)
-    for done in range(7, depth, 7):
-        size = np.bincount(group) if len(group) else np.zeros(0, dtype=np.int64)
-        tied = np.flatnonzero(size[group] > 1) if len(group) else group
-        if not len(tied):
-            break
+def ranks(keys: np.ndarray) -> np.ndarray:
+    """The rank of each key among the distinct keys, from 1."""
+    order = np.argsort(keys)
+    along = keys[order]
+    out = np.empty(len(keys), dtype=np.uint64)
+    out[order] = np.cumsum(np.concatenate(([True], along[1:] != along[:-1])))
+    return out
+
+
+def later(values: np.ndarray, by: int) -> np.ndarray:
+    """The value ``by`` places on from each place; 0 beyond the end."""
+    return np.concatenate((values[by:], np.zeros(min(by, len(values)), dtype=values.dtype)))
+
+
+def run_ranks(words: np.ndarray, most: int) -> tuple[np.ndarray, int]:
+    """Ranks of the runs of symbols from each place on, and the runs' length: 7, 14 or 28, over ``most`` only if 7 is.
+
+    Ranks grow with the runs' order; what lies beyond the end is smaller than any symbol.
+    """
+    out, width = ranks(words), 7
+    while width < 28 and 2 * width <= most:
+        out = ranks((out << np.uint64(32)) | later(out, width))
+        width *= 2
+    return out, width
+
+
+def sort_directly(places: np.ndarray, runs: np.ndarray, width: int, depth: int) -> np.ndarray:
+    """``places`` in order of their suffixes, compared over the first ``depth`` symbols at least; ties by place.
+
+    ``runs`` has the rank of the run of ``width`` symbols from each place on.
+    """
+    order, n = places.copy(), len(runs)
+    if not len(order):
+        return order
+    bits = [np.uint64(int(x).bit_length()) for x in (len(order), runs.max())]
+    tied, group = np.arange(len(order)), np.zeros(len(order), dtype=np.uint64)  # places yet to part, and the number of their group
+    for done in range(0, depth, width):
         at = order[tied] + done
-        key = np.where(at < n, words[np.minimum(at, n - 1)], 0)
-        again = np.lexsort((key, group[tied]))
+        key = (group << bits[1]) | np.where(at < n, runs[np.minimum(at, n - 1)], np.uint64(0))
+        number = np.arange(len(tied), dtype=np.uint64)
+        if int(key.max()).bit_length() + int(bits[0]) <= 64:  # one sort of plain numbers is much faster than one of places
+            both = np.sort((key << bits[0]) | number)
+            key, again = both >> bits[0], (both & ((np.uint64(1) << bits[0]) - np.uint64(1))).astype(np.int64)
+        else:
+            again = np.argsort(key, kind="stable")
+            key = key[again]
         order[tied] = order[tied][again]
-        key, of = key[again], group[tied]
-        new = np.zeros(len(order), dtype=bool)
-        new[0] = False
-        new[tied[1:]] = (of[1:] != of[:-1]) | (key[1:] != key[:-1])
-        first = np.concatenate(([True], group[1:] != group[:-1]))
-        group = np.cumsum(first | new) - 1
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        lone = new & np.concatenate((new[1:], [True]))
+        tied, group = tied[~lone], np.cumsum(new)[~lone].astype(np.uint64)
+        if not len(tied):
+            break
+        group = np.cumsum(np.concatenate(([False], group[1:] != group[:-1]))).astype(np.uint64)
     return order
 
 
-def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
+def suffix_array(symbols: np.ndarray, depth: int, ranked: tuple[np.ndarray, int] | None = None) -> np.ndarray:
     """Places of the suffixes in order, by two-stage sorting; suffixes equal over ``depth`` symbols stand together.
 
     ``symbols`` are numbers from 0 to 256 and end with a 0, which stands for
-    the end of a segment.
+    the end of a segment; ``ranked`` are their ``run_ranks``, if known.
     """
     n = len(symbols)
-    words = packed(symbols)
     small = np.flatnonzero(smaller_than_next(symbols))
-    direct = sort_directly(small, words, depth)
+    direct = sort_directly(small, *(ranked or run_ranks(packed(symbols), depth)), depth)
     heads = np.searchsorted(symbols[direct], np.arange(258))
     waiting: list[list[np.ndarray]] = [[] for _ in range(257)]
     waiting[int(symbols[-1])].append(np.array([n - 1]))
@@ -147,6 +179,18 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray, most: int) -> np.nda
     return np.minimum(out, most)
 
 
+def equal_neighbours(runs: np.ndarray, width: int, order: np.ndarray, depth: int) -> np.ndarray:
+    """Whether each suffix in order and the one before it are equal over ``depth`` symbols, ``width`` at least; the first is not."""
+    out = np.zeros(len(order), dtype=bool)
+    same, n = np.arange(1, len(order)), len(runs)
+    for done in [*range(0, depth - width, width), depth - width]:
+        a, b = order[same] + done, order[same - 1] + done
+        inside = (a < n) & (b < n)
+        same = same[inside & (runs[np.minimum(a, n - 1)] == runs[np.minimum(b, n - 1)])]
+    out[same] = True
+    return out
+
+
 def later_starts(segments: list[bytes], window: int = WINDOW_BYTES) -> list[np.ndarray]:
     """For segments in corpus order: the places in each where a string of ``window`` bytes starts that also starts earlier."""
     data, starts = splits_of(segments)
@@ -155,8 +199,9 @@ def later_starts(segments: list[bytes], window: int = WINDOW_BYTES) -> list[np.n
     real = np.ones(len(symbols), dtype=bool)
     real[at[1:] - 1] = False
     symbols[real] = data.astype(np.int16) + 1
-    order = suffix_array(symbols, window)
-    fresh = common_prefixes(symbols, order, window) < window
+    ranked = run_ranks(packed(symbols), window)
+    order = suffix_array(symbols, window, ranked)
+    fresh = ~equal_neighbours(*ranked, order, window) if window >= ranked[1] else common_prefixes(symbols, order, window) < window
     # A class of equal strings holds no end of a segment within its window, or none of it counts.
     heads = np.flatnonzero(fresh)
     least = np.repeat(np.minimum.reduceat(order, heads), np.diff(np.concatenate((heads, [len(order)]))))

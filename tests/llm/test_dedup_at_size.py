@@ -3,6 +3,7 @@
 import random
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 
 from stay_analytics.llm import common, suffix
@@ -25,3 +26,27 @@ def test_workers_give_back_what_they_freed(monkeypatch):
     assert [t for _, t in common.text_bytes([batch, batch])] == [[b"a", None]] * 2 and len(calls) == 2
     monkeypatch.undo()
     common.give_back()
+
+
+def test_suffixes_sorted_by_ranks_of_runs():
+    r = random.Random(5)
+    for trial in range(60):
+        stock = [bytes(r.choice(b"ab") for _ in range(70)) for _ in range(3)]
+        segments = [b"".join(r.choice(stock)[r.randint(0, 20):r.randint(30, 70)] for _ in range(r.randint(1, 4))) for _ in range(6)]
+        width = r.choice([7, 10, 14, 27, 28, 40, 100])
+        seen, want = set(), []
+        for s in segments:
+            want.append([])
+            for i in range(len(s) - width + 1):
+                if s[i:i + width] in seen:
+                    want[-1].append(i)
+                seen.add(s[i:i + width])
+        assert [x.tolist() for x in suffix.later_starts(segments, width)] == want
+        symbols = np.array([x for s in segments for x in [*[b + 1 for b in s], 0]])
+        order = suffix.suffix_array(symbols, 1000)
+        assert order.tolist() == sorted(range(len(symbols)), key=lambda i: symbols[i:].tolist())  # noqa: B023
+        runs, run = suffix.run_ranks(suffix.packed(symbols), 20)
+        places = np.flatnonzero(suffix.smaller_than_next(symbols))
+        # Ranks too large for one sort of plain numbers are sorted by place.
+        large = suffix.sort_directly(places, runs << np.uint64(46), run, 300)
+        assert run == 14 and suffix.sort_directly(places, runs, run, 300).tolist() == large.tolist()
