@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stay_analytics.session import cut_lineage
+from stay_analytics.session import written_once
+
+#: Edges that one task writes, about: a few thousand edges shouldn't be dealt over all partitions of the session in every round.
+EDGES_PER_TASK = 1 << 16
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,16 +21,16 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns
     edge = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct()
-    edge, before = cut_lineage(edge), None
+    edge, before = written_once(edge), None
     while True:
+        now = edge.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == before or not now[0]:
+            break
+        before = now
         both = edge.union(edge.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edge = cut_lineage(small.union(least).distinct())
-        now = edge.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        edge = written_once(small.union(least).distinct().coalesce(-(-now[0] // EDGES_PER_TASK)))
     return edge.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edge.select(F.col("b"), F.col("b")).distinct())

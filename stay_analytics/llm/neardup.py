@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stay_analytics.session import cut_lineage
+from stay_analytics.session import cut_lineage, written_once
 
 from .anchors import NULL_KEY, key_of, keyed
-from .common import column, partitions_for, text_bytes
+from .common import column, give_back, partitions_for, text_bytes
 from .components import components
 from .hashing import BASE, mix, splits_of, window_hashes, word_hashes
 
@@ -97,11 +97,11 @@ def signature_rows(width: int):
 
 
 def set_rows(width: int):
-    """(unit, key, shingles): the full shingle set of each member of a unit, as bytes."""
+    """(unit, whole, key, shingles): the full shingle set of each member of a unit, as bytes."""
     def run(batches):
         for part, texts in text_bytes(batches):
-            unit, key = (column(part, c) for c in ("unit", "key"))
-            yield pa.RecordBatch.from_arrays([unit, key, pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], names=["unit", "key", "shingles"])
+            known = [column(part, c) for c in ("unit", "whole", "key")]
+            yield pa.RecordBatch.from_arrays([*known, pa.array([s.tobytes() for s in shingle_sets(texts, width)], pa.binary())], names=["unit", "whole", "key", "shingles"])
 
     return run
 
@@ -137,42 +137,63 @@ def linked_pairs(sets: list[np.ndarray], threshold: int = THRESHOLD) -> list[tup
     return out
 
 
+def least_of(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(key, smallest key of its group) of the keys that the links join, but for the smallest keys themselves."""
+    up: dict[int, int] = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for pair in links:
+        a, b = sorted(map(top, pair))
+        up[b] = a
+    return [(x, top(x)) for x in up if top(x) != x]
+
+
 def verify(threshold: int):
-    """(a, b): exact links inside each unit; rows come sorted by unit."""
+    """(a, b, whole): exact links inside each unit; rows come sorted by unit.
+
+    A whole unit holds every link of its classes, so b is the smallest key of the group of a there.
+    """
     def run(batches):
-        def links(keys, sets):
+        def links(keys, sets, whole):
             found = [(keys[i], keys[j]) for i, j in linked_pairs(sets, threshold)] if len(keys) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            found = least_of(found) if whole else found
+            return pa.RecordBatch.from_arrays([*[pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], pa.array([whole] * len(found), pa.bool_())],
+                                              names=["a", "b", "whole"])
 
         unit, keys, sets = None, [], []
         for batch in batches:
-            for u, key, data in zip(*[column(batch, c).to_pylist() for c in ("unit", "key", "shingles")], strict=True):
+            for *u, key, data in zip(*[column(batch, c).to_pylist() for c in ("unit", "whole", "key", "shingles")], strict=True):
                 if u != unit:
                     if len(keys) > 1:
-                        yield links(keys, sets)
+                        yield links(keys, sets, unit[1])
                     unit, keys, sets = u, [], []
                 keys.append(key)
                 sets.append(np.frombuffer(data, dtype=np.uint64))
         if len(keys) > 1:
-            yield links(keys, sets)
+            yield links(keys, sets, unit[1])
+        give_back()
 
     return run
 
 
 def units_of(classes: DataFrame, cells: DataFrame) -> DataFrame:
-    """(unit, key): which classes are verified together. See the module's text for large components and buckets."""
+    """(unit, whole, key): which classes are verified together, and whether they are a whole component. See the module's text for large components and buckets."""
     members = cells.join(classes.select(F.col("rep").alias("node"), "n", "bands"), "node")
     sizes = cells.join(classes.select(F.col("rep").alias("node"), "n"), "node").groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("total"))
     members = members.join(sizes, "root")
     large = (F.col("c") > 2) & ((F.col("c") > UNIT_CLASSES) | (F.col("total") > UNIT_SHINGLES))
-    whole = members.where(~large).select(F.col("root").alias("unit"), F.col("node").alias("key"))
+    whole = members.where(~large).select(F.col("root").alias("unit"), F.lit(True).alias("whole"), F.col("node").alias("key"))
     buckets = members.where(large).select(F.explode("bands").alias("band"), F.col("node").alias("key"), "n")
     sizes = buckets.groupBy("band").agg(F.count("*").alias("c"), F.sum("n").alias("total")).where("c > 1") \
         .withColumn("blocks", F.greatest(F.ceil(2 * F.col("c") / UNIT_CLASSES), F.ceil(2 * F.col("total") / UNIT_SHINGLES)))
     sizes = sizes.withColumn("blocks", F.when((F.col("c") <= UNIT_CLASSES) & (F.col("total") <= UNIT_SHINGLES), 1).otherwise(F.least("blocks", "c")).cast("int"))
     block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
     other = buckets.join(sizes, "band").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    split = other.select(F.xxhash64(F.lit("bucket"), "band", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "key")
+    split = other.select(F.xxhash64(F.lit("bucket"), "band", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), F.lit(False).alias("whole"), "key")
     return whole.union(split)
 
 
@@ -195,9 +216,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, threshold: int
     buckets = bands.groupBy("band").agg(F.min("rep").alias("lo"), F.count("*").alias("c")).where("c > 1").select("band", "lo")
     cells = components(bands.join(buckets, "band").where("rep <> lo").select("rep", "lo"))
     texts = keyed(docs.select("doc_id", "text"))
-    members = texts.join(units_of(classes, cells), "key").select("unit", "key", "text").mapInArrow(set_rows(width), "unit bigint, key bigint, shingles binary")
-    links = members.repartition(partitions_for(docs), "unit").sortWithinPartitions("unit").mapInArrow(verify(threshold), "a bigint, b bigint")
-    groups = components(links)
+    members = texts.join(units_of(classes, cells), "key").select("unit", "whole", "key", "text").mapInArrow(set_rows(width), "unit bigint, whole boolean, key bigint, shingles binary")
+    links = written_once(members.repartition(partitions_for(docs), "unit").sortWithinPartitions("unit", "whole").mapInArrow(
+        verify(threshold), "a bigint, b bigint, whole boolean"))
+    # What a whole component's task has found is final; only the links of parted components meet across tasks.
+    groups = links.where("whole").select(F.col("a").alias("node"), F.col("b").alias("root")).union(components(links.where("NOT whole").select("a", "b")))
     known = classes.join(groups, classes.rep == groups.node, "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("root"))
     found = F.coalesce("root", "key")
     return rows.drop("bands").join(known, ["s1", "s2", "n"], "left").select(

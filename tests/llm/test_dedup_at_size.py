@@ -5,8 +5,36 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from conftest import words
 
-from stay_analytics.llm import common, suffix
+from stay_analytics.llm import common, components, neardup, suffix
+
+
+def test_rounds_of_few_edges_take_one_task(spark, monkeypatch):
+    parts, write = [], components.written_once
+    monkeypatch.setattr(components, "written_once", lambda df: parts.append(df.rdd.getNumPartitions()) or write(df))
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a bigint, b bigint")
+    assert {(r.node, r.root) for r in components.components(edges).collect()} == {(k, 0) for k in range(41)}
+    assert len(parts) > 2 and set(parts[1:]) == {1}
+
+
+def test_links_of_whole_components_are_final(table, monkeypatch):
+    """Only links of parted components go through Spark's rounds; keys of equal ids join their groups as before."""
+    counts, join = [], neardup.components
+    monkeypatch.setattr(neardup, "components", lambda edges: counts.append(edges.distinct().count()) or join(edges))
+    base = [words(60, k, 10 ** 6) for k in range(3)]
+    rows = [(10 * k + j, " ".join([*w[:59 - j], f"end{j}"])) for k, w in enumerate(base) for j in range(3)] + [(12, " ".join(base[0])), (99, "alone")]
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(table(rows)).collect()}
+    assert counts[0] > 0 and counts[1] == 0
+    whole = {(10 * k + j, 20 if k == 2 else 0) for k in range(3) for j in range(3)} | {(99, 99)}  # 12 joins two groups
+    assert got == whole
+    monkeypatch.setattr(neardup, "UNIT_CLASSES", 2)
+    assert {(r.doc_id, r.component_id) for r in neardup.near_duplicates(table(rows)).collect()} == whole and counts[3] > 0
+
+
+def test_groups_of_links():
+    assert sorted(neardup.least_of([(5, 3), (9, 5), (8, 7), (4, 4), (9, 11)])) == [(5, 3), (8, 7), (9, 3), (11, 3)]
+    assert neardup.least_of([]) == []
 
 
 def test_windows_of_many_texts_take_small_arrays():
