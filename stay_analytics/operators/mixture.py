@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage, spread
 from . import citywise as cw
+from .pooled import product_rows, sums_width
 
 #: Added to the variances of every component, and the least of its variances along any direction.
 RIDGE = 1e-6
@@ -41,16 +42,6 @@ CHUNK_ROWS = 512
 HELD_GROUPS = 256
 
 
-def sums_width(d: int) -> int:
-    return 1 + d + d * (d + 1) // 2
-
-
-def product_rows(x: np.ndarray) -> np.ndarray:
-    """Per row 1, its features and their products (upper triangle): what the sums of a component add up."""
-    i, j = np.triu_indices(x.shape[1])
-    return np.column_stack([np.ones(len(x)), x, x[:, i] * x[:, j]])
-
-
 def parameters(sums: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(weights, means, covariances) of the components of one mixture; a component without mass has weight 0."""
     mass = sums[:, 0]
