@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.ml.clustering import GaussianMixture
+from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
@@ -69,3 +69,23 @@ def test_a_table_without_rows_or_spread_is_refused(spark, points):
         cs.gmm_sweep(points.filter("id < 0"), ["x", "y"], ks=[2], starts=1)
     with pytest.raises(ValueError, match="no non-zero singular values"):
         cs.gmm_sweep(points.select(F.lit(1.0).alias("x"), F.lit(2.0).alias("y")), ["x", "y"], ks=[2], starts=1)
+
+
+def test_kmeans_of_all_starts_is_that_of_the_estimator(spark, points):
+    data = cs.spread(cs._vectors(points, ["x", "y"]))
+    fits = [KMeans(k=4, seed=s).fit(data) for s in range(42, 50)]
+    starts = [KMeans(k=4, seed=s, maxIter=0).fit(data).clusterCenters() for s in range(42, 50)]
+    got = pooled.fit_kmeans(data, 2, starts)
+    assert [r.cost for r in got] == pytest.approx([m.summary.trainingCost for m in fits])
+    for r, m in zip(got, fits, strict=True):
+        assert r.centres == pytest.approx(np.array(m.clusterCenters()))
+    rows, jobs = jobs_of(spark, "kmeans", lambda: cs.fit_kmeans(points, ["x", "y"], k=4, seeds=range(42, 50)).collect())
+    assert jobs < 8 * 12 + 20 + 8  # the draws of 8 starts, 20 steps at most, and what is done once
+    want = {r.id: r.prediction for r in min(fits, key=lambda m: m.summary.trainingCost).transform(data).collect()}
+    assert {r.id: r.cluster_id for r in rows} == want and set(rows[0].asDict()) == {"id", "x", "y", "z", "cluster_id"}
+
+
+def test_a_centre_without_rows_stays(spark, points):
+    data = cs._vectors(points, ["x", "y"]).select("features")
+    (run,) = pooled.fit_kmeans(data, 2, [[np.array([0.0, 0.0]), np.array([1e6, 1e6])]])
+    assert run.still and run.centres[1].tolist() == [1e6, 1e6]
